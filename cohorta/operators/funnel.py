@@ -41,12 +41,14 @@ def session_funnel(
     steps: Sequence[tuple[str, Column]],
     dims: Sequence[str] = (),
     anchor: str = "previous",
+    strict: bool = False,
 ) -> DataFrame:
     """One row per session and first-step dims with ``t_<step>``: when it reached each
     step, null if it did not.
 
     ``anchor='previous'``: a step counts from the earliest instant the step before was
     reached. ``anchor='first'``: every later step is compared with the first one only.
+    ``strict``: an event at the same instant does not count.
 
     Steps shrink to one row per session before they meet. Where only "reached or not"
     matters (the last step, or any step compared with the first) the latest event is
@@ -61,7 +63,7 @@ def session_funnel(
         rows = events.where(condition).select(*keys, F.col(time).alias("_t")).distinct()
         before = [c for c in reached.columns]
         joined = reached.join(rows, keys, "left")
-        earliest = F.min(F.when(F.col("_t") >= F.col(previous), F.col("_t"))).alias(f"t_{name}")
+        earliest = F.min(F.when(_follows("_t", previous, strict), F.col("_t"))).alias(f"t_{name}")
         reached = joined.groupBy(*before).agg(earliest)
         previous = f"t_{name}"
     rest = later[len(chained):]
@@ -75,10 +77,53 @@ def session_funnel(
     out = reached.join(latest, keys, "left")
     for name, _ in rest:
         last = F.col(f"_last_{name}")
-        out = out.withColumn(f"t_{name}", F.when(last >= F.col(previous), last)).drop(f"_last_{name}")
+        reached_it = _follows(f"_last_{name}", previous, strict)
+        out = out.withColumn(f"t_{name}", F.when(reached_it, last)).drop(f"_last_{name}")
     return out
 
 
+def _follows(later: str, earlier: str, strict: bool) -> Column:
+    return F.col(later) > F.col(earlier) if strict else F.col(later) >= F.col(earlier)
+
+
+def funnel_events(
+    events: DataFrame,
+    session: Sequence[str],
+    time: str,
+    steps: Sequence[tuple[str, Column]],
+    dims: Sequence[str] = (),
+    anchor: str = "previous",
+    strict: bool = False,
+) -> DataFrame:
+    """Per first-step dims, the number of events of each step that follow the step before
+    (or the first step) in their session. Input has one row per event.
+
+    Each step joins its events with one row per session and dims, and shrinks to that
+    grain again, so no event is paired with the events of other steps.
+    """
+    (first, first_cond), *later = steps
+    keys = [*session]
+    reached = events.where(first_cond).groupBy(*keys, *dims).agg(
+        F.count(F.lit(1)).alias(f"n_{first}"), F.min(time).alias("_from")
+    )
+    counted = [f"n_{first}"]
+    for name, condition in later:
+        rows = events.where(condition).select(*keys, F.col(time).alias("_t"))
+        ok = _follows("_t", "_from", strict)
+        counts = [F.count_if(ok).alias(f"n_{name}")]
+        if anchor != "first":
+            counts.append(F.min(F.when(ok, F.col("_t"))).alias("_next"))
+        reached = (
+            reached.join(rows, keys, "left")
+            .groupBy(*keys, *dims, *counted, "_from")
+            .agg(*counts)
+        )
+        if anchor != "first":
+            reached = reached.drop("_from").withColumnRenamed("_next", "_from")
+        counted.append(f"n_{name}")
+    return reached.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in counted])
+
+
 def _any(conditions):
     out = conditions[0]
     for c in conditions[1:]:

@@ -53,9 +53,11 @@ def cached_result(spark: SparkSession, path: str, build) -> DataFrame:
 
 
 def read_dated_files(spark: SparkSession, glob: str, schema: T.StructType | str, pattern: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
-    """Many daily CSV files as one frame, the day taken out of each file's name."""
+    """Many dated CSV files as one frame, the day taken out of each file's path (its name,
+    or the name of its folder)."""
     files = spark.read.csv(glob, header=True, schema=schema)
-    return files.withColumn("file_day", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)))
+    found = F.regexp_extract_all(F.col("_metadata.file_path"), F.lit(pattern), 1)
+    return files.withColumn("file_day", F.to_date(F.element_at(found, -1)))
 
 
 def write_assignment(df: DataFrame, path: str) -> None:
