@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohorta.functions.columns import all_of
+from cohorta.operators.scans import GROUP_LIMIT, last_known, ordered_scans
 
 
 def in_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -65,12 +66,25 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     return pairs.where(F.col(right_time).between(F.col(left_time), limit)).drop("_b")
 
 
-def point_in_time_join(facts: DataFrame, versions: DataFrame, key: str, day: str, start: str, end: str) -> DataFrame:
-    """Version valid on the fact's day: from ``start`` up to the day before ``end``,
-    open when ``end`` is null. Facts without a version stay, with nulls."""
-    upper = F.coalesce(F.date_sub(versions[end], 1), F.lit("9999-12-31").cast("date"))
-    on = (facts[key] == versions[key]) & (facts[day] >= versions[start]) & (facts[day] <= upper)
-    return facts.join(versions, on, "left").drop(versions[key])
+def point_in_time_join(
+    facts: DataFrame, versions: DataFrame, keys: Sequence[str], day: str, start: str, end: str, take: Sequence[str],
+    *, group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Version valid on the fact's day: from ``start`` up to the day before ``end``, open
+    when ``end`` is null. Facts without a version stay, with nulls.
+
+    Versions of one key do not overlap, so the last one begun by that day is the only
+    candidate; it is found in one time-ordered scan of facts and versions together.
+    """
+    v = versions.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_kind"), F.struct(start, end, *take).alias("_version"))
+    f = facts.withColumn("_t", F.col(day)).withColumn("_kind", F.lit(1))
+    both = f.unionByName(v, allowMissingColumns=True)
+    probe = facts.select(*keys).unionByName(versions.select(*keys))
+    seen = ordered_scans(both, keys, ["_t", "_kind", "_version"], {"_v": last_known("_version")}, group_limit=group_limit, probe=probe)
+    last_day = F.coalesce(F.date_sub(F.col(f"_v.{end}"), 1), F.lit("9999-12-31").cast("date"))
+    valid = F.col(day) <= last_day
+    fields = [F.when(valid, F.col(f"_v.{c}")).alias(c) for c in (start, end, *take)]
+    return seen.where("_kind = 1").select(*facts.columns, *fields)
 
 
 def replacement_join(lines: DataFrame, line_id: str, replaced_by: str, fields: Sequence[str]) -> DataFrame:

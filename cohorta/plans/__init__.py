@@ -4,7 +4,7 @@ from importlib import import_module
 
 from cohorta.plans.base import QUERIES, SQL
 
-MODULES = ["sources", "filters"]
+MODULES = ["sources", "filters", "joins"]
 
 for _module in MODULES:
     import_module(f"cohorta.plans.{_module}")
