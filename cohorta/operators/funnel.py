@@ -138,25 +138,44 @@ def funnel_counts(reached: DataFrame, session: str, steps: Sequence[str], by: Se
     return flags.groupBy(*by).agg(*[F.count_if(f"_{s}").alias(f"n_{s}") for s in steps])
 
 
-def next_within(
+def next_times(
     starts: DataFrame,
     follows: DataFrame,
     keys: Sequence[str],
     start_time: str,
     follow_time: str,
-    seconds: int | None = None,
-    name: str = "followed_at",
+    picks: dict[str, Column],
     *,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """First follow-up at or after each start, within a time limit if one is given;
-    null when there is none. One sort per key instead of all pairs of a key."""
+    """Per start and pick, the time of the first follow-up at or after it that meets the
+    pick's condition; null when there is none. All picks share one sort per key, and no
+    start is paired with more than the one follow-up it needs."""
     s = starts.withColumn("_t", F.col(start_time)).withColumn("_kind", F.lit(0))
-    f = follows.select(*keys, F.col(follow_time).alias("_t"), F.lit(1).alias("_kind"), F.col(follow_time).alias("_follow"))
+    f = follows.select(
+        *keys, F.col(follow_time).alias("_t"), F.lit(1).alias("_kind"),
+        *[F.when(c, F.col(follow_time)).alias(f"_at_{n}") for n, c in picks.items()],
+    )
     both = s.unionByName(f, allowMissingColumns=True)
     probe = starts.select(*keys).unionByName(follows.select(*keys))
-    found = ordered_scans(both, keys, ["_t", "_kind"], {name: upcoming("_follow")}, group_limit=group_limit, probe=probe)
-    found = found.where(F.col("_kind") == 0).select(*starts.columns, name)
+    scans = {n: upcoming(f"_at_{n}") for n in picks}
+    found = ordered_scans(both, keys, ["_t", "_kind"], scans, group_limit=group_limit, probe=probe)
+    return found.where(F.col("_kind") == 0).select(*starts.columns, *picks)
+
+
+def next_within(
+    starts: DataFrame,
+    follows: DataFrame,
+    keys: Sequence[str],
+    start_time: str,
+    follow_time: str,
+    seconds: int | None = None,
+    name: str = "followed_at",
+    *,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """First follow-up at or after each start, within a time limit if one is given."""
+    found = next_times(starts, follows, keys, start_time, follow_time, {name: F.lit(True)}, group_limit=group_limit)
     if seconds is None:
         return found
     ok = F.col(name) <= F.col(start_time) + F.expr(f"interval {int(seconds)} seconds")
@@ -215,20 +234,22 @@ def follow_up_counts(
 ) -> DataFrame:
     """How many (start, follow-up) pairs lie in each gap bucket, without making pairs.
 
-    ``bounds`` are rising seconds; bucket i holds gaps in (bounds[i], bounds[i+1]].
-    Each start asks for the running count of follow-ups at start + bound; the
-    difference of two answers is the number of follow-ups between.
+    ``bounds`` are rising whole seconds; a bucket holds gaps of more than its lower and at
+    most its upper bound, counted in whole seconds elapsed (-1 is the bound before "at
+    once"). Each start asks, once per bound, how many follow-ups come before that gap is
+    exceeded; the difference of two answers is the number between.
     """
     asks = starts.select(*keys, F.explode(F.array(*[F.lit(b) for b in bounds])).alias("_bound"), time)
-    asks = asks.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")) + F.col("_bound").cast("long") * 1_000_000)
-    asks = asks.select(*keys, "_bound", "_t", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_one"))
+    exceeded = (F.col("_bound").cast("long") + 1) * 1_000_000
+    asks = asks.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")) + exceeded)
+    asks = asks.select(*keys, "_bound", "_t", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_one"))
     rows = follows.select(
-        *keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_one")
+        *keys, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).cast("long").alias("_one")
     )
     probe = starts.select(*keys).unionByName(follows.select(*keys))
     both = asks.unionByName(rows, allowMissingColumns=True)
     seen = ordered_scans(both, keys, ["_t", "_kind"], {"_seen": running_sum("_one")}, group_limit=group_limit, probe=probe)
-    totals = seen.where("_kind = 1").agg(
+    totals = seen.where("_kind = 0").agg(
         *[F.coalesce(F.sum(F.when(F.col("_bound") == b, F.col("_seen"))), F.lit(0)).alias(f"b{b}") for b in bounds]
     )
     buckets = [
