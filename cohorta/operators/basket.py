@@ -93,12 +93,12 @@ def gmv_loss(orders: DataFrame, outliers: DataFrame, order: str, by: Sequence[st
 
 def orders_with_category(orders: DataFrame, lines: DataFrame, order: str, in_category: Column) -> DataFrame:
     """Orders that hold at least one line of a category."""
-    return orders.join(lines.where(in_category).select(order), order, "left_semi")
+    return orders.join(lines.where(in_category).select(order).distinct(), order, "left_semi")
 
 
 def orders_without_category(orders: DataFrame, lines: DataFrame, order: str, in_category: Column) -> DataFrame:
     """Orders that hold no line of it."""
-    return orders.join(lines.where(in_category).select(order), order, "left_anti")
+    return orders.join(lines.where(in_category).select(order).distinct(), order, "left_anti")
 
 
 def category_penetration(lines: DataFrame, by: Sequence[str], order: str, in_category: Column) -> DataFrame:

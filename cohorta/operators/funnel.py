@@ -11,10 +11,12 @@ from cohorta.functions.columns import seconds_between
 from cohorta.operators.joins import interval_join
 from cohorta.operators.scans import (
     GROUP_LIMIT,
+    hot_groups,
     last_known,
     ordered_scans,
     previous_value,
     running_sum,
+    seen,
     upcoming,
 )
 
@@ -22,71 +24,20 @@ from cohorta.operators.scans import (
 def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Sequence[str] = (), *, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Add ``session_start`` and ``session_id``; a session ends after a silence longer
     than the gap. The id is the key and the session's first instant."""
-    order, probe = [time, *tie], events.select(key)
-    step = ordered_scans(events, [key], order, {"_before": previous_value(time)}, group_limit=group_limit, probe=probe)
+    order = [time, *tie]
+    hot = hot_groups(events, [key], group_limit)
+    step = ordered_scans(events, [key], order, {"_before": previous_value(time)}, hot=hot)
     new = F.col("_before").isNull() | (
         F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
         > F.lit(gap_seconds * 1_000_000)
     )
     marked = step.withColumn("_begin", F.when(new, F.col(time))).drop("_before")
-    out = ordered_scans(marked, [key], order, {"session_start": last_known("_begin")}, group_limit=group_limit, probe=probe)
+    out = ordered_scans(marked, [key], order, {"session_start": last_known("_begin")}, hot=hot)
     session_id = F.concat_ws("-", F.col(key).cast("string"), F.unix_micros(F.col("session_start").cast("timestamp")).cast("string"))
     return out.drop("_begin").withColumn("session_id", session_id)
 
 
-def session_funnel(
-    events: DataFrame,
-    session: Sequence[str],
-    time: str,
-    steps: Sequence[tuple[str, Column]],
-    dims: Sequence[str] = (),
-    anchor: str = "previous",
-    strict: bool = False,
-) -> DataFrame:
-    """One row per session and first-step dims with ``t_<step>``: when it reached each
-    step, null if it did not.
-
-    ``anchor='previous'``: a step counts from the earliest instant the step before was
-    reached. ``anchor='first'``: every later step is compared with the first one only.
-    ``strict``: an event at the same instant does not count.
-
-    Steps shrink to one row per session before they meet. Where only "reached or not"
-    matters (the last step, or any step compared with the first) the latest event is
-    enough, so those need no join; the time is then that of the latest event.
-    """
-    (first, first_cond), *later = steps
-    keys = [*session]
-    reached = events.where(first_cond).groupBy(*keys, *dims).agg(F.min(time).alias(f"t_{first}"))
-    chained = later[:-1] if anchor == "previous" else []
-    previous = f"t_{first}"
-    for name, condition in chained:
-        rows = events.where(condition).select(*keys, F.col(time).alias("_t")).distinct()
-        before = [c for c in reached.columns]
-        joined = reached.join(rows, keys, "left")
-        earliest = F.min(F.when(_follows("_t", previous, strict), F.col("_t"))).alias(f"t_{name}")
-        reached = joined.groupBy(*before).agg(earliest)
-        previous = f"t_{name}"
-    rest = later[len(chained):]
-    if not rest:
-        return reached
-    latest = (
-        events.where(_any([c for _, c in rest]))
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(c, F.col(time))).alias(f"_last_{n}") for n, c in rest])
-    )
-    out = reached.join(latest, keys, "left")
-    for name, _ in rest:
-        last = F.col(f"_last_{name}")
-        reached_it = _follows(f"_last_{name}", previous, strict)
-        out = out.withColumn(f"t_{name}", F.when(reached_it, last)).drop(f"_last_{name}")
-    return out
-
-
-def _follows(later: str, earlier: str, strict: bool) -> Column:
-    return F.col(later) > F.col(earlier) if strict else F.col(later) >= F.col(earlier)
-
-
-def funnel_events(
+def funnel_rows(
     events: DataFrame,
     session: Sequence[str],
     time: str,
@@ -94,41 +45,55 @@ def funnel_events(
     dims: Sequence[str] = (),
     anchor: str = "previous",
     strict: bool = False,
+    *,
+    coarse: Sequence[str] = (),
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Per first-step dims, the number of events of each step that follow the step before
-    (or the first step) in their session. Input has one row per event.
-
-    Each step joins its events with one row per session and dims, and shrinks to that
-    grain again, so no event is paired with the events of other steps.
+    """Events that take part in a funnel: first-step events and those later-step events
+    that follow the step before (``anchor='previous'``) or the first step
+    (``anchor='first'``) in their session, once for each first-step value of ``dims``
+    they follow. ``_step`` numbers the steps from 0.
+
+    "Not earlier than some event of the step before" needs no join: in time order it
+    means that such an event has been seen, so one sort per session answers every step.
+    With ``strict`` an event at the same instant does not count. ``coarse`` names a part
+    of the session key on which group sizes are cheaper to measure.
     """
-    (first, first_cond), *later = steps
-    keys = [*session]
-    reached = events.where(first_cond).groupBy(*keys, *dims).agg(
-        F.count(F.lit(1)).alias(f"n_{first}"), F.min(time).alias("_from")
+    outer = [d for d in dims if d not in session]
+    numbers = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, (_, c) in enumerate(steps)]))
+    rows = events.select(*session, *outer, time, F.explode(numbers).alias("_step"))
+    # Steps of one instant: earlier steps first, unless they must not count.
+    rows = rows.withColumn("_turn", -F.col("_step") if strict else F.col("_step"))
+    rows = rows.withColumn("_dims", F.when(F.col("_step") == 0, F.struct(F.lit(True).alias("_first"), *outer)))
+    hot = hot_groups(rows, session, group_limit, coarse)
+    rows = ordered_scans(rows, session, [time, "_turn"], {"_seen": seen("_dims")}, hot=hot)
+    own = F.when(F.col("_step") == 0, F.array("_dims")).otherwise(F.col("_seen"))
+    rows = rows.select(*session, time, "_step", "_turn", F.explode(own).alias("_d"))
+    rows = rows.select(*session, time, "_step", "_turn", *[F.col(f"_d.{c}").alias(c) for c in outer])
+    if anchor == "previous":
+        for step in range(1, len(steps) - 1):
+            rows = rows.withColumn("_hit", F.when(F.col("_step") == step, F.lit(True)))
+            rows = ordered_scans(rows, [*session, *outer], [time, "_turn"], {"_done": last_known("_hit")}, hot=hot if not hot.groups else None, group_limit=group_limit)
+            # Rows of the next step stay only behind a row of this one.
+            rows = rows.where((F.col("_step") != step + 1) | F.col("_done").isNotNull()).drop("_hit", "_done")
+    return rows.drop("_turn")
+
+
+def session_funnel(events, session, time, steps, dims=(), anchor="previous", strict=False, **options) -> DataFrame:
+    """One row per session and first-step ``dims`` with ``t_<step>``: when it first reached
+    each step in order, null if it did not. Arguments as for ``funnel_rows``."""
+    rows = funnel_rows(events, session, time, steps, dims, anchor, strict, **options)
+    outer = [d for d in dims if d not in session]
+    return rows.groupBy(*session, *outer).agg(
+        *[F.min(F.when(F.col("_step") == i, F.col(time))).alias(f"t_{name}") for i, (name, _) in enumerate(steps)]
     )
-    counted = [f"n_{first}"]
-    for name, condition in later:
-        rows = events.where(condition).select(*keys, F.col(time).alias("_t"))
-        ok = _follows("_t", "_from", strict)
-        counts = [F.count_if(ok).alias(f"n_{name}")]
-        if anchor != "first":
-            counts.append(F.min(F.when(ok, F.col("_t"))).alias("_next"))
-        reached = (
-            reached.join(rows, keys, "left")
-            .groupBy(*keys, *dims, *counted, "_from")
-            .agg(*counts)
-        )
-        if anchor != "first":
-            reached = reached.drop("_from").withColumnRenamed("_next", "_from")
-        counted.append(f"n_{name}")
-    return reached.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in counted])
 
 
-def _any(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def funnel_events(events, session, time, steps, dims=(), anchor="previous", strict=False, **options) -> DataFrame:
+    """Per first-step ``dims``, the number of events of each step in the funnel. Input has
+    one row per event. Arguments as for ``funnel_rows``."""
+    rows = funnel_rows(events, session, time, steps, dims, anchor, strict, **options)
+    return rows.groupBy(*dims).agg(*[F.count_if(F.col("_step") == i).alias(f"n_{name}") for i, (name, _) in enumerate(steps)])
 
 
 def funnel_counts(reached: DataFrame, session: str, steps: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -138,29 +103,19 @@ def funnel_counts(reached: DataFrame, session: str, steps: Sequence[str], by: Se
     return flags.groupBy(*by).agg(*[F.count_if(f"_{s}").alias(f"n_{s}") for s in steps])
 
 
-def next_times(
-    starts: DataFrame,
-    follows: DataFrame,
-    keys: Sequence[str],
-    start_time: str,
-    follow_time: str,
-    picks: dict[str, Column],
-    *,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Per start and pick, the time of the first follow-up at or after it that meets the
+def mark_starts(events: DataFrame, start: Column, follow: Column) -> DataFrame:
+    """Rows that are starts (``_kind`` 0) or follow-ups (1); a row that is both comes twice."""
+    kinds = F.array_compact(F.array(F.when(start, F.lit(0)), F.when(follow, F.lit(1))))
+    return events.withColumn("_kind", F.explode(kinds))
+
+
+def with_next_times(marked: DataFrame, keys: Sequence[str], time: str, picks: dict[str, Column], **options) -> DataFrame:
+    """Add, per pick, the time of the first follow-up at or after each row that meets the
     pick's condition; null when there is none. All picks share one sort per key, and no
     start is paired with more than the one follow-up it needs."""
-    s = starts.withColumn("_t", F.col(start_time)).withColumn("_kind", F.lit(0))
-    f = follows.select(
-        *keys, F.col(follow_time).alias("_t"), F.lit(1).alias("_kind"),
-        *[F.when(c, F.col(follow_time)).alias(f"_at_{n}") for n, c in picks.items()],
-    )
-    both = s.unionByName(f, allowMissingColumns=True)
-    probe = starts.select(*keys).unionByName(follows.select(*keys))
-    scans = {n: upcoming(f"_at_{n}") for n in picks}
-    found = ordered_scans(both, keys, ["_t", "_kind"], scans, group_limit=group_limit, probe=probe)
-    return found.where(F.col("_kind") == 0).select(*starts.columns, *picks)
+    rows = marked.withColumns({f"_at_{n}": F.when((F.col("_kind") == 1) & c, F.col(time)) for n, c in picks.items()})
+    found = ordered_scans(rows, keys, [time, "_kind"], {n: upcoming(f"_at_{n}") for n in picks}, **options)
+    return found.drop(*[f"_at_{n}" for n in picks])
 
 
 def next_within(
@@ -174,18 +129,39 @@ def next_within(
     *,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """First follow-up at or after each start, within a time limit if one is given."""
-    found = next_times(starts, follows, keys, start_time, follow_time, {name: F.lit(True)}, group_limit=group_limit)
+    """First follow-up, from another table, at or after each start, within a time limit
+    if one is given."""
+    s = starts.withColumn("_t", F.col(start_time)).withColumn("_kind", F.lit(0))
+    f = follows.select(*keys, F.col(follow_time).alias("_t"), F.lit(1).alias("_kind"))
+    probe = starts.select(*keys).unionByName(follows.select(*keys))
+    both = s.unionByName(f, allowMissingColumns=True)
+    found = with_next_times(both, keys, "_t", {name: F.lit(True)}, probe=probe, group_limit=group_limit)
+    found = found.where("_kind = 0").select(*starts.columns, name)
     if seconds is None:
         return found
     ok = F.col(name) <= F.col(start_time) + F.expr(f"interval {int(seconds)} seconds")
     return found.withColumn(name, F.when(ok, F.col(name)))
 
 
-def conversion_within(starts, follows, keys, start_time, follow_time, seconds, session: str, by: Sequence[str], **kw) -> DataFrame:
-    """Distinct sessions with a start, and those followed up in time."""
-    hits = next_within(starts, follows, keys, start_time, follow_time, seconds, **kw)
-    reached = hits.withColumn("t_started", F.col(start_time)).withColumnRenamed("followed_at", "t_converted")
+def conversion_within(
+    events: DataFrame,
+    start: Column,
+    follow: Column,
+    keys: Sequence[str],
+    time: str,
+    seconds: int,
+    session: str,
+    by: Sequence[str],
+    *,
+    coarse: Sequence[str] = (),
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Distinct sessions with a start, and those followed up in time, per ``by``."""
+    marked = mark_starts(events, start, follow)
+    hot = hot_groups(marked, keys, group_limit, coarse)
+    found = with_next_times(marked, keys, time, {"_next": F.lit(True)}, hot=hot).where("_kind = 0")
+    in_time = F.col("_next") <= F.col(time) + F.expr(f"interval {int(seconds)} seconds")
+    reached = found.withColumn("t_started", F.col(time)).withColumn("t_converted", F.when(in_time, F.col("_next")))
     return funnel_counts(reached, session, ["started", "converted"], by)
 
 

@@ -12,8 +12,10 @@ from cohorta.operators.scans import GROUP_LIMIT, last_known, ordered_scans
 
 
 def in_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose key is among the ids."""
-    return df.join(ids, df[key] == ids[id_col], "left_semi")
+    """Rows whose key is among the ids. Repeated ids are dropped before they are shuffled:
+    the right side of a semi join is never cut up, so one id must not come in bulk."""
+    known = ids.select(F.col(id_col).alias("_id")).distinct()
+    return df.join(known, df[key] == known["_id"], "left_semi")
 
 
 def not_in_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -25,8 +27,8 @@ def not_in_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFram
     """
     facts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(id_col).isNull()).alias("nulls"))
     n, nulls = facts.select("n").scalar(), facts.select("nulls").scalar()
-    known = ids.where(F.col(id_col).isNotNull())
-    kept = df.join(known, df[key] == known[id_col], "left_anti")
+    known = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    kept = df.join(known, df[key] == known["_id"], "left_anti")
     return kept.where((n == 0) | ((nulls == 0) & F.col(key).isNotNull()))
 
 

@@ -34,4 +34,4 @@ def reconcile_counts(sources: dict[str, DataFrame], by: Sequence[str]) -> DataFr
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of the left source that the right one lacks."""
-    return left.select(*keys).distinct().join(right, list(keys), "left_anti")
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")

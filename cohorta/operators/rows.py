@@ -28,17 +28,17 @@ def latest_snapshot(df: DataFrame, snapshot: str) -> DataFrame:
 
 def customer_allowlist(df: DataFrame, allowed: DataFrame, key: str, conditions: Sequence[Column]) -> DataFrame:
     """Rows whose customer passes every condition of the customer table."""
-    keep = allowed.where(all_of(conditions)).select(key)
+    keep = allowed.where(all_of(conditions)).select(key).distinct()
     return df.join(keep, key, "left_semi")
 
 
 def drop_all_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop every copy of a key that occurs more than once."""
     rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*rest)).alias("_row")
-    )
-    return grouped.where(F.col("_copies") == 1).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    # Only groups of one row are kept, so each column may be picked by itself; that
+    # keeps the aggregate hash-based where the columns are numbers.
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in rest])
+    return grouped.where(F.col("_copies") == 1).drop("_copies")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

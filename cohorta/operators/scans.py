@@ -63,6 +63,12 @@ def upcoming(source: str) -> Scan:
     return Scan("upcoming", source)
 
 
+def seen(source: str) -> Scan:
+    """Set of the distinct non-null values up to and including this row. Meant for columns
+    with few different values per key (variants, countries), whatever the number of rows."""
+    return Scan("seen", source)
+
+
 def running_sum(source: str) -> Scan:
     """Sum up to and including this row; null counts as nothing."""
     return Scan("running_sum", source)
@@ -73,6 +79,33 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
 
 
+@dataclass(frozen=True)
+class HotGroups:
+    """Groups too large for one task: their keys, how many there are, their rows."""
+
+    keys: DataFrame
+    groups: int
+    rows: int
+    limit: int
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, coarse: Sequence[str] = ()) -> HotGroups:
+    """Find the groups with more than ``limit`` rows. This runs a job that reads the key
+    columns only; at most (all rows / limit) groups can be hot.
+
+    ``coarse`` is a part of the keys that is cheaper to read. Where no coarse group is too
+    large no finer one is, and the finer keys are not looked at.
+    """
+    if coarse:
+        first = hot_groups(df, coarse, limit)
+        if not first.groups:
+            return HotGroups(df.select(*keys).limit(0), 0, 0, limit)
+    sizes = group_sizes(df.select(*keys), keys) if keys else df.agg(F.count(F.lit(1)).alias("_size"))
+    over = F.col("_size") > limit
+    groups, rows = sizes.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("_size"))), F.lit(0))).first()
+    return HotGroups(sizes.where(over).select(*keys), groups, rows, limit)
+
+
 def ordered_scans(
     df: DataFrame,
     keys: Sequence[str],
@@ -81,29 +114,28 @@ def ordered_scans(
     *,
     group_limit: int = GROUP_LIMIT,
     probe: DataFrame | None = None,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed within ``keys`` in ascending ``order``.
 
     ``order`` should put equal rows in a fixed sequence, otherwise rows with the
     same order values may swap. ``probe`` is a cheaper frame with the same keys
-    to measure group sizes on.
+    to measure group sizes on; ``hot`` is such a measurement already made.
     """
     keys = list(keys)
-    sizes = group_sizes(df if probe is None else probe, keys)
-    over = F.col("_size") > group_limit
-    hot_groups, hot_rows = sizes.agg(F.count_if(over), F.sum(F.when(over, F.col("_size")))).first()
-    if not hot_groups:
+    hot = hot or hot_groups(df if probe is None else probe, keys, group_limit)
+    if not hot.groups:
         return _within(df, keys, order, scans)
-    chunks = min(MAX_CHUNKS, max(2, -(-hot_rows // max(1, group_limit // 2))))
+    chunks = min(MAX_CHUNKS, max(2, -(-hot.rows // max(1, hot.limit // 2))))
     if not keys:
         return _by_chunks(df, keys, order, scans, chunks)
 
-    hot = sizes.where(over).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    if hot_groups <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
+    hot_keys = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    if hot.groups <= BROADCAST_ROWS:
+        hot_keys = F.broadcast(hot_keys)
     is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    cold_part = _within(df.join(hot, is_hot, "left_anti"), keys, order, scans)
-    hot_part = _by_chunks(df.join(hot, is_hot, "left_semi"), keys, order, scans, chunks)
+    cold_part = _within(df.join(hot_keys, is_hot, "left_anti"), keys, order, scans)
+    hot_part = _by_chunks(df.join(hot_keys, is_hot, "left_semi"), keys, order, scans, chunks)
     return cold_part.unionByName(hot_part)
 
 
@@ -132,6 +164,8 @@ def _scan_column(scan: Scan, keys, order):
         return F.last(source, ignorenulls=True).over(ahead.rowsBetween(*so_far))
     if scan.kind == "running_sum":
         return F.sum(source).over(ahead.rowsBetween(*so_far))
+    if scan.kind == "seen":
+        return F.collect_set(source).over(ahead.rowsBetween(*so_far))
     raise ValueError(scan.kind)
 
 
@@ -173,6 +207,8 @@ def _by_chunks(df, keys, order, scans, chunks):
             facts.append(F.min_by(source, known(scan.source)).alias(f"_{name}_edge"))
         elif scan.kind == "last_known":
             facts.append(F.max_by(source, known(scan.source)).alias(f"_{name}_edge"))
+        elif scan.kind == "seen":
+            facts.append(F.collect_set(source).alias(f"_{name}_edge"))
         else:
             facts.append(F.sum(source).alias(f"_{name}_edge"))
     summary = ranged.groupBy(*keys, "_chunk").agg(*facts)
@@ -191,8 +227,13 @@ def _by_chunks(df, keys, order, scans, chunks):
         else:
             start = reverse if scan.kind in ("next_known", "upcoming") else forward
             before = start.rowsBetween(Window.unboundedPreceding, -1)
-            value = F.sum(edge) if scan.kind == "running_sum" else F.last(edge, ignorenulls=True)
-            summary = summary.withColumn(f"_{name}_in", value.over(before))
+            if scan.kind == "running_sum":
+                value = F.sum(edge).over(before)
+            elif scan.kind == "seen":
+                value = F.array_distinct(F.flatten(F.collect_list(edge).over(before)))
+            else:
+                value = F.last(edge, ignorenulls=True).over(before)
+            summary = summary.withColumn(f"_{name}_in", value)
     incoming = summary.where(F.col("_spans") > 1).select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.col("_chunk").alias("_key_chunk"),
@@ -221,6 +262,8 @@ def _by_chunks(df, keys, order, scans, chunks):
             value = F.when(F.col(f"_{name}_has").isNotNull(), here).otherwise(other.getField(scan.source))
         elif scan.kind == "running_sum":
             value = F.when(here.isNull(), other).otherwise(here + F.coalesce(other, F.lit(0)))
+        elif scan.kind == "seen":
+            value = F.when(other.isNull(), here).otherwise(F.array_union(other, here))
         else:
             value = F.coalesce(here, other)
         result.append(value.alias(name))
