@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.columns import safe_ratio
-from cohorta.operators.scans import GROUP_LIMIT, last_known, next_value, ordered_scans
+from cohorta.operators.scans import GROUP_LIMIT, HotGroups, last_known, next_value, ordered_scans
 from cohorta.operators.spine import DAY
 
 
@@ -20,6 +20,7 @@ def exposure_windows(
     tie: Sequence[str] = (),
     *,
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Give every exposure the window [start_time, end_time) until the next one of
     the same keys; the last window ends at ``open_end``.
@@ -30,7 +31,7 @@ def exposure_windows(
     """
     scanned = ordered_scans(
         exposures, keys, [time, *tie], {"_next": next_value(time)},
-        group_limit=group_limit, probe=exposures.select(*keys),
+        group_limit=group_limit, probe=exposures.select(*keys), hot=hot,
     )
     return (
         scanned.withColumn("end_time", F.coalesce("_next", open_end))
@@ -48,6 +49,7 @@ def assign_variant(
     how: str = "inner",
     *,
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Window of the same keys that holds the event: start <= time < end.
 
@@ -56,7 +58,7 @@ def assign_variant(
     seen, which costs one sort per key; a join would first build every pair of an
     event and a window of that key.
     """
-    scanned = _with_last_window(events, windows, keys, at, take, group_limit)
+    scanned = _with_last_window(events, windows, keys, at, take, group_limit, hot)
     inside = F.col(at) < F.col("_w.end_time")
     if how == "inner":
         return scanned.where(inside).select(*events.columns, *[F.col(f"_w.{c}").alias(c) for c in take])
@@ -72,6 +74,7 @@ def assign_variant_closed(
     how: str = "inner",
     *,
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Same with both ends included: start <= time <= end, so an event on a border
     is repeated for each window that touches it.
@@ -79,7 +82,7 @@ def assign_variant_closed(
     Besides the window of the half-open rule these are the windows that end exactly
     at the event, which an equi join on (keys, time) finds.
     """
-    scanned = _with_last_window(events, windows, keys, at, take, group_limit)
+    scanned = _with_last_window(events, windows, keys, at, take, group_limit, hot)
     inside = F.col(at) < F.col("_w.end_time")
     fields = F.struct(*[F.col(f"_w.{c}").alias(c) for c in take])
     own = F.when(inside, fields)
@@ -96,7 +99,7 @@ def assign_variant_closed(
     )
 
 
-def _with_last_window(events, windows, keys, at, take, group_limit):
+def _with_last_window(events, windows, keys, at, take, group_limit, hot):
     window_rows = windows.select(
         *keys,
         F.col("start_time").alias("_t"),
@@ -108,7 +111,7 @@ def _with_last_window(events, windows, keys, at, take, group_limit):
     probe = events.select(*keys).unionByName(windows.select(*keys))
     scanned = ordered_scans(
         both, keys, ["_t", "_kind", "_window"], {"_w": last_known("_window")},
-        group_limit=group_limit, probe=probe,
+        group_limit=group_limit, probe=probe, hot=hot,
     )
     return scanned.where(F.col("_kind") == 1)
 

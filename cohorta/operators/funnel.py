@@ -11,6 +11,7 @@ from cohorta.functions.columns import seconds_between
 from cohorta.operators.joins import interval_join
 from cohorta.operators.scans import (
     GROUP_LIMIT,
+    HotGroups,
     hot_groups,
     last_known,
     ordered_scans,
@@ -21,11 +22,11 @@ from cohorta.operators.scans import (
 )
 
 
-def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Sequence[str] = (), *, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Sequence[str] = (), *, group_limit: int = GROUP_LIMIT, hot: HotGroups | None = None) -> DataFrame:
     """Add ``session_start`` and ``session_id``; a session ends after a silence longer
     than the gap. The id is the key and the session's first instant."""
     order = [time, *tie]
-    hot = hot_groups(events, [key], group_limit)
+    hot = hot or hot_groups(events, [key], group_limit)
     step = ordered_scans(events, [key], order, {"_before": previous_value(time)}, hot=hot)
     new = F.col("_before").isNull() | (
         F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
@@ -48,6 +49,7 @@ def funnel_rows(
     *,
     coarse: Sequence[str] = (),
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Events that take part in a funnel: first-step events and those later-step events
     that follow the step before (``anchor='previous'``) or the first step
@@ -65,7 +67,7 @@ def funnel_rows(
     # Steps of one instant: earlier steps first, unless they must not count.
     rows = rows.withColumn("_turn", -F.col("_step") if strict else F.col("_step"))
     rows = rows.withColumn("_dims", F.when(F.col("_step") == 0, F.struct(F.lit(True).alias("_first"), *outer)))
-    hot = hot_groups(rows, session, group_limit, coarse)
+    hot = hot or hot_groups(rows, session, group_limit, coarse)
     rows = ordered_scans(rows, session, [time, "_turn"], {"_seen": seen("_dims")}, hot=hot)
     own = F.when(F.col("_step") == 0, F.array("_dims")).otherwise(F.col("_seen"))
     rows = rows.select(*session, time, "_step", "_turn", F.explode(own).alias("_d"))
@@ -155,10 +157,11 @@ def conversion_within(
     *,
     coarse: Sequence[str] = (),
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Distinct sessions with a start, and those followed up in time, per ``by``."""
     marked = mark_starts(events, start, follow)
-    hot = hot_groups(marked, keys, group_limit, coarse)
+    hot = hot or hot_groups(marked, keys, group_limit, coarse)
     found = with_next_times(marked, keys, time, {"_next": F.lit(True)}, hot=hot).where("_kind = 0")
     in_time = F.col("_next") <= F.col(time) + F.expr(f"interval {int(seconds)} seconds")
     reached = found.withColumn("t_started", F.col(time)).withColumn("t_converted", F.when(in_time, F.col("_next")))

@@ -78,11 +78,19 @@ def ab_test_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], va
             for m in metrics
         ])),
     )
-    keys = [*by, "metric"]
-    # From here on there is one row per group, metric and variant.
-    c = rows.where(F.col(variant) == control).select(*keys, *[F.col(x).alias(f"{x}_control") for x in ("n", "mean", "var")])
-    v = rows.where(F.col(variant).isin(list(treatments))).select(*keys, F.col(variant).alias("treatment"), *[F.col(x).alias(f"{x}_variant") for x in ("n", "mean", "var")])
-    out = c.join(v, keys)
+    # One row per group, metric and variant by now; treatments are laid out beside control.
+    pick = lambda v, c: F.max(F.when(F.col(variant) == v, F.col(c)))
+    stats = ("n", "mean", "var")
+    sides = [
+        F.struct(
+            F.lit(t).alias("treatment"),
+            *[pick(control, c).alias(f"{c}_control") for c in stats],
+            *[pick(t, c).alias(f"{c}_variant") for c in stats],
+        )
+        for t in treatments
+    ]
+    wide = rows.groupBy(*by, "metric").agg(F.array(*sides).alias("_sides"))
+    out = wide.select(*by, "metric", F.inline("_sides")).where("n_control is not null and n_variant is not null")
     change = 100 * safe_ratio(F.col("mean_variant") - F.col("mean_control"), F.col("mean_control"))
     return _welch(out.withColumn("delta_percent", change), alpha, factor)
 

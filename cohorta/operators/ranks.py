@@ -118,11 +118,22 @@ def share_of_total(df: DataFrame, value: str, within: Sequence[str] = (), name:
 
 
 def average_rank_correlation(df: DataFrame, x: str, y: str, *, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Spearman: Pearson correlation of average ranks."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = ranked(both, [], x, group_limit=group_limit).select(x, y, F.col("rank_avg").alias("_rx"))
-    ry = ranked(rx, [], y, group_limit=group_limit).select("_rx", F.col("rank_avg").alias("_ry"))
-    return ry.agg(F.corr("_rx", "_ry").alias("spearman"))
+    """Spearman: Pearson correlation of average ranks. Rows shrink to distinct (x, y) pairs
+    with counts before anything is ranked; the correlation is then a weighted one."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
+
+    def ranks_of(column, name):
+        counts = pairs.groupBy(column).agg(F.sum("_w").alias("n"))
+        table = ordered_scans(counts, [], [column], {"upto": running_sum("n")}, group_limit=group_limit)
+        return table.select(F.col(column).alias(f"_v{name}"), (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+
+    ranked_pairs = pairs.join(ranks_of(x, "_rx"), F.col(x) == F.col("_v_rx")).join(ranks_of(y, "_ry"), F.col(y) == F.col("_v_ry"))
+    w = F.col("_w").cast("double")
+    mean = lambda e: F.sum(w * e) / F.sum(w)
+    a, b = F.col("_rx"), F.col("_ry")
+    covariance = mean(a * b) - mean(a) * mean(b)
+    spread = F.sqrt((mean(a * a) - mean(a) * mean(a)) * (mean(b * b) - mean(b) * mean(b)))
+    return ranked_pairs.agg(F.try_divide(covariance, spread).alias("spearman"))
 
 
 def top_k(df: DataFrame, by: str, label: str, k: int) -> DataFrame:

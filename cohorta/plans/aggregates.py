@@ -9,7 +9,7 @@ from cohorta.operators import aggregates as A
 from cohorta.operators import ranks as R
 from cohorta.operators import reshape as W
 from cohorta.plans.base import SESSIONS_CTE, events, lines, orders, query, r, sessions
-from cohorta.sources.tables import run_sql, scan_table
+from cohorta.sources.tables import run_sql
 
 
 def _lines_orders(spark, folder):

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from cohorta.functions.columns import col, hash_bucket
 from cohorta.operators.exposure import exposure_windows
 from cohorta.operators.funnel import sessionize
+from cohorta.operators.scans import GROUP_LIMIT, HotGroups, hot_groups
 from cohorta.session import tune
-from cohorta.sources.tables import scan_table
+from cohorta.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,24 @@ def open_end() -> Column:
     return F.lit(OPEN_END).cast("timestamp_ntz")
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
+def scan_table(spark, folder, name, columns=None):
+    return tables.scan_table(spark, folder, name, columns, SCHEMAS[name])
+
+
 def events(spark, folder, *columns):
     return scan_table(spark, folder, "events", columns or None)
 
@@ -69,19 +88,27 @@ def lines(spark, folder, *columns):
     return scan_table(spark, folder, "lineitem", columns or None)
 
 
+def calm_users(spark, folder) -> HotGroups | None:
+    """One measurement for all scans by user. The frames made from events hold at most two
+    rows per event, so with half the limit here none of them can pass the limit; when
+    some user has more, every operator measures for itself."""
+    found = hot_groups(events(spark, folder, "user_id"), ["user_id"], GROUP_LIMIT // 2)
+    return None if found.groups else found
+
+
 def exposures(spark, folder):
     e = events(spark, folder, "event_id", "ts", "user_id", "event_type").where("event_type = 'signup'")
     variant = F.when(hash_bucket("event_id", "exp1") < 500, "control").otherwise("treatment")
     return e.select(F.col("user_id").alias("customer_id"), "event_id", variant.alias("variant"), "ts")
 
 
-def windows(spark, folder):
-    return exposure_windows(exposures(spark, folder), ["customer_id"], "ts", open_end(), ["event_id"])
+def windows(spark, folder, calm=None):
+    return exposure_windows(exposures(spark, folder), ["customer_id"], "ts", open_end(), ["event_id"], hot=calm)
 
 
-def sessions(spark, folder):
+def sessions(spark, folder, calm=None):
     e = events(spark, folder)
-    return sessionize(e, "user_id", "ts", SESSION_GAP, ["event_id"]).withColumn("day", F.to_date("ts"))
+    return sessionize(e, "user_id", "ts", SESSION_GAP, ["event_id"], hot=calm).withColumn("day", F.to_date("ts"))
 
 
 EXPOSURES_CTE = """

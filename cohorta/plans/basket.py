@@ -13,10 +13,9 @@ from cohorta.operators import basket as B
 from cohorta.operators import inference as I
 from cohorta.operators import joins as J
 from cohorta.operators.splits import assign_by_hash
-from cohorta.plans.base import lines, orders, query, r
+from cohorta.plans.base import lines, orders, query, r, scan_table
 from cohorta.plans.filters import VERSIONS_CTE, part_versions
 from cohorta.plans.joins import LINES_CTE, order_lines
-from cohorta.sources.tables import scan_table
 
 # -- availability -------------------------------------------------------------
 
@@ -37,9 +36,6 @@ flags as (select *, coalesce({_MISSING}, false) as missing, o_orderstatus = 'P'
 def availability_lines(spark, folder):
     raw = order_lines(spark, folder).withColumn("product", F.col("l_partkey") % 3).withColumn("amount", F.floor(F.col("l_quantity") / 10))
     l = J.replacement_join(raw, "line_id", "replaced_by", ["product", "amount"])
-    # The line status is not part of the one-line frame, so it is looked up by line.
-    status = lines(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
-    l = l.join(status, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     o = scan_table(spark, folder, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
     l = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     quantity = B.effective_quantity(F.col("amount"), F.col("o_orderpriority") == "5-LOW")

@@ -14,9 +14,8 @@ from cohorta.functions import columns as C
 from cohorta.operators import inference as I
 from cohorta.operators import ranks as R
 from cohorta.operators import splits as L
-from cohorta.plans.base import lines, orders, query, r
+from cohorta.plans.base import lines, orders, query, r, scan_table
 from cohorta.plans.basket import AB_CTE, OBSERVATIONS_CTE, UNITS_CTE, ab_customers, units, weekly_observations
-from cohorta.sources.tables import scan_table
 
 _WEIGHT = "(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)"
 

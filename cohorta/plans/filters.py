@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from cohorta.functions import columns as C
 from cohorta.operators import rows as R
 from cohorta.operators import spine as S
-from cohorta.plans.base import EXPOSURES_CTE, events, exposures, lines, orders, query, r
-from cohorta.sources.tables import scan_table
+from cohorta.plans.base import EXPOSURES_CTE, events, exposures, lines, orders, query, r, scan_table
 
 START, END = date(1997, 3, 1), date(1997, 4, 30)
 TODAY = date(1998, 6, 11)

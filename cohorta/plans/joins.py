@@ -15,10 +15,10 @@ from cohorta.operators.activity import subsequent_orders
 from cohorta.operators.rows import first_per_key
 from cohorta.operators.spine import date_spine
 from cohorta.plans.base import (
+    scan_table,
     SESSIONS_CTE, WINDOWS_CTE, events, lines, orders, query, r, sessions, windows,
 )
 from cohorta.plans.filters import VERSIONS_CTE, part_versions
-from cohorta.sources.tables import scan_table
 
 
 # -- equi joins ---------------------------------------------------------------
@@ -296,7 +296,7 @@ def _(spark, folder):
 def order_lines(spark, folder):
     """One line per (order, line number); the next number of the order replaces a
     returned line."""
-    l = lines(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    l = lines(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     one = first_per_key(l, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
     line_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return one.withColumn("line_id", line_id).withColumn("replaced_by", F.when(F.col("l_returnflag") == "R", F.col("line_id") + 1))

@@ -12,9 +12,9 @@ from cohorta.operators import rows as P
 from cohorta.operators import splits as L
 from cohorta.operators.scans import next_known, ordered_scans
 from cohorta.plans.base import (
+    scan_table,
     EXPOSURES_CTE, OPEN_END, SESSIONS_CTE, WINDOWS_CTE, events, exposures, lines, open_end, orders, query, r, sessions, windows,
 )
-from cohorta.sources.tables import scan_table
 
 
 @query("exposure_windows", f"with {WINDOWS_CTE} select event_id, customer_id, variant, start_time, end_time from windows")

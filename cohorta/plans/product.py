@@ -14,12 +14,12 @@ from cohorta.operators import joins as J
 from cohorta.operators import nested as N
 from cohorta.operators import reconcile as K
 from cohorta.operators import reshape as W
-from cohorta.operators.scans import hot_groups
 from cohorta.operators.splits import assign_by_hash
 from cohorta.plans.base import (
+    scan_table,
     EXPOSURES_CTE, SESSIONS_CTE, WINDOWS_CTE, events, exposures, lines, orders, query, r, sessions, windows,
+    calm_users,
 )
-from cohorta.sources.tables import scan_table
 
 IS = lambda kind: F.col("event_type") == kind
 # The user is part of the key although the session implies it: the scans before leave
@@ -34,10 +34,10 @@ def _(spark, folder):
 
 # -- funnels ------------------------------------------------------------------
 
-def sessions_with_variant(spark, folder):
-    s = sessions(spark, folder)
-    w = windows(spark, folder).withColumnRenamed("customer_id", "user_id")
-    return E.assign_variant(s, w, ["user_id"], "ts", how="left")
+def sessions_with_variant(spark, folder, calm):
+    s = sessions(spark, folder, calm)
+    w = windows(spark, folder, calm).withColumnRenamed("customer_id", "user_id")
+    return E.assign_variant(s, w, ["user_id"], "ts", how="left", hot=calm)
 
 
 _FUNNEL = f"""
@@ -52,7 +52,8 @@ from s1 left join sessions s2 on s2.session_id = s1.session_id and s2.day = s1.d
 left join sessions s3 on s3.session_id = s2.session_id and s3.day = s2.day and s3.event_type = 'purchase' and s3.ts >= s2.ts group by all""")
 def _(spark, folder):
     steps = [("view", IS("view")), ("click", IS("click")), ("purchase", IS("purchase"))]
-    reached = U.session_funnel(sessions_with_variant(spark, folder), SESSION, "ts", steps, ["variant"], coarse=["user_id"])
+    calm = calm_users(spark, folder)
+    reached = U.session_funnel(sessions_with_variant(spark, folder, calm), SESSION, "ts", steps, ["variant"], coarse=["user_id"], hot=calm)
     return U.funnel_counts(reached, "session_id", ["view", "click", "purchase"], ["day", "variant"])
 
 
@@ -64,7 +65,9 @@ left join sessions s3 on s3.session_id = s1.session_id and s3.day = s1.day and s
 left join sessions s4 on s4.session_id = s1.session_id and s4.day = s1.day and s4.event_type = 'error' and s4.ts > s1.ts group by all""")
 def _(spark, folder):
     names = ["view", "click", "purchase", "error"]
-    reached = U.session_funnel(sessions_with_variant(spark, folder), SESSION, "ts", [(n, IS(n)) for n in names], ["variant"], "first", strict=True, coarse=["user_id"])
+    calm = calm_users(spark, folder)
+    rows = sessions_with_variant(spark, folder, calm)
+    reached = U.session_funnel(rows, SESSION, "ts", [(n, IS(n)) for n in names], ["variant"], "first", strict=True, coarse=["user_id"], hot=calm)
     return U.funnel_counts(reached, "session_id", names, ["day", "variant"])
 
 
@@ -76,8 +79,9 @@ left join sessions s3 on s3.session_id = s1.session_id and s3.day = s1.day and s
 where s1.event_type = 'view' group by 1""")
 def _(spark, folder):
     names = ["view", "click", "purchase"]
-    s = sessions(spark, folder)
-    return U.funnel_events(s, ["user_id", "session_id", "day"], "ts", [(n, IS(n)) for n in names], ["day"], "first", strict=True, coarse=["user_id"])
+    calm = calm_users(spark, folder)
+    s = sessions(spark, folder, calm)
+    return U.funnel_events(s, SESSION, "ts", [(n, IS(n)) for n in names], ["day"], "first", strict=True, coarse=["user_id"], hot=calm)
 
 
 @query("conversion_within", f"""
@@ -86,8 +90,9 @@ select a.day, count(distinct a.session_id) as n_started, count(distinct b.sessio
 from sessions a left join sessions b on b.session_id = a.session_id and b.day = a.day and b.event_type = 'purchase'
  and b.ts between a.ts and a.ts + interval 60 minute where a.event_type = 'view' group by 1""")
 def _(spark, folder):
-    s = sessions(spark, folder).select("user_id", "session_id", "day", "ts", "event_type")
-    return U.conversion_within(s, IS("view"), IS("purchase"), SESSION, "ts", 3600, "session_id", ["day"], coarse=["user_id"])
+    calm = calm_users(spark, folder)
+    s = sessions(spark, folder, calm).select("user_id", "session_id", "day", "ts", "event_type")
+    return U.conversion_within(s, IS("view"), IS("purchase"), SESSION, "ts", 3600, "session_id", ["day"], coarse=["user_id"], hot=calm)
 
 
 _SURFACE_SQL = """case when event_type = 'purchase' and k % 11 = 0 then 'Reorder' when k < 20 then 'Wall' when k < 40 and value > 5 then 'WallWidget'
@@ -128,9 +133,10 @@ f as (select si.day, si.position, count(distinct si.event_id) as n_shown, count(
 
 def _positions(spark, folder):
     # Only the first step carries a position; the group of later events does not matter.
-    s = sessions(spark, folder).withColumn("position", F.get_json_object("props", "$.k").cast("long") % 4 + 1)
+    calm = calm_users(spark, folder)
+    s = sessions(spark, folder, calm).withColumn("position", F.get_json_object("props", "$.k").cast("long") % 4 + 1)
     steps = [("shown", IS("view")), ("accessed", IS("click")), ("ordered", IS("purchase"))]
-    return U.funnel_events(s, SESSION, "ts", steps, ["day", "position"], coarse=["user_id"])
+    return U.funnel_events(s, SESSION, "ts", steps, ["day", "position"], coarse=["user_id"], hot=calm)
 
 
 @query("position_funnel", _POSITION_SQL + " select * from f")
@@ -210,12 +216,12 @@ left join s h on h.event_type = 'purchase' and f.ts <= h.ts and f.user_id = h.us
 where f.event_type = 'click'""")
 def _(spark, folder):
     channel = F.when(F.get_json_object("props", "$.k").cast("long") % 3 == 0, "ad").otherwise("other")
-    s = sessions(spark, folder).withColumn("channel", channel).select("event_id", "user_id", "session_id", "ts", "event_type", "channel")
+    calm = calm_users(spark, folder)
+    s = sessions(spark, folder, calm).withColumn("channel", channel).select("event_id", "user_id", "session_id", "ts", "event_type", "channel")
     picks = lambda n: {n: F.lit(True), f"{n}_ad": F.col("channel") == "ad", f"{n}_other": F.col("channel") == "other"}
     marked = U.mark_starts(s, IS("click"), IS("purchase"))
-    hot = hot_groups(marked, ["user_id"])
-    same = U.with_next_times(marked, ["user_id", "session_id"], "ts", picks("same_session"), hot=hot if not hot.groups else None)
-    found = U.with_next_times(same, ["user_id"], "ts", picks("within_24h"), hot=hot).where("_kind = 0")
+    same = U.with_next_times(marked, ["user_id", "session_id"], "ts", picks("same_session"), hot=calm)
+    found = U.with_next_times(same, ["user_id"], "ts", picks("within_24h"), hot=calm).where("_kind = 0")
     rates = [r(C.safe_ratio(F.count_if(F.col(n).isNotNull()), F.count(F.lit(1)))).alias(n) for n in picks("same_session")]
     rates += [r(C.safe_ratio(F.count_if(C.seconds_between("ts", n) <= 86400), F.count(F.lit(1)))).alias(n) for n in picks("within_24h")]
     return found.agg(F.count(F.lit(1)).alias("n_starts"), *rates)

@@ -11,8 +11,7 @@ from cohorta.operators import reshape as W
 from cohorta.operators import rows as P
 from cohorta.operators.funnel import session_timeline
 from cohorta.operators.joins import in_ids
-from cohorta.plans.base import SESSIONS_CTE, events, lines, orders, query, r, sessions
-from cohorta.sources.tables import scan_table
+from cohorta.plans.base import SESSIONS_CTE, events, lines, orders, query, r, sessions, scan_table
 
 
 @query("order_by", """

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from cohorta.functions import columns as C
 from cohorta.operators import nested as N
 from cohorta.operators.splits import assign_by_hash
-from cohorta.plans.base import events, lines, orders, query, r
-from cohorta.sources.tables import scan_table
+from cohorta.plans.base import events, lines, orders, query, r, scan_table
 
 
 @query("string_functions", """
@@ -131,16 +130,13 @@ def dispatched(spark, folder):
 
     def product(i):
         number = F.col("l_partkey") + i
-        other = lambda k: F.struct((number + k).cast("string").alias("externalid"))
-        replace = F.struct(F.lit("REPLACE").alias("action"), F.array(other(1), other(2)).alias("alternativeproducts"))
-        remove = F.struct(F.lit("REMOVE").alias("action"))
-        text = F.when(number % 3 == 0, F.to_json(remove)).otherwise(F.to_json(replace))
+        text = F.when(number % 3 == 0, '{"action":"REMOVE"}').otherwise(
+            F.format_string('{"action":"REPLACE","alternativeproducts":[{"externalid":"%d"},{"externalid":"%d"}]}', number + 1, number + 2)
+        )
         return F.struct(number.cast("string").alias("external_id"), text.alias("strategy"))
 
-    count = F.col("l_linenumber") % 4
-    listed = F.transform(F.sequence(F.lit(1), count), product)
-    nothing = F.array_repeat(product(F.lit(0)), 0)
-    return l.withColumn("products", F.when(count > 0, listed).otherwise(nothing))
+    three = F.array(product(1), product(2), product(3))
+    return l.withColumn("products", F.slice(three, F.lit(1), F.col("l_linenumber") % 4))
 
 
 EVENT_ORDER = ["l_shipdate", "l_suppkey", "l_linenumber", "l_partkey"]

@@ -16,7 +16,7 @@ from cohorta.sources import tables as T
 @query("scan_table", """
 select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 400000""")
 def _(spark, folder):
-    return T.scan_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]).where("o_totalprice > 400000")
+    return scan_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]).where("o_totalprice > 400000")
 
 
 @query("render_params", """
@@ -30,7 +30,7 @@ def _(spark, folder):
            from {orders} where o_orderdate >= :from_day and o_orderdate < :to_day and o_totalprice > :min_price
            group by o_orderstatus""",
         {"from_day": date(1997, 1, 1), "to_day": date(1998, 1, 1), "min_price": 1000.0},
-        {"orders": T.scan_table(spark, folder, "orders")},
+        {"orders": scan_table(spark, folder, "orders")},
     )
 
 
@@ -38,7 +38,7 @@ def _(spark, folder):
 select l_suppkey, count(*) as n_lines from lineitem
 where l_suppkey in (select s_suppkey from supplier where s_acctbal > 5000) group by l_suppkey""")
 def _(spark, folder):
-    stores = T.scan_table(spark, folder, "supplier").where("s_acctbal > 5000")
+    stores = scan_table(spark, folder, "supplier").where("s_acctbal > 5000")
     return in_ids(lines(spark, folder, "l_suppkey"), "l_suppkey", stores, "s_suppkey").groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n_lines")
     )
@@ -49,7 +49,7 @@ select c_mktsegment, count(*) as n_customers, round(sum(c_acctbal), 2) as balanc
 from customer group by c_mktsegment""")
 def _(spark, folder):
     path = scratch_dir(spark)
-    T.write_csv(T.scan_table(spark, folder, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]), path)
+    T.write_csv(scan_table(spark, folder, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]), path)
     back = T.read_csv(spark, path, "c_custkey long, c_mktsegment string, c_acctbal double")
     return back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"), r(F.sum("c_acctbal"), 2).alias("balance"))
 
@@ -80,7 +80,7 @@ select case when cast('0x' || substr(md5('stores' || s_suppkey), 1, 8) as bigint
             then 'Treat' else 'Control' end as variant, count(*) as n_stores
 from supplier group by 1""")
 def _(spark, folder):
-    stores = T.scan_table(spark, folder, "supplier", ["s_suppkey"])
+    stores = scan_table(spark, folder, "supplier", ["s_suppkey"])
     path = scratch_dir(spark)
     T.write_assignment(assign_by_hash(stores, "s_suppkey", "stores", [(800, "Treat"), (1000, "Control")]), path)
     return spark.read.parquet(path).groupBy("variant").agg(F.count(F.lit(1)).alias("n_stores"))

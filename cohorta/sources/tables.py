@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scan_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A parquet table, or some of its columns."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+def scan_table(
+    spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """A parquet table, or some of its columns. A stated schema saves the look into the
+    files that inferring one takes."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
