@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohorta.functions.columns import case_map, safe_ratio
 from cohorta.operators.aggregates import conditional_distinct
-from cohorta.operators.ranks import share_of_total
 from cohorta.operators.reshape import unpivot_metrics
 
 
@@ -108,12 +107,10 @@ def category_penetration(lines: DataFrame, by: Sequence[str], order: str, in_cat
 
 
 def category_mix(lines: DataFrame, group: str, category: str, categories: Sequence[str], weight: Column) -> DataFrame:
-    """Each category's share of its group, one column per category."""
-    sums = lines.groupBy(group, category).agg(weight.alias("_w"))
-    shares = share_of_total(sums, "_w", [group])
-    wide = shares.groupBy(group).pivot(category, list(categories)).agg(F.max("share"))
-    total = sums.groupBy(group).agg(F.sum("_w").alias("volume"))
-    return wide.join(total, group).fillna(0.0, list(categories))
+    """Each category's share of its group's summed weight, one column per category."""
+    total = F.sum(weight)
+    share = lambda c: F.coalesce(safe_ratio(F.sum(F.when(F.col(category) == c, weight)), total), F.lit(0.0))
+    return lines.groupBy(group).agg(total.alias("volume"), *[share(c).alias(c) for c in categories])
 
 
 def segment_stores(stores: DataFrame, rules, default: str | None = None) -> DataFrame:
@@ -148,8 +145,9 @@ def units_and_value_per_order(lines: DataFrame, by: Sequence[str], order: str, u
 def share_of_parent(parts: DataFrame, parent: Sequence[str], part: Sequence[str], unit: str) -> DataFrame:
     """Distinct units of each part over distinct units of its parent (a partner's
     sessions over its city's, per day)."""
-    whole = parts.groupBy(*parent).agg(F.countDistinct(unit).alias("n_parent"))
-    each = parts.groupBy(*parent, *part).agg(F.countDistinct(unit).alias("n_part"))
+    once = parts.select(*parent, *part, unit).distinct()
+    whole = once.groupBy(*parent).agg(F.countDistinct(unit).alias("n_parent"))
+    each = once.groupBy(*parent, *part).agg(F.count(unit).alias("n_part"))
     return each.join(whole, list(parent)).withColumn("share", safe_ratio("n_part", "n_parent"))
 
 
@@ -214,10 +212,11 @@ def customer_distribution(orders: DataFrame, customer: str) -> DataFrame:
     """Customers per number of orders, with frequency and running share in percent."""
     per_customer = orders.groupBy(customer).agg(F.count(F.lit(1)).alias("n_orders"))
     table = per_customer.groupBy("n_orders").agg(F.count(F.lit(1)).alias("n_customers"))
-    total = per_customer.agg(F.count(F.lit(1))).scalar()
-    so_far = Window.partitionBy(F.lit(0)).orderBy("n_orders")
+    # One row per number of orders: k different numbers take at least k(k-1)/2 orders.
+    everyone = Window.partitionBy(F.lit(0))
+    total, so_far = F.sum("n_customers").over(everyone), F.sum("n_customers").over(everyone.orderBy("n_orders"))
     return table.withColumn("frequency_percent", 100 * safe_ratio("n_customers", total)).withColumn(
-        "cumulative_percent", 100 * safe_ratio(F.sum("n_customers").over(so_far), total)
+        "cumulative_percent", 100 * safe_ratio(so_far, total)
     )
 
 

@@ -77,7 +77,7 @@ def assign_variant_closed(
     hot: HotGroups | None = None,
 ) -> DataFrame:
     """Same with both ends included: start <= time <= end, so an event on a border
-    is repeated for each window that touches it.
+    is repeated for each different window that touches it.
 
     Besides the window of the half-open rule these are the windows that end exactly
     at the event, which an equi join on (keys, time) finds.
@@ -86,8 +86,11 @@ def assign_variant_closed(
     inside = F.col(at) < F.col("_w.end_time")
     fields = F.struct(*[F.col(f"_w.{c}").alias(c) for c in take])
     own = F.when(inside, fields)
+    # At most one window of positive length ends at an instant, and equal windows count
+    # once, so these lists hold no more than one entry per variant and one over.
     ends = (
-        windows.groupBy(*keys, F.col("end_time").alias("_at"))
+        windows.select(*keys, "start_time", "end_time", *take).distinct()
+        .groupBy(*keys, F.col("end_time").alias("_at"))
         .agg(F.collect_list(F.struct(*take)).alias("_ended"))
     )
     joined = scanned.withColumn("_at", F.col(at)).join(ends, [*keys, "_at"], "left")

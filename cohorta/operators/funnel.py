@@ -58,6 +58,8 @@ def funnel_rows(
 
     "Not earlier than some event of the step before" needs no join: in time order it
     means that such an event has been seen, so one sort per session answers every step.
+    ``dims`` are for columns with few values (variant, country, platform); one with many,
+    such as the store, belongs in the session key.
     With ``strict`` an event at the same instant does not count. ``coarse`` names a part
     of the session key on which group sizes are cheaper to measure.
     """

@@ -90,7 +90,8 @@ def ab_test_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], va
         for t in treatments
     ]
     wide = rows.groupBy(*by, "metric").agg(F.array(*sides).alias("_sides"))
-    out = wide.select(*by, "metric", F.inline("_sides")).where("n_control is not null and n_variant is not null")
+    out = wide.select(*by, "metric", F.inline("_sides")).where("n_control is not null or n_variant is not null")
+    out = out.fillna(0, ["n_control", "n_variant"])
     change = 100 * safe_ratio(F.col("mean_variant") - F.col("mean_control"), F.col("mean_control"))
     return _welch(out.withColumn("delta_percent", change), alpha, factor)
 

@@ -91,8 +91,9 @@ def split_search(
     ).dropna(subset=["treat", "control"])
     fitted = pre_period_fit(long, ["split", "metric"], in_pre).where(in_pre).withColumn("period", F.lit("pre"))
     scores = mase(fitted, ["split", "metric"], day, "period")
-    # One row per split and metric from here on.
-    ranked = scores.withColumn("rank", F.dense_rank().over(Window.partitionBy("metric").orderBy("mase")))
+    # One row per split and metric from here on. Scores that differ only in how their sums
+    # were rounded share a rank.
+    ranked = scores.withColumn("rank", F.dense_rank().over(Window.partitionBy("metric").orderBy(F.round("mase", 9))))
     total = ranked.groupBy("split").agg(
         F.sum("rank").alias("total_rank"),
         *[F.max(F.when(F.col("metric") == m, F.col("mase"))).alias(f"mase_{m}") for m in metrics],

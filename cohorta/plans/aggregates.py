@@ -8,7 +8,7 @@ from cohorta.functions import columns as C
 from cohorta.operators import aggregates as A
 from cohorta.operators import ranks as R
 from cohorta.operators import reshape as W
-from cohorta.plans.base import SESSIONS_CTE, events, lines, orders, query, r, sessions
+from cohorta.plans.base import SESSIONS_CTE, lines, orders, query, r, scan_table, sessions
 from cohorta.sources.tables import run_sql
 
 

@@ -189,7 +189,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 with s as (select n_name, p_type, sum(l_quantity) as w from {_LOCATED} group by all)
 select n_name, sum(w) as volume, {", ".join(f"coalesce(round(sum(case when p_type = '{t}' then w end) / sum(w), 6), 0) as {t}" for t in TYPES)} from s group by 1 order by volume desc""")
 def _(spark, folder):
-    out = B.category_mix(located_lines(spark, folder), "n_name", "p_type", TYPES, F.sum("l_quantity"))
+    out = B.category_mix(located_lines(spark, folder), "n_name", "p_type", TYPES, F.col("l_quantity"))
     return out.select("n_name", "volume", *[r(t).alias(t) for t in TYPES]).orderBy(F.col("volume").desc(), "n_name")
 
 

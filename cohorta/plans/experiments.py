@@ -249,7 +249,7 @@ pre as (select * from p where day < date '1999-07-01' and treat is not null and
 f as (select split, metric, regr_slope(treat, control) as a, regr_intercept(treat, control) as b from pre group by all),
 e as (select split, metric, abs(treat - b - a * control) as err, abs(treat - lag(treat) over (partition by split, metric order by day)) as step from pre join f using (split, metric)),
 m as (select split, metric, avg(err) / avg(step) as mase from e group by all),
-k as (select *, dense_rank() over (partition by metric order by mase) as rk from m),
+k as (select *, dense_rank() over (partition by metric order by round(mase, 9)) as rk from m),
 t as (select split, cast(sum(rk) as bigint) as total_rank, round(max(case when metric = 'n_lines' then mase end), 6) as mase_n_lines, round(max(case when metric = 'quantity' then mase end), 6) as mase_quantity from k group by 1)
 select *, row_number() over (order by total_rank, split) = 1 as is_best from t""")
 def _(spark, folder):

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cohorta.functions import columns as C
 from cohorta.operators import rows as R
 from cohorta.operators import spine as S
-from cohorta.plans.base import EXPOSURES_CTE, events, exposures, lines, orders, query, r, scan_table
+from cohorta.operators.activity import activity_around
+from cohorta.operators.scans import next_value, ordered_scans
+from cohorta.plans.base import EXPOSURES_CTE, events, exposures, lines, orders, query, scan_table
 
 START, END = date(1997, 3, 1), date(1997, 4, 30)
 TODAY = date(1998, 6, 11)
@@ -56,8 +58,6 @@ def _(spark, folder):
     # Customers of each day of the period, and those of them who come back within 28 days.
     # The longer spine lets the days after the period in.
     short, longer = S.retention_spines(spark, date(1997, 3, 1), date(1997, 3, 31), 28)
-    from cohorta.operators.activity import activity_around
-
     o = orders(spark, folder)
     seen = S.filter_by_spine(o, "day", longer).select("o_custkey", "day").distinct()
     ahead = activity_around(seen, ["o_custkey"], "day", F.lit(0.0), F.lit(True), {"next": (1, 28)})
@@ -156,8 +156,6 @@ def _(spark, folder):
 def part_versions(spark, folder):
     """Dated versions per part: every ship day of a returned line starts a new one, which
     lasts until the next."""
-    from cohorta.operators.scans import next_value, ordered_scans
-
     v = (
         lines(spark, folder, "l_partkey", "l_shipdate", "l_discount", "l_returnflag").where("l_returnflag = 'R'")
         .groupBy("l_partkey", F.to_date("l_shipdate").alias("start_date")).agg(F.max("l_discount").alias("discount"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohorta.functions import columns as C
 from cohorta.operators import nested as N
 from cohorta.operators.splits import assign_by_hash
-from cohorta.plans.base import events, lines, orders, query, r, scan_table
+from cohorta.plans.base import events, lines, query, r, scan_table
 
 
 @query("string_functions", """
