@@ -25,15 +25,15 @@ from cohorta.operators.scans import (
 def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Sequence[str] = (), *, group_limit: int = GROUP_LIMIT, hot: HotGroups | None = None) -> DataFrame:
     """Add ``session_start`` and ``session_id``; a session ends after a silence longer
     than the gap. The id is the key and the session's first instant."""
-    order = [time, *tie]
     hot = hot or hot_groups(events, [key], group_limit)
-    step = ordered_scans(events, [key], order, {"_before": previous_value(time)}, hot=hot)
-    new = F.col("_before").isNull() | (
-        F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
-        > F.lit(gap_seconds * 1_000_000)
-    )
-    marked = step.withColumn("_begin", F.when(new, F.col(time))).drop("_before")
-    out = ordered_scans(marked, [key], order, {"session_start": last_known("_begin")}, hot=hot)
+
+    def begin_of_session(rows):
+        silence = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_before").cast("timestamp"))
+        new = F.col("_before").isNull() | (silence > F.lit(gap_seconds * 1_000_000))
+        marked = rows.withColumn("_begin", F.when(new, F.col(time))).drop("_before")
+        return marked, {"session_start": last_known("_begin")}
+
+    out = ordered_scans(events, [key], [time, *tie], {"_before": previous_value(time)}, hot=hot, then=begin_of_session)
     session_id = F.concat_ws("-", F.col(key).cast("string"), F.unix_micros(F.col("session_start").cast("timestamp")).cast("string"))
     return out.drop("_begin").withColumn("session_id", session_id)
 

@@ -82,8 +82,8 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns])
 
 
-def tidy(df: DataFrame, rename: dict[str, str] = {}, drop: Sequence[str] = (), required: Sequence[str] = (), fill: dict = {}) -> DataFrame:
+def tidy(df: DataFrame, rename: dict[str, str] | None = None, drop: Sequence[str] = (), required: Sequence[str] = (), fill: dict | None = None) -> DataFrame:
     """Rename and drop columns, drop rows lacking required values, fill the rest."""
     out = df.dropna(subset=list(required)) if required else df
     out = out.fillna(fill) if fill else out
-    return out.drop(*drop).withColumnsRenamed(rename)
+    return out.drop(*drop).withColumnsRenamed(rename or {})

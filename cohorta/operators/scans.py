@@ -15,7 +15,7 @@ every row one of two ways, with equal results:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -115,28 +115,40 @@ def ordered_scans(
     group_limit: int = GROUP_LIMIT,
     probe: DataFrame | None = None,
     hot: HotGroups | None = None,
+    then: Callable[[DataFrame], tuple[DataFrame, dict[str, Scan]]] | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed within ``keys`` in ascending ``order``.
 
     ``order`` should put equal rows in a fixed sequence, otherwise rows with the
     same order values may swap. ``probe`` is a cheaper frame with the same keys
     to measure group sizes on; ``hot`` is such a measurement already made.
+
+    ``then`` takes the scanned frame, may add columns to it, and names further scans over
+    the same groups in the same order; hot rows are cut into chunks only once for both.
     """
     keys = list(keys)
     hot = hot or hot_groups(df if probe is None else probe, keys, group_limit)
+
+    def run(frame, scan):
+        out = scan(frame, keys, order, scans)
+        if then is None:
+            return out
+        again, more = then(out)
+        return scan(again, keys, order, more)
+
     if not hot.groups:
-        return _within(df, keys, order, scans)
+        return run(df, _within)
     chunks = min(MAX_CHUNKS, max(2, -(-hot.rows // max(1, hot.limit // 2))))
     if not keys:
-        return _by_chunks(df, keys, order, scans, chunks)
+        return run(_cut(df, keys, order, chunks), _by_chunks).drop("_chunk")
 
     hot_keys = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     if hot.groups <= BROADCAST_ROWS:
         hot_keys = F.broadcast(hot_keys)
     is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    cold_part = _within(df.join(hot_keys, is_hot, "left_anti"), keys, order, scans)
-    hot_part = _by_chunks(df.join(hot_keys, is_hot, "left_semi"), keys, order, scans, chunks)
-    return cold_part.unionByName(hot_part)
+    cold_part = run(df.join(hot_keys, is_hot, "left_anti"), _within)
+    hot_rows = _cut(df.join(hot_keys, is_hot, "left_semi"), keys, order, chunks)
+    return cold_part.unionByName(run(hot_rows, _by_chunks).drop("_chunk"))
 
 
 def _spec(keys, order, descending=False):
@@ -182,17 +194,16 @@ def _within(df, keys, order, scans):
     return out.select(*columns, *scans)
 
 
-def _by_chunks(df, keys, order, scans, chunks):
+def _cut(df, keys, order, chunks):
+    """Number the rows' chunks. Range bounds come from a sample that is drawn anew per
+    plan, so the numbers are written down once and all later readers see the same ones."""
     ensure_checkpoint_dir(df.sparkSession)
-    columns = df.columns
+    ranged = df.repartitionByRange(chunks, *keys, *order)
+    return ranged.withColumn("_chunk", F.spark_partition_id()).checkpoint()
 
-    # Range bounds come from a sample that is drawn anew per plan, so the chunk
-    # numbers are written down once and both readers below see the same ones.
-    ranged = (
-        df.repartitionByRange(chunks, *keys, *order)
-        .withColumn("_chunk", F.spark_partition_id())
-        .checkpoint()
-    )
+
+def _by_chunks(ranged, keys, order, scans):
+    columns = ranged.columns
     position = F.struct(*[F.col(c) for c in order])
     known = lambda c: F.when(F.col(c).isNotNull(), position)
 

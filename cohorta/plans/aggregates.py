@@ -125,11 +125,11 @@ def _(spark, folder):
 
 
 @query("fanout_safe_avg", """
-select l_suppkey, round(sum(o_totalprice) / nullif(count(*), 0), 4) as average
+select l_suppkey, round(sum(o_totalprice) / nullif(count(*), 0), 6) as average
 from (select distinct l_suppkey, o_orderkey, o_totalprice from lineitem join orders on l_orderkey = o_orderkey) group by 1""")
 def _(spark, folder):
     out = A.fanout_safe_avg(_lines_orders(spark, folder), ["l_suppkey"], ["o_orderkey"], "o_totalprice")
-    return out.withColumn("average", r("average", 4))
+    return out.withColumn("average", r("average"))
 
 
 @query("abs_sum", """
