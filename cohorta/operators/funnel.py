@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohorta.functions.columns import seconds_between
 from cohorta.operators.joins import interval_join
+from cohorta.operators.rows import keep_smallest_with_ties
 from cohorta.operators.scans import (
     GROUP_LIMIT,
     HotGroups,
@@ -132,6 +133,7 @@ def next_within(
     name: str = "followed_at",
     *,
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """First follow-up, from another table, at or after each start, within a time limit
     if one is given."""
@@ -139,7 +141,7 @@ def next_within(
     f = follows.select(*keys, F.col(follow_time).alias("_t"), F.lit(1).alias("_kind"))
     probe = starts.select(*keys).unionByName(follows.select(*keys))
     both = s.unionByName(f, allowMissingColumns=True)
-    found = with_next_times(both, keys, "_t", {name: F.lit(True)}, probe=probe, group_limit=group_limit)
+    found = with_next_times(both, keys, "_t", {name: F.lit(True)}, probe=probe, group_limit=group_limit, hot=hot)
     found = found.where("_kind = 0").select(*starts.columns, name)
     if seconds is None:
         return found
@@ -181,17 +183,15 @@ def nearest_follow_up(
     seconds: int,
     *,
     group_limit: int = GROUP_LIMIT,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """First touch of each session and the access of that customer closest after it,
     at most ``seconds`` whole seconds later. Accesses in the same whole second as
     the closest one are all kept; touches without an access stay, with nulls."""
-    best = touches.groupBy(session).agg(F.min(touch_time).alias("_best"))
-    first = (
-        touches.join(best, session).where(F.col(touch_time) == F.col("_best")).drop("_best")
-        .select(session, customer, touch_time).distinct()
-    )
+    per_customer = touches.groupBy(session, customer).agg(F.min(touch_time).alias(touch_time))
+    first = keep_smallest_with_ties(per_customer, [session], touch_time)
     closest = next_within(
-        first, accesses, [customer], touch_time, access_time, None, "_closest", group_limit=group_limit
+        first, accesses, [customer], touch_time, access_time, None, "_closest", group_limit=group_limit, hot=hot
     ).withColumn("delta_seconds", seconds_between(touch_time, "_closest"))
     closest = closest.withColumn("delta_seconds", F.when(F.col("delta_seconds") <= seconds, F.col("delta_seconds")))
     # Ties lie at most one second after the closest access.

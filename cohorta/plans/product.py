@@ -166,9 +166,10 @@ p as (select f.session_id, f.user_id, s.event_id, date_sub('second', f.ts, s.ts)
  from f left join sessions s on s.event_type = 'view' and f.user_id = s.user_id and f.ts <= s.ts and date_sub('second', f.ts, s.ts) <= 86400)
 select session_id, user_id, event_id, delta_seconds, is_same_session from p where rk = 1""")
 def _(spark, folder):
-    s = sessions(spark, folder).select("event_id", "session_id", "user_id", "ts", "event_type")
+    calm = calm_users(spark, folder)
+    s = sessions(spark, folder, calm).select("event_id", "session_id", "user_id", "ts", "event_type")
     return U.nearest_follow_up(
-        s.where(IS("error")).select("session_id", "user_id", "ts"), s.where(IS("view")), "user_id", "session_id", "ts", "ts", ["event_id"], 86400
+        s.where(IS("error")).select("session_id", "user_id", "ts"), s.where(IS("view")), "user_id", "session_id", "ts", "ts", ["event_id"], 86400, hot=calm
     )
 
 
