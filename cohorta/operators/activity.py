@@ -60,12 +60,13 @@ def subsequent_orders(orders: DataFrame, keys: Sequence[str], day: str, days: in
     )
 
 
-def retention(orders: DataFrame, keys: Sequence[str], order: Sequence[str], day: str, days: int, *, name: str = "is_retained", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def retention(orders: DataFrame, keys: Sequence[str], order: Sequence[str], day: str, days: int, *, name: str = "is_retained", null_keys: bool = False, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Add the day of the next order of the same keys and whether it is at most
-    ``days`` away. No next order, or a null key, gives false."""
+    ``days`` away. No next order gives false, and so does a null key, unless ``null_keys``
+    lets orders with equal null keys follow each other."""
     found = ordered_scans(orders, keys, order, {"_next": next_known(day)}, group_limit=group_limit, probe=orders.select(*keys))
     known = all_of([F.col(k).isNotNull() for k in keys])
-    following = F.when(known, F.col("_next"))
+    following = F.col("_next") if null_keys else F.when(known, F.col("_next"))
     near = F.coalesce(F.datediff(following, F.col(day)) <= days, F.lit(False))
     return found.withColumn("next_day", following).withColumn(name, near).drop("_next")
 

@@ -170,8 +170,8 @@ def first_enabled_day(versions: DataFrame, unit: str, enabled: Column, start: st
 
 def switchback_compare(daily: DataFrame, config: DataFrame, unit: str, day: str, by: str, ratios: dict[str, tuple[str, str]], totals: Sequence[str]) -> DataFrame:
     """Daily on/off configuration joined by unit and day; totals and ratios per group and
-    configuration, side by side, with the change from 1 to 0 in percent (totals) or
-    points (ratios, in percent)."""
+    configuration, side by side. Totals change by percent of configuration 1; ratios (in
+    percent) change by points and by percent of configuration 0."""
     joined = daily.join(config, [unit, day])
     needed = sorted({c for pair in ratios.values() for c in pair} | set(totals))
     side = lambda c, k: F.sum(F.when(F.col("config") == k, F.col(c)))
@@ -183,6 +183,7 @@ def switchback_compare(daily: DataFrame, config: DataFrame, unit: str, day: str,
     for name, (n, d) in ratios.items():
         r0, r1 = 100 * safe_ratio(f"{n}_0", f"{d}_0"), 100 * safe_ratio(f"{n}_1", f"{d}_1")
         out += [r0.alias(f"{name}_config_0"), r1.alias(f"{name}_config_1"), (r0 - r1).alias(f"{name}_change_points")]
+        out.append((100 * safe_ratio(r0 - r1, r0)).alias(f"{name}_change_percent"))
     return sums.select(*out)
 
 

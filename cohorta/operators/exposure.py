@@ -179,7 +179,8 @@ def exposure_split(exposures: DataFrame, day: Column, customer: str, variants: S
 
 
 def active_windows_by_day(windows: DataFrame, spine: DataFrame, variants: Sequence[str]) -> DataFrame:
-    """Per day, how many windows cover that day's midnight (both ends included).
+    """Per day and variant (None for an unknown one, counted as ``n_null``), how many
+    windows cover that day's midnight, both ends included.
 
     Every window adds one on its first covered day and takes one off after its last,
     so the cost is two rows per window and a running total over days, rather than
@@ -199,8 +200,9 @@ def active_windows_by_day(windows: DataFrame, spine: DataFrame, variants: Sequen
             )
         ).alias("s"),
     )
+    names = {v: "null" if v is None else v for v in variants}
     daily = steps.groupBy(F.col("s.day").alias(DAY)).agg(
-        *[F.sum(F.when(F.col("variant") == v, F.col("s.step"))).alias(f"_{v}") for v in variants]
+        *[F.sum(F.when(F.col("variant").eqNullSafe(F.lit(v)), F.col("s.step"))).alias(f"_{n}") for v, n in names.items()]
     )
     # Days are few: one row per day of the period.
     whole = Window.partitionBy(F.lit(0)).orderBy(DAY)
@@ -208,10 +210,10 @@ def active_windows_by_day(windows: DataFrame, spine: DataFrame, variants: Sequen
         spine.select(DAY).withColumn("_in", F.lit(True)), allowMissingColumns=True
     )
     per_day = joined.groupBy(DAY).agg(
-        F.max("_in").alias("_in"), *[F.coalesce(F.sum(f"_{v}"), F.lit(0)).alias(f"_{v}") for v in variants]
+        F.max("_in").alias("_in"), *[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(f"_{n}") for n in names.values()]
     )
     return (
-        per_day.select(DAY, "_in", *[F.sum(f"_{v}").over(whole).alias(f"n_{v}") for v in variants])
+        per_day.select(DAY, "_in", *[F.sum(f"_{n}").over(whole).alias(f"n_{n}") for n in names.values()])
         .where("_in").drop("_in")
     )
 

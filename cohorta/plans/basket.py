@@ -274,8 +274,8 @@ c as (select *, cast('0x' || substr(md5('switch' || l_suppkey || '-' || strftime
 s as (select s_nationkey, sum(case when on_day then n_lines end) as l1, sum(case when not on_day then n_lines end) as l0, sum(case when on_day then n_back end) as b1,
  sum(case when not on_day then n_back end) as b0, sum(case when on_day then gmv end) as g1, sum(case when not on_day then gmv end) as g0 from c join supplier on l_suppkey = s_suppkey group by 1)
 select s_nationkey, l0 as n_lines_config_0, l1 as n_lines_config_1, round(100 * (l0 - l1) / l1, 6) as n_lines_change_percent,
- round(100 * b0 / l0, 6) as back_config_0, round(100 * b1 / l1, 6) as back_config_1, round(100 * b0 / l0 - 100 * b1 / l1, 6) as back_change_points,
- round(100 * g0 / l0, 4) as value_config_0, round(100 * g1 / l1, 4) as value_config_1, round(100 * g0 / l0 - 100 * g1 / l1, 4) as value_change_points from s""")
+ round(100 * b0 / l0, 6) as back_config_0, round(100 * b1 / l1, 6) as back_config_1, round(100 * b0 / l0 - 100 * b1 / l1, 6) as back_change_points, round(100 * (b0 / l0 - b1 / l1) / (b0 / l0), 6) as back_change_percent,
+ round(100 * g0 / l0, 4) as value_config_0, round(100 * g1 / l1, 4) as value_config_1, round(100 * g0 / l0 - 100 * g1 / l1, 4) as value_change_points, round(100 * (g0 / l0 - g1 / l1) / (g0 / l0), 4) as value_change_percent from s""")
 def _(spark, folder):
     s = scan_table(spark, folder, "supplier", ["s_suppkey", "s_nationkey"])
     l = lines(spark, folder, "l_suppkey", "l_shipdate", "l_returnflag", "l_extendedprice")

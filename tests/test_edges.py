@@ -57,12 +57,13 @@ def test_two_experiments_keep_apart(spark):
 
 def test_active_windows_by_day_counts_both_ends(spark):
     w = spark.createDataFrame(
-        [("a", datetime(2024, 1, 1), datetime(2024, 1, 3)), ("a", datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2)), ("b", datetime(2023, 12, 1), datetime(2024, 1, 2, 5))],
+        [("a", datetime(2024, 1, 1), datetime(2024, 1, 3)), ("a", datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 2)), ("b", datetime(2023, 12, 1), datetime(2024, 1, 2, 5)),
+         (None, datetime(2024, 1, 2, 1), datetime(2024, 1, 9))],
         "variant string, start_time timestamp_ntz, end_time timestamp_ntz",
     )
     days = spine.date_spine(spark, date(2024, 1, 1), date(2024, 1, 4))
-    got = rows_of(exposure.active_windows_by_day(w, days, ["a", "b"]))
-    assert [r[1:] for r in got] == [(1, 1), (1, 1), (1, 0), (0, 0)]
+    got = rows_of(exposure.active_windows_by_day(w, days, ["a", "b", None]).select("calendar_date", "n_a", "n_b", "n_null"))
+    assert [r[1:] for r in got] == [(1, 1, 0), (1, 1, 0), (1, 0, 1), (0, 0, 1)]
 
 
 # -- sessions and funnels -----------------------------------------------------
@@ -150,6 +151,8 @@ def test_retention_on_day_28_and_29(spark):
     df = spark.createDataFrame([("u", d), ("u", d + timedelta(28)), ("u", d + timedelta(57)), (None, d), (None, d)], "u string, day date")
     got = activity.retention(df, ["u"], ["day"], "day", 28).select("u", "day", "is_retained")
     assert rows_of(got) == sorted([("u", d, True), ("u", d + timedelta(28), False), ("u", d + timedelta(57), False), (None, d, False), (None, d, False)], key=repr)
+    counted = activity.retention(df, ["u"], ["day"], "day", 28, null_keys=True).where("u is null")
+    assert counted.where("is_retained").count() == 1
 
 
 def test_subsequent_orders_count_same_day_but_not_self(spark):
