@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cohorta.llm import bit_planes, fm_index, line_quality, raking, setsketch
+from cohorta.llm import bit_planes, fm_index, html_lstm, license_diagonals, line_quality, pii_crf, pu_quality, raking, setsketch, tool_calls
 from cohorta.llm.registry import query, table
 from cohorta.session import scratch_dir
 
@@ -47,3 +47,50 @@ def op4(spark, folder):
 @query("op7_setsketch")
 def op7(spark, folder):
     return setsketch.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_license_diagonals")
+def op5(spark, folder):
+    found = license_diagonals.scan_licenses(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+SCHEMAS = {"answer": {"query": ("string", True), "chars": ("integer", True), "system": ("boolean", False)}}
+
+
+def with_tool_calls(conversations):
+    """The table has no tool messages, so they are derived: each user turn also calls the
+    tool ``answer``, building on the call of two turns before, and each assistant turn
+    also is the result for the turn before."""
+    called = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    arguments = F.struct(F.col("text").alias("query"), F.length("text").alias("chars"))
+    call = F.to_json(F.struct(F.lit("answer").alias("name"), called(0).alias("id"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, called(2)).alias("after")))
+    result = F.to_json(F.struct(called(1).alias("id"), F.col("text").alias("content")))
+    own = F.struct("role", "text")
+    more = F.when(F.col("role") == "user", F.array(own, F.struct(F.lit("tool_call").alias("role"), call.alias("text"))))
+    more = more.when(F.col("role") == "assistant", F.array(own, F.struct(F.lit("tool").alias("role"), result.alias("text")))).otherwise(F.array(own))
+    return conversations.select("conv_id", "turn", F.inline(more))
+
+
+@query("op6_tool_calls")
+def op6(spark, folder):
+    return tool_calls.format_chat(with_tool_calls(table(spark, folder, "conversations")), tool_calls.schema_table(spark, SCHEMAS))
+
+
+@query("op8_pu_quality")
+def op8(spark, folder):
+    return pu_quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_html_lstm")
+def op9(spark, folder):
+    found = html_lstm.extract_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_pii_crf")
+def op10(spark, folder):
+    return pii_crf.spelled(pii_crf.scan_personal(table(spark, folder, "documents")))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohorta.llm.registry import texts
+from cohorta.llm.registry import sample_texts, texts
 from cohorta.llm.udf import on_texts
 from cohorta.llm.words import WordHashes, spaced_words
 
@@ -49,13 +49,10 @@ def word_counts(hashes: WordHashes, values: list[str]) -> tuple[np.ndarray, np.n
 def fit_topics(docs: DataFrame, topics: int = TOPICS, limit: int = TOPIC_DOCS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Centre of the sample and centroids around it. Deterministic; an empty sample gives
     one topic. The sample: the texts with the smallest hashes of id and text."""
-    docs = docs.where("text <> ''")
-    ids = docs.select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(limit)
-    edge = ids.agg(F.max("h")).first()[0]
-    rows = [] if edge is None else docs.where(F.xxhash64("doc_id", "text") <= edge).orderBy(F.xxhash64("doc_id", "text")).select("text").limit(limit).collect()
+    rows = sample_texts(docs, limit)
     if not rows:
         return np.zeros(BUCKETS, np.float32), np.zeros((1, BUCKETS), np.float32)
-    _, x = word_counts(WordHashes(), [r.text for r in rows])
+    _, x = word_counts(WordHashes(), rows)
     middle = x.mean(0)
     x = x - middle
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

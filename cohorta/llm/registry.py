@@ -59,3 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sample_texts(docs: DataFrame, limit: int) -> list[str]:
+    """At most ``limit`` texts that are not empty: those with the smallest hashes of id and
+    text, so the same ones however the table is stored."""
+    d = docs.where("text <> ''").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    edge = d.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return [] if edge is None else [r.text for r in d.where(F.col("h") <= edge).orderBy("h").limit(limit).collect()]
