@@ -46,13 +46,16 @@ def activity_around(orders: DataFrame, keys: Sequence[str], day: str, value: Col
 def subsequent_orders(orders: DataFrame, keys: Sequence[str], day: str, days: int, flag: Column) -> DataFrame:
     """Per order, how many other orders of the same keys fall on its day or the ``days``
     after it, in total and among the flagged ones. Other orders of the same day count,
-    earlier ones too."""
+    earlier ones too. An order with a null key has no others."""
     flagged = F.coalesce(flag, F.lit(False))
     sums = {"_all": F.lit(1).cast("long"), "_flagged": F.when(flagged, 1).otherwise(0).cast("long")}
     daily = _per_day(orders, keys, day, sums).withColumn("_at", F.unix_date("_day"))
     frame = Window.partitionBy(*keys).orderBy("_at").rangeBetween(0, days)
     daily = daily.withColumn("_all", F.sum("_all").over(frame)).withColumn("_flagged", F.sum("_flagged").over(frame))
     out = _back_to_orders(orders, daily, keys, day, ["_all", "_flagged"])
+    unknown = ~all_of([F.col(k).isNotNull() for k in keys])
+    out = out.withColumn("_all", F.when(unknown, 1).otherwise(F.col("_all")))
+    out = out.withColumn("_flagged", F.when(unknown, F.when(flagged, 1).otherwise(0)).otherwise(F.col("_flagged")))
     return (
         out.withColumn("orders_after", F.col("_all") - 1)
         .withColumn("flagged_orders_after", F.col("_flagged") - F.when(flagged, 1).otherwise(0))

@@ -156,7 +156,7 @@ def event_time_alignment(daily: DataFrame, starts: DataFrame, unit: str, day: st
     with the number of days the unit has on either side."""
     aligned = daily.join(starts, unit).withColumn("day_offset", F.datediff(F.col(day), F.col(start)))
     aligned = aligned.where(F.col("day_offset").between(-reach, reach))
-    label = F.when(F.col("day_offset") > 0, "Post").when(F.col("day_offset") < 0, "Pre").otherwise("Undefined")
+    label = F.when(F.col("day_offset") > 0, "after").when(F.col("day_offset") < 0, "before").otherwise("start")
     sizes = aligned.groupBy(unit).agg(
         F.count_if(F.col("day_offset") < 0).alias("n_pre"), F.count_if(F.col("day_offset") > 0).alias("n_post")
     )
@@ -223,9 +223,10 @@ def customer_distribution(orders: DataFrame, customer: str) -> DataFrame:
 
 def cumulative_observations(observations: DataFrame, exposures: DataFrame, customer: str, day: str, exposed: str, start: Column, metrics: Sequence[str]) -> DataFrame:
     """Per exposed customer and week since ``start``, each metric's running total over the
-    days after the exposure. Customers with no observation after it are left out, as are
-    zero observations (a week shows up only if something happened in it); metrics keep
-    separate totals, so a metric silent in a week shows 0 there.
+    days after the exposure. Zero observations are left out (a week shows up only if
+    something happened in it); metrics keep separate totals, so a metric silent in a week
+    shows 0 there. An exposed customer without any observation has one row, with a null
+    week and zeros; one observed only up to the exposure has none.
     """
     week = lambda c: (F.floor(F.datediff(F.col(c), start) / 7) + 1).cast("long")
     joined = observations.join(exposures, customer).where(F.col(day) > F.col(exposed))
@@ -236,6 +237,10 @@ def cumulative_observations(observations: DataFrame, exposures: DataFrame, custo
     # One row per customer, metric and week: groups are as long as the test runs.
     so_far = Window.partitionBy(*keys, "metric").orderBy("week")
     running = weekly.withColumn("value", F.sum("value").over(so_far))
-    return running.groupBy(*keys, "week").agg(
+    found = running.groupBy(*keys, "week").agg(
         *[F.sum(F.when(F.col("metric") == m, F.col("value")).otherwise(0.0)).alias(m) for m in metrics]
     )
+    silent = exposures.select(customer, exposed).where(F.col(customer).isNotNull()).distinct()
+    silent = silent.join(observations.select(customer).distinct(), customer, "left_anti").withColumn("exposure_week", week(exposed))
+    nothing = [F.lit(None).cast("long").alias("week"), *[F.lit(0.0).alias(m) for m in metrics]]
+    return found.unionByName(silent.select(*keys, *nothing))

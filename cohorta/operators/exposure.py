@@ -114,7 +114,7 @@ def _with_last_window(events, windows, keys, at, take, group_limit, hot):
     probe = events.select(*keys).unionByName(windows.select(*keys))
     scanned = ordered_scans(
         both, keys, ["_t", "_kind", "_window"], {"_w": last_known("_window")},
-        group_limit=group_limit, probe=probe, hot=hot,
+        group_limit=group_limit, probe=probe, hot=hot, match_nulls=False,
     )
     return scanned.where(F.col("_kind") == 1)
 
@@ -124,7 +124,7 @@ def first_exposure(exposures: DataFrame, keys: Sequence[str], time: str) -> Data
     return exposures.groupBy(*keys).agg(F.min(time).alias("first_exposure_at"))
 
 
-def with_pre_exposure(windows: DataFrame, keys: Sequence[str], period_start: Column, label: str = "Not Exposed") -> DataFrame:
+def with_pre_exposure(windows: DataFrame, keys: Sequence[str], period_start: Column, label: str = "before exposure") -> DataFrame:
     """Windows plus one window per customer from the period's start to the first exposure."""
     before = (
         windows.groupBy(*keys).agg(F.min("start_time").alias("end_time"))
@@ -157,17 +157,17 @@ def filtered_exposure(exposures: DataFrame, touches: DataFrame, keys: Sequence[s
 
 
 def exposures_by_day(exposures: DataFrame, customer: str, time: str) -> DataFrame:
-    """New customers per variant and first day."""
+    """New customers per variant and first day; unknown customers count as none."""
     firsts = first_exposure(exposures, [customer, "variant"], time)
     return firsts.groupBy(F.to_date("first_exposure_at").alias("exposure_day"), "variant").agg(
-        F.count(F.lit(1)).alias("n_customers")
+        F.count(customer).alias("n_customers")
     )
 
 
 def exposure_split(exposures: DataFrame, day: Column, customer: str, variants: Sequence[str]) -> DataFrame:
-    """Distinct customers per day and variant, side by side, with each one's share."""
+    """Distinct known customers per day and variant, side by side, with each one's share."""
     counts = (
-        exposures.select(day.alias("day"), customer, "variant").distinct()
+        exposures.where(F.col(customer).isNotNull()).select(day.alias("day"), customer, "variant").distinct()
         .groupBy("day").pivot("variant", list(variants)).count().fillna(0, list(variants))
     )
     total = sum((F.col(v) for v in variants[1:]), F.col(variants[0]))

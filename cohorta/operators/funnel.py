@@ -12,9 +12,11 @@ from cohorta.operators.joins import interval_join
 from cohorta.operators.rows import keep_smallest_with_ties
 from cohorta.operators.scans import (
     GROUP_LIMIT,
+    LONE,
     HotGroups,
     hot_groups,
     last_known,
+    lone_nulls,
     ordered_scans,
     previous_value,
     running_sum,
@@ -25,7 +27,7 @@ from cohorta.operators.scans import (
 
 def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Sequence[str] = (), *, group_limit: int = GROUP_LIMIT, hot: HotGroups | None = None) -> DataFrame:
     """Add ``session_start`` and ``session_id``; a session ends after a silence longer
-    than the gap. The id is the key and the session's first instant."""
+    than the gap. The id is the key and the session's first instant, null for a null key."""
     hot = hot or hot_groups(events, [key], group_limit)
 
     def begin_of_session(rows):
@@ -35,7 +37,7 @@ def sessionize(events: DataFrame, key: str, time: str, gap_seconds: int, tie: Se
         return marked, {"session_start": last_known("_begin")}
 
     out = ordered_scans(events, [key], [time, *tie], {"_before": previous_value(time)}, hot=hot, then=begin_of_session)
-    session_id = F.concat_ws("-", F.col(key).cast("string"), F.unix_micros(F.col("session_start").cast("timestamp")).cast("string"))
+    session_id = F.concat(F.col(key).cast("string"), F.lit("-"), F.unix_micros(F.col("session_start").cast("timestamp")).cast("string"))
     return out.drop("_begin").withColumn("session_id", session_id)
 
 
@@ -70,18 +72,21 @@ def funnel_rows(
     # Steps of one instant: earlier steps first, unless they must not count.
     rows = rows.withColumn("_turn", -F.col("_step") if strict else F.col("_step"))
     rows = rows.withColumn("_dims", F.when(F.col("_step") == 0, F.struct(F.lit(True).alias("_first"), *outer)))
-    hot = hot or hot_groups(rows, session, group_limit, coarse)
-    rows = ordered_scans(rows, session, [time, "_turn"], {"_seen": seen("_dims")}, hot=hot)
+    # A null session key goes with no other event, not even with another null one.
+    rows = lone_nulls(rows, session)
+    group = [*session, LONE]
+    hot = hot or hot_groups(rows, group, group_limit, coarse)
+    rows = ordered_scans(rows, group, [time, "_turn"], {"_seen": seen("_dims")}, hot=hot)
     own = F.when(F.col("_step") == 0, F.array("_dims")).otherwise(F.col("_seen"))
-    rows = rows.select(*session, time, "_step", "_turn", F.explode(own).alias("_d"))
-    rows = rows.select(*session, time, "_step", "_turn", *[F.col(f"_d.{c}").alias(c) for c in outer])
+    rows = rows.select(*group, time, "_step", "_turn", F.explode(own).alias("_d"))
+    rows = rows.select(*group, time, "_step", "_turn", *[F.col(f"_d.{c}").alias(c) for c in outer])
     if anchor == "previous":
         for step in range(1, len(steps) - 1):
             rows = rows.withColumn("_hit", F.when(F.col("_step") == step, F.lit(True)))
-            rows = ordered_scans(rows, [*session, *outer], [time, "_turn"], {"_done": last_known("_hit")}, hot=hot if not hot.groups else None, group_limit=group_limit)
+            rows = ordered_scans(rows, [*group, *outer], [time, "_turn"], {"_done": last_known("_hit")}, hot=hot)
             # Rows of the next step stay only behind a row of this one.
             rows = rows.where((F.col("_step") != step + 1) | F.col("_done").isNotNull()).drop("_hit", "_done")
-    return rows.drop("_turn")
+    return rows.drop("_turn", LONE)
 
 
 def session_funnel(events, session, time, steps, dims=(), anchor="previous", strict=False, **options) -> DataFrame:
@@ -102,10 +107,10 @@ def funnel_events(events, session, time, steps, dims=(), anchor="previous", stri
 
 
 def funnel_counts(reached: DataFrame, session: str, steps: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Distinct sessions per step. Sessions are made unique per group first, with a
+    """Distinct known sessions per step. Sessions are made unique per group first, with a
     flag per step, so any number of steps costs one distinct."""
     flags = reached.groupBy(*by, session).agg(*[F.max(F.col(f"t_{s}").isNotNull()).alias(f"_{s}") for s in steps])
-    return flags.groupBy(*by).agg(*[F.count_if(f"_{s}").alias(f"n_{s}") for s in steps])
+    return flags.groupBy(*by).agg(*[F.count_if(F.col(f"_{s}") & F.col(session).isNotNull()).alias(f"n_{s}") for s in steps])
 
 
 def mark_starts(events: DataFrame, start: Column, follow: Column) -> DataFrame:
@@ -119,7 +124,7 @@ def with_next_times(marked: DataFrame, keys: Sequence[str], time: str, picks: di
     pick's condition; null when there is none. All picks share one sort per key, and no
     start is paired with more than the one follow-up it needs."""
     rows = marked.withColumns({f"_at_{n}": F.when((F.col("_kind") == 1) & c, F.col(time)) for n, c in picks.items()})
-    found = ordered_scans(rows, keys, [time, "_kind"], {n: upcoming(f"_at_{n}") for n in picks}, **options)
+    found = ordered_scans(rows, keys, [time, "_kind"], {n: upcoming(f"_at_{n}") for n in picks}, match_nulls=False, **options)
     return found.drop(*[f"_at_{n}" for n in picks])
 
 
@@ -229,7 +234,7 @@ def follow_up_counts(
     )
     probe = starts.select(*keys).unionByName(follows.select(*keys))
     both = asks.unionByName(rows, allowMissingColumns=True)
-    seen = ordered_scans(both, keys, ["_t", "_kind"], {"_seen": running_sum("_one")}, group_limit=group_limit, probe=probe)
+    seen = ordered_scans(both, keys, ["_t", "_kind"], {"_seen": running_sum("_one")}, group_limit=group_limit, probe=probe, match_nulls=False)
     totals = seen.where("_kind = 0").agg(
         *[F.coalesce(F.sum(F.when(F.col("_bound") == b, F.col("_seen"))), F.lit(0)).alias(f"b{b}") for b in bounds]
     )

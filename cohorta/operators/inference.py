@@ -62,10 +62,17 @@ def ab_test_by_group(
     return two_sample(daily.withColumn("_value", value), by, "_value", variant, control, treatment, alpha)
 
 
-def ab_test_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], variant: str, control: str, treatments: Sequence[str], alpha: float = 0.05, bonferroni: bool = True) -> DataFrame:
+def ab_test_metrics(
+    df: DataFrame, by: Sequence[str], metrics: Sequence[str], variant: str, control: str, treatments: Sequence[str],
+    alpha: float = 0.05, bonferroni: bool = True, compare_all: bool = False,
+) -> DataFrame:
     """The same test for several metrics and several treatments against one control, on
-    the rows as they are. Bonferroni multiplies p by the number of tests per group."""
-    factor = len(metrics) * len(treatments) if bonferroni else 1
+    the rows as they are. With ``compare_all`` the treatments are also compared with each
+    other, and ``baseline`` names what stands in the control's place. Bonferroni
+    multiplies p by the number of tests per group."""
+    arms = [control, *treatments]
+    duels = [(a, b) for i, a in enumerate(arms) for b in arms[i + 1:]] if compare_all else [(control, t) for t in treatments]
+    factor = len(metrics) * len(duels) if bonferroni else 1
     base = df.select(*by, variant, *[F.col(m).cast("double").alias(m) for m in metrics])
     moments = []
     for m in metrics:
@@ -83,11 +90,12 @@ def ab_test_metrics(df: DataFrame, by: Sequence[str], metrics: Sequence[str], va
     stats = ("n", "mean", "var")
     sides = [
         F.struct(
-            F.lit(t).alias("treatment"),
-            *[pick(control, c).alias(f"{c}_control") for c in stats],
-            *[pick(t, c).alias(f"{c}_variant") for c in stats],
+            F.lit(a).alias("baseline"),
+            F.lit(b).alias("treatment"),
+            *[pick(a, c).alias(f"{c}_control") for c in stats],
+            *[pick(b, c).alias(f"{c}_variant") for c in stats],
         )
-        for t in treatments
+        for a, b in duels
     ]
     wide = rows.groupBy(*by, "metric").agg(F.array(*sides).alias("_sides"))
     out = wide.select(*by, "metric", F.inline("_sides")).where("n_control is not null or n_variant is not null")
@@ -188,8 +196,8 @@ def sample_ratio_check(counts: DataFrame, by: Sequence[str], variant: str, n: st
 
 
 def point_estimates(df: DataFrame, variant: str, customer: str, metrics: Sequence[str]) -> DataFrame:
-    """Metric total over unique customers, per variant."""
-    per_customer = df.groupBy(variant, customer).agg(*[F.sum(m).alias(m) for m in metrics])
+    """Metric total over unique known customers, per variant."""
+    per_customer = df.where(F.col(customer).isNotNull()).groupBy(variant, customer).agg(*[F.sum(m).alias(m) for m in metrics])
     n = F.count(F.lit(1))
     return per_customer.groupBy(variant).agg(n.alias("n_customers"), *[safe_ratio(F.sum(m), n).alias(f"{m}_per_customer") for m in metrics])
 

@@ -34,8 +34,12 @@ def not_in_ids(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFram
 
 def left_join_if_in(df: DataFrame, right: DataFrame, on: Sequence[str], key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Left join to the right rows whose key is among the ids. The right side is
-    filtered first, so left rows survive whatever the filter removes."""
-    return df.join(in_ids(right, key, ids, id_col), list(on), "left")
+    filtered first, so left rows survive whatever the filter removes. Matches come from
+    an inner join, either side of which may be cut up where one key is hot; left rows
+    without a match are added."""
+    kept = in_ids(right, key, ids, id_col)
+    alone = df.join(kept.select(*on).distinct(), list(on), "left_anti")
+    return df.join(kept, list(on)).unionByName(alone, allowMissingColumns=True)
 
 
 def either_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: str, first_key: str, second_key: str) -> DataFrame:
@@ -52,6 +56,20 @@ def either_key_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_k
     return by_first.unionByName(by_second)
 
 
+def either_key_within(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_key: str, first_key: str, second_key: str,
+    left_time: str, right_time: str, seconds: int,
+) -> DataFrame:
+    """As ``either_key_join``, for right rows at most ``seconds`` after the left one. Keys
+    and time buckets are all part of the join key."""
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    pairs = []
+    for key in (first_key, second_key):
+        keyed = right.withColumn("_key", F.col(key))
+        pairs.append(interval_join(left.withColumn("_key", F.col(left_key)), keyed, [*on, "_key"], left_time, right_time, seconds).select(*columns))
+    return pairs[0].unionByName(pairs[1].where(~F.col(left_key).eqNullSafe(F.col(first_key))))
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
     """All pairs with equal keys and ``left_time <= right_time <= left_time + seconds``.
 
@@ -82,7 +100,7 @@ def point_in_time_join(
     f = facts.withColumn("_t", F.col(day)).withColumn("_kind", F.lit(1))
     both = f.unionByName(v, allowMissingColumns=True)
     probe = facts.select(*keys).unionByName(versions.select(*keys))
-    seen = ordered_scans(both, keys, ["_t", "_kind", "_version"], {"_v": last_known("_version")}, group_limit=group_limit, probe=probe)
+    seen = ordered_scans(both, keys, ["_t", "_kind", "_version"], {"_v": last_known("_version")}, group_limit=group_limit, probe=probe, match_nulls=False)
     last_day = F.coalesce(F.date_sub(F.col(f"_v.{end}"), 1), F.lit("9999-12-31").cast("date"))
     valid = F.col(day) <= last_day
     fields = [F.when(valid, F.col(f"_v.{c}")).alias(c) for c in (start, end, *take)]
@@ -90,9 +108,11 @@ def point_in_time_join(
 
 
 def replacement_join(lines: DataFrame, line_id: str, replaced_by: str, fields: Sequence[str]) -> DataFrame:
-    """Every line with the fields of the line that replaced it, as ``new_<field>``."""
+    """Every line with the fields of the line that replaced it, as ``new_<field>``. Lines
+    that were not replaced, as a rule most, are spread by their own id."""
     newer = lines.select(F.col(line_id).alias("_new_id"), *[F.col(f).alias(f"new_{f}") for f in fields])
-    return lines.join(newer, lines[replaced_by] == newer["_new_id"], "left").drop("_new_id")
+    match = (F.coalesce(lines[replaced_by], lines[line_id]) == newer["_new_id"]) & lines[replaced_by].isNotNull()
+    return lines.join(newer, match, "left").drop("_new_id")
 
 
 def category_from_maps(events: DataFrame, first_map: DataFrame, first_on: Sequence[str], second_map: DataFrame, second_on: Sequence[str], category: str) -> DataFrame:

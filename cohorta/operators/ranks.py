@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 
 from cohorta.functions.columns import all_of, safe_ratio
 from cohorta.operators.scans import GROUP_LIMIT, group_sizes, ordered_scans, running_sum
+from cohorta.session import ensure_checkpoint_dir
 
 
 def value_table(df: DataFrame, group: Sequence[str], value: str, *, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per group and distinct non-null value: ``n`` copies, ``upto`` rows up to and
     including it, ``dense`` its dense rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_one", F.lit(1).cast("long"))
+    counts = _kept(counts).withColumn("_one", F.lit(1).cast("long"))
     scans = {"upto": running_sum("n"), "dense": running_sum("_one")}
     return ordered_scans(counts, group, [value], scans, group_limit=group_limit).drop("_one")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """An aggregate that several steps read, written down once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _totals(table: DataFrame, group: Sequence[str], name: str) -> DataFrame:
     return table.groupBy(*group).agg(F.sum("n").alias(name))
 
@@ -62,7 +69,8 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, points: dict[st
     """Exact percentiles per group, interpolated linearly; ``points``: name -> fraction.
 
     ``percentile`` keeps every distinct value of a group in one task's memory, so it
-    is used only while groups are small; larger ones are read off the value table.
+    is used only while groups are small; larger ones are read off the value table, by the
+    same arithmetic. A group without known values has null percentiles.
     """
     largest = group_sizes(df, group).agg(F.max("_size")).first()[0] or 0
     if largest <= group_limit:
@@ -76,16 +84,18 @@ def percentiles(df: DataFrame, group: Sequence[str], value: str, points: dict[st
         place = (F.col("_total") - 1) * F.lit(float(p))
         for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             here = (below <= index) & (index < F.col("upto"))
-            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{side}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
+            picks.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
+        picks.append(F.max(F.ceil(place) - place).alias(f"_{name}_wlo"))
+        picks.append(F.max(place - F.floor(place)).alias(f"_{name}_whi"))
     found = table.groupBy(*group).agg(*picks)
-    return found.select(
-        *group,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n)
-            for n in points
-        ],
-    )
+    between = {n: F.col(f"_{n}_wlo") * F.col(f"_{n}_lo") + F.col(f"_{n}_whi") * F.col(f"_{n}_hi") for n in points}
+    same = {n: F.col(f"_{n}_lo") == F.col(f"_{n}_hi") for n in points}
+    found = found.select(*group, *[F.when(same[n], F.col(f"_{n}_lo")).otherwise(between[n]).alias(n) for n in points])
+    if not group:
+        return found
+    everyone = df.select(*[F.col(g).alias(f"_g_{g}") for g in group]).distinct()
+    match = all_of([everyone[f"_g_{g}"].eqNullSafe(found[g]) for g in group])
+    return everyone.join(found, match, "left").select(*[F.col(f"_g_{g}").alias(g) for g in group], *points)
 
 
 def box_stats(df: DataFrame, group: Sequence[str], value: str, *, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -104,9 +114,11 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str, *, group_limit: i
 def cumulative_share(df: DataFrame, label: str, weight: str, *, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Pareto table: heaviest first, with each row's share and the share so far (percent)."""
     total = df.agg(F.sum(weight)).scalar()
-    shares = df.withColumn("share", 100 * safe_ratio(weight, total)).withColumn("_down", -F.col(weight))
-    out = ordered_scans(shares, [], ["_down", label], {"cumulative_share": running_sum("share")}, group_limit=group_limit)
-    return out.drop("_down")
+    shares = _kept(df.withColumn("share", 100 * safe_ratio(weight, total))).withColumn("_down", -F.col(weight))
+    # Sums of decimals do not depend on the order in which parts are added.
+    shares = shares.withColumn("_exact", F.col("share").cast("decimal(28,18)"))
+    out = ordered_scans(shares, [], ["_down", label], {"cumulative_share": running_sum("_exact")}, group_limit=group_limit)
+    return out.withColumn("cumulative_share", F.col("cumulative_share").cast("double")).drop("_down", "_exact")
 
 
 def share_of_total(df: DataFrame, value: str, within: Sequence[str] = (), name: str = "share") -> DataFrame:
@@ -121,6 +133,7 @@ def average_rank_correlation(df: DataFrame, x: str, y: str, *, group_limit: int
     """Spearman: Pearson correlation of average ranks. Rows shrink to distinct (x, y) pairs
     with counts before anything is ranked; the correlation is then a weighted one."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_w"))
+    pairs = _kept(pairs)
 
     def ranks_of(column, name):
         counts = pairs.groupBy(column).agg(F.sum("_w").alias("n"))

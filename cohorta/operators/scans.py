@@ -16,9 +16,9 @@ every row one of two ways, with equal results:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from cohorta.session import ensure_checkpoint_dir
 
 GROUP_LIMIT = 2_000_000
-MAX_CHUNKS = 20_000
-BROADCAST_ROWS = 1_000_000
+LONE = "_lone"
 
 
 @dataclass(frozen=True)
@@ -106,6 +105,18 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, coa
     return HotGroups(sizes.where(over).select(*keys), groups, rows, limit)
 
 
+def lone_nulls(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add a key column that leaves every row with a null key alone: null where all keys
+    are known, else a number of its own. With it among the keys of a scan, null keys meet
+    nothing, as in a join, and are no hot group."""
+    unknown = reduce(or_, [F.col(k).isNull() for k in keys])
+    return df.withColumn(LONE, F.when(unknown, F.monotonically_increasing_id()))
+
+
+def _known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+
+
 def ordered_scans(
     df: DataFrame,
     keys: Sequence[str],
@@ -115,6 +126,7 @@ def ordered_scans(
     group_limit: int = GROUP_LIMIT,
     probe: DataFrame | None = None,
     hot: HotGroups | None = None,
+    match_nulls: bool = True,
     then: Callable[[DataFrame], tuple[DataFrame, dict[str, Scan]]] | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed within ``keys`` in ascending ``order``.
@@ -123,32 +135,42 @@ def ordered_scans(
     same order values may swap. ``probe`` is a cheaper frame with the same keys
     to measure group sizes on; ``hot`` is such a measurement already made.
 
+    Rows with equal null keys are one group, as in a window function. Without
+    ``match_nulls`` each of them is a group by itself, as in a join.
+
     ``then`` takes the scanned frame, may add columns to it, and names further scans over
     the same groups in the same order; hot rows are cut into chunks only once for both.
     """
     keys = list(keys)
+    if not match_nulls:
+        hot = hot or hot_groups(_known_keys(df if probe is None else probe, keys), keys, group_limit)
+        if hot.groups:
+            hot = replace(hot, keys=_known_keys(hot.keys, hot.keys.columns))
+        return ordered_scans(lone_nulls(df, keys), [*keys, LONE], order, scans, hot=hot, then=then).drop(LONE)
     hot = hot or hot_groups(df if probe is None else probe, keys, group_limit)
 
-    def run(frame, scan):
+    def run(frame, scan, order=order):
         out = scan(frame, keys, order, scans)
         if then is None:
             return out
         again, more = then(out)
         return scan(again, keys, order, more)
 
+    def run_hot(frame):
+        return run(_cut(frame, keys, order, chunks), _by_chunks, [*order, "_spread"]).drop("_chunk", "_spread")
+
     if not hot.groups:
         return run(df, _within)
-    chunks = min(MAX_CHUNKS, max(2, -(-hot.rows // max(1, hot.limit // 2))))
+    chunks = max(2, -(-hot.rows // max(1, hot.limit // 2)))
     if not keys:
-        return run(_cut(df, keys, order, chunks), _by_chunks).drop("_chunk")
+        return run_hot(df)
 
-    hot_keys = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    if hot.groups <= BROADCAST_ROWS:
-        hot_keys = F.broadcast(hot_keys)
-    is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    # A measurement on part of the keys sends all groups of a hot part the chunked way.
+    measured = [k for k in keys if k in hot.keys.columns]
+    hot_keys = hot.keys.select(*[F.col(k).alias(f"_hot_{k}") for k in measured])
+    is_hot = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in measured])
     cold_part = run(df.join(hot_keys, is_hot, "left_anti"), _within)
-    hot_rows = _cut(df.join(hot_keys, is_hot, "left_semi"), keys, order, chunks)
-    return cold_part.unionByName(run(hot_rows, _by_chunks).drop("_chunk"))
+    return cold_part.unionByName(run_hot(df.join(hot_keys, is_hot, "left_semi")))
 
 
 def _spec(keys, order, descending=False):
@@ -196,9 +218,11 @@ def _within(df, keys, order, scans):
 
 def _cut(df, keys, order, chunks):
     """Number the rows' chunks. Range bounds come from a sample that is drawn anew per
-    plan, so the numbers are written down once and all later readers see the same ones."""
+    plan, so the numbers are written down once and all later readers see the same ones.
+    Rows equal in keys and order may go to either side of a border: a spread number after
+    the order columns keeps chunks bounded where most rows are equal."""
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(chunks, *keys, *order)
+    ranged = df.withColumn("_spread", F.rand(11)).repartitionByRange(chunks, *keys, *order, "_spread")
     return ranged.withColumn("_chunk", F.spark_partition_id()).checkpoint()
 
 

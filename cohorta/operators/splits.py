@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.functions.columns import bucket_variant, hash_bucket, safe_ratio
+from cohorta.functions.distributions import normal_quantile, normal_two_sided
 
 
 def assign_by_hash(df: DataFrame, unit: str, salt: str, bounds: Sequence[tuple[int, str]], buckets: int = 1000, name: str = "variant") -> DataFrame:
@@ -38,23 +39,39 @@ def pre_period_fit(series: DataFrame, keys: Sequence[str], in_pre: Column) -> Da
     line = [
         F.regr_slope("treat", "control").alias("slope"),
         F.regr_intercept("treat", "control").alias("intercept"),
+        F.regr_count("treat", "control").alias("fit_days"),
+        F.regr_avgx("treat", "control").alias("fit_mean"),
+        F.regr_sxx("treat", "control").alias("fit_sxx"),
+        (F.regr_syy("treat", "control") - F.pow(F.regr_sxy("treat", "control"), 2) / F.regr_sxx("treat", "control")).alias("fit_sse"),
     ]
     if not keys:
         fit = pre.agg(F.struct(*line)).scalar()
-        joined = series.withColumn("_fit", fit).select(*series.columns, "_fit.slope", "_fit.intercept")
+        joined = series.withColumn("_fit", fit).select(*series.columns, "_fit.*")
     else:
         joined = series.join(pre.groupBy(*keys).agg(*line), list(keys))
     return joined.withColumn("predicted", F.col("intercept") + F.col("slope") * F.col("control"))
 
 
-def counterfactual_effect(series: DataFrame, keys: Sequence[str], day: str, in_pre: Column, in_post: Column) -> DataFrame:
-    """Effect per post-period day, its running total and the relative effect so far."""
+def counterfactual_effect(series: DataFrame, keys: Sequence[str], day: str, in_pre: Column, in_post: Column, confidence: float = 0.95) -> DataFrame:
+    """Effect per post-period day, its running total and the relative effect so far, with
+    an interval and a p-value for the total.
+
+    The total of k days scatters by the k days' own noise and by that of the fitted line:
+    s^2 * (k + k^2 / n + (sum of (x - mean x))^2 / sxx), s^2 being the residual variance of
+    the n pre-period days. The normal quantile stands for Student's.
+    """
     fitted = pre_period_fit(series, keys, in_pre).where(in_post)
     out = fitted.withColumn("effect", F.col("treat") - F.col("predicted"))
     # A daily series: groups are as long as the post-period.
     spec = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(day)
     out = out.withColumn("cumulative_effect", F.sum("effect").over(spec))
-    return out.withColumn("relative_effect", safe_ratio("cumulative_effect", F.sum("predicted").over(spec)))
+    out = out.withColumn("relative_effect", safe_ratio("cumulative_effect", F.sum("predicted").over(spec)))
+    days, away = F.count(F.lit(1)).over(spec), F.sum(F.col("control") - F.col("fit_mean")).over(spec)
+    noise = safe_ratio(F.greatest("fit_sse", F.lit(0.0)), F.col("fit_days") - 2)
+    out = out.withColumn("standard_error", F.sqrt(noise * (days + days * days / F.col("fit_days") + safe_ratio(away * away, F.col("fit_sxx")))))
+    half = F.lit(normal_quantile(0.5 + confidence / 2)) * F.col("standard_error")
+    out = out.withColumn("cumulative_lower", F.col("cumulative_effect") - half).withColumn("cumulative_upper", F.col("cumulative_effect") + half)
+    return out.withColumn("p_value", normal_two_sided(safe_ratio("cumulative_effect", "standard_error")))
 
 
 def mase(fitted: DataFrame, keys: Sequence[str], day: str, period: str) -> DataFrame:

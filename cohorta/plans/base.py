@@ -70,8 +70,19 @@ SCHEMAS = {
 }
 
 
+class SomeKeysUnknown(str):
+    """A folder whose tables are read with one key in seven unknown."""
+
+
+UNKNOWN = {"events": ["user_id"], "orders": ["o_custkey"], "lineitem": ["l_partkey"]}
+
+
 def scan_table(spark, folder, name, columns=None):
-    return tables.scan_table(spark, folder, name, columns, SCHEMAS[name])
+    df = tables.scan_table(spark, folder, name, columns, SCHEMAS[name])
+    if isinstance(folder, SomeKeysUnknown):
+        keys = [k for k in UNKNOWN.get(name, []) if k in df.columns]
+        df = df.withColumns({k: F.when(F.col(k) % 7 != 0, F.col(k)) for k in keys})
+    return df
 
 
 def events(spark, folder, *columns):

@@ -128,6 +128,13 @@ def located_lines(spark, folder):
     return typed_lines(spark, folder).join(_store_country(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
+def located_volumes(spark, folder):
+    """Quantity per store and product, with both dimensions."""
+    sums = lines(spark, folder, "l_partkey", "l_suppkey", "l_quantity").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("l_quantity"))
+    typed = sums.join(scan_table(spark, folder, "part", ["p_partkey", "p_type"]), F.col("l_partkey") == F.col("p_partkey"))
+    return typed.join(_store_country(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
 _FRESH_SQL = "p_type in ('PROMO', 'SMALL')"
 _LOCATED = "lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey"
 _SEGMENT_SQL = "case when s_acctbal > 8000 then 'top' when s_acctbal > 3000 and n_regionkey = 1 then 'regional' when s_acctbal < 0 then 'debt' else 'tail' end"
@@ -189,7 +196,8 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 with s as (select n_name, p_type, sum(l_quantity) as w from {_LOCATED} group by all)
 select n_name, sum(w) as volume, {", ".join(f"coalesce(round(sum(case when p_type = '{t}' then w end) / sum(w), 6), 0) as {t}" for t in TYPES)} from s group by 1 order by volume desc""")
 def _(spark, folder):
-    out = B.category_mix(located_lines(spark, folder), "n_name", "p_type", TYPES, F.col("l_quantity"))
+    # Lines shrink to one row per store and product before they meet the dimensions.
+    out = B.category_mix(located_volumes(spark, folder), "n_name", "p_type", TYPES, F.col("l_quantity"))
     return out.select("n_name", "volume", *[r(t).alias(t) for t in TYPES]).orderBy(F.col("volume").desc(), "n_name")
 
 
@@ -226,7 +234,7 @@ def _(spark, folder):
 with f as (select l_suppkey, min(cast(l_shipdate as date)) as first_day from lineitem where l_discount >= 0.1 and l_shipdate >= timestamp '1997-01-01' group by 1),
 d as (select l_suppkey, cast(l_shipdate as date) as day, count(*) as n from lineitem group by all),
 a as (select *, day - first_day as day_offset from d join f using (l_suppkey) where day - first_day between -60 and 60)
-select l_suppkey, day, first_day, n, day_offset, case when day_offset > 0 then 'Post' when day_offset < 0 then 'Pre' else 'Undefined' end as period,
+select l_suppkey, day, first_day, n, day_offset, case when day_offset > 0 then 'after' when day_offset < 0 then 'before' else 'start' end as period,
  count(case when day_offset < 0 then 1 end) over (partition by l_suppkey) as n_pre, count(case when day_offset > 0 then 1 end) over (partition by l_suppkey) as n_post from a""")
 def _(spark, folder):
     l = lines(spark, folder, "l_suppkey", "l_shipdate", "l_discount").withColumn("day", F.to_date("l_shipdate"))
@@ -327,10 +335,14 @@ ab as (select c_custkey, c_nationkey, c_mktsegment, case when cast('0x' || subst
 def units(spark, folder):
     o = scan_table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
     l = lines(spark, folder, "l_orderkey", "l_returnflag").where("l_returnflag = 'R'")
-    done = o.where("o_orderstatus = 'F'").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_delivered"), F.sum("o_totalprice").alias("gmv"))
-    back = l.join(o.select("o_orderkey", "c_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_returned"))
-    urgent = o.where("o_orderpriority = '1-URGENT'").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_urgent"))
-    return B.metrics_per_unit(ab_customers(spark, folder), "c_custkey", {"orders": done, "returns": back, "urgent": urgent})
+    # One pass over orders: returned lines are counted per order first.
+    back = l.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_back"))
+    done = F.col("o_orderstatus") == "F"
+    sums = o.join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("c_custkey").agg(
+        F.count_if(done).alias("n_delivered"), F.sum(F.when(done, F.col("o_totalprice"))).alias("gmv"),
+        F.coalesce(F.sum("n_back"), F.lit(0)).alias("n_returned"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
+    )
+    return B.metrics_per_unit(ab_customers(spark, folder), "c_custkey", {"orders": sums})
 
 
 UNITS_CTE = AB_CTE + """,
@@ -355,11 +367,14 @@ def _(spark, folder):
     o = orders(spark, folder).join(ab_customers(spark, folder), F.col("o_custkey") == F.col("c_custkey"))
     o = o.withColumn("month", F.to_date(F.date_trunc("month", "day")))
     keys = ["month", "variant"]
-    per_customer = o.groupBy(*keys, "o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    a = per_customer.groupBy(*keys).agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("orders"))
-    b = o.where("o_orderstatus = 'F'").groupBy(*keys).agg(r(F.sum("o_totalprice"), 2).alias("gmv_delivered"))
-    c = o.where("o_orderstatus = 'O' and o_totalprice > 300000").groupBy(*keys).agg(F.max("o_totalprice").alias("biggest_open"))
-    return B.stitch([a, b, c], keys)
+    # The three metric tables have the same keys and source, so they are columns of one aggregate.
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    per_customer = o.groupBy(*keys, "o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(status == "F", price)).alias("v"), F.max(F.when((status == "O") & (price > 300000), price)).alias("m")
+    )
+    return per_customer.groupBy(*keys).agg(
+        F.count("o_custkey").alias("customers"), F.sum("n").alias("orders"), r(F.sum("v"), 2).alias("gmv_delivered"), F.max("m").alias("biggest_open")
+    )
 
 
 @query("discount_metrics", f"""
@@ -394,7 +409,8 @@ x as (select c_custkey, exposed, metric, value, (day - date '1997-01-01') // 7 +
 w as (select c_custkey, exposed, exposure_week, metric, week, sum(value) as value from x group by all),
 c as (select *, sum(value) over (partition by c_custkey, exposed, exposure_week, metric order by week) as running from w),
 observed as (select c_custkey, exposed, exposure_week, week, sum(case when metric = 'n_orders' then running else 0 end) as n_orders,
- sum(case when metric = 'n_delivered' then running else 0 end) as n_delivered from c group by all)"""
+ sum(case when metric = 'n_delivered' then running else 0 end) as n_delivered from c group by all
+ union all select c_custkey, exposed, (exposed - date '1997-01-01') // 7 + 1, null, 0, 0 from e where c_custkey not in (select o_custkey from ob where o_custkey is not null))"""
 
 
 @query("cumulative_observations", f"with {OBSERVATIONS_CTE} select * from observed")

@@ -91,13 +91,14 @@ _THREE = "case when cast('0x' || substr(md5('three' || c_custkey), 1, 8) as bigi
 
 
 @query("multi_metric_experiment", f"with {UNITS_CTE}, x0 as (unpivot (select c_custkey, {_THREE} as v3, " + ", ".join(f"cast({m} as double) as {m}" for m in METRICS)
-       + f" from units) on {', '.join(METRICS)} into name metric value v), x as (select metric, treatment, v, case when v3 = 'control' then 'control' else 'variant' end as variant"
-       + " from x0, (values ('variant 1'), ('variant 2')) t(treatment) where v3 in ('control', treatment)), " + welch("x", "metric, treatment,", "v")
-       + f" select metric, treatment, {_OUT.replace('round(' + t_p('t', 'df'), 'round(least(1, 6 * ' + t_p('t', 'df') + ')')} from w")
+       + f" from units) on {', '.join(METRICS)} into name metric value v), x as (select metric, baseline, treatment, v, case when v3 = baseline then 'control' else 'variant' end as variant"
+       + " from x0, (values ('control', 'variant 1'), ('control', 'variant 2'), ('variant 1', 'variant 2')) t(baseline, treatment) where v3 in (baseline, treatment)), "
+       + welch("x", "metric, baseline, treatment,", "v")
+       + f" select metric, baseline, treatment, {_OUT.replace('round(' + t_p('t', 'df'), 'round(least(1, 9 * ' + t_p('t', 'df') + ')')} from w")
 def _(spark, folder):
     u = L.assign_by_hash(units(spark, folder), "c_custkey", "three", [(334, "control"), (667, "variant 1"), (1000, "variant 2")])
-    out = I.ab_test_metrics(u, [], METRICS, "variant", "control", ["variant 1", "variant 2"])
-    return tidy(out, "metric", "treatment")
+    out = I.ab_test_metrics(u, [], METRICS, "variant", "control", ["variant 1", "variant 2"], compare_all=True)
+    return tidy(out, "metric", "baseline", "treatment")
 
 
 _PROP = f"""with {AB_CTE}, s as (select o_orderpriority, count(*) filter (where variant = 'control') as tc, count(*) filter (where variant = 'control' and o_orderstatus = 'F') as sc,
@@ -157,12 +158,12 @@ def _(spark, folder):
 
 
 @query("mde_by_week", f"""
-with {OBSERVATIONS_CTE}, m as (select week, {_MOMENTS.replace('n_delivered', 'den').replace('n_returned', 'num')} from (select week, n_delivered as num, n_orders as den from observed) group by 1),
+with {OBSERVATIONS_CTE}, m as (select week, {_MOMENTS.replace('n_delivered', 'den').replace('n_returned', 'num')} from (select week, n_delivered as num, n_orders as den from observed where week is not null) group by 1),
 k as (select week, n as n_units, mn / md as ratio, (2.241402727604947 + 0.8416212335729143) * sqrt(greatest({_UNITVAR}, 0) * (1 / (n * 0.5) + 1 / (n * 0.5))) as a from m)
 select week, n_units, round(ratio, 6) as ratio, round(a, 6) as absolute_mde from k""")
 def _(spark, folder):
     # Running totals per customer and week, as the weekly detectable effect needs them.
-    out = I.mde_ratio_metric(weekly_observations(spark, folder), ["week"], "n_delivered", "n_orders", comparisons=2)
+    out = I.mde_ratio_metric(weekly_observations(spark, folder).where("week is not null"), ["week"], "n_delivered", "n_orders", comparisons=2)
     return out.select("week", "n_units", r("ratio").alias("ratio"), r("absolute_mde").alias("absolute_mde"))
 
 
@@ -180,7 +181,8 @@ def _(spark, folder):
     return out.select("relative_effect", "treatment_share", r("standardised_effect").alias("standardised_effect"), r("power").alias("power"))
 
 
-N_AA = 40
+#: Splits of the registered query; the operator takes as many as its input holds.
+N_AA = 1000
 
 
 @query("false_positive_rate", f"""
@@ -270,11 +272,16 @@ def _series(spark, folder):
 
 @query("counterfactual_effect", _SERIES + """
 select day, treat, control, round(predicted, 4) as predicted, round(treat - predicted, 4) as effect, round(sum(treat - predicted) over w, 4) as cumulative_effect,
- round(sum(treat - predicted) over w / sum(predicted) over w, 6) as relative_effect from q where day >= date '1999-07-01' window w as (order by day)""")
+ round(sum(treat - predicted) over w / sum(predicted) over w, 6) as relative_effect,
+ round(sum(treat - predicted) over w - 1.959963984540054 * se, 4) as cumulative_lower, round(sum(treat - predicted) over w + 1.959963984540054 * se, 4) as cumulative_upper,
+ round(1 - 2 * (""" + half_normal("abs(sum(treat - predicted) over w / se)") + """), 6) as p_value
+from (select *, sqrt(sse / (n - 2) * (count(*) over w + power(count(*) over w, 2) / n + power(sum(control - mx) over w, 2) / sxx)) as se
+      from q, (select count(*) as n, regr_avgx(treat, control) as mx, regr_sxx(treat, control) as sxx, sum(power(treat - predicted, 2)) as sse from q where day < date '1999-07-01')
+      where day >= date '1999-07-01' window w as (order by day)) window w as (order by day)""")
 def _(spark, folder):
     day = F.col("day")
     out = L.counterfactual_effect(_series(spark, folder), [], "day", day < F.lit(CUT), day >= F.lit(CUT))
-    return out.select("day", "treat", "control", r("predicted", 4).alias("predicted"), r("effect", 4).alias("effect"), r("cumulative_effect", 4).alias("cumulative_effect"), r("relative_effect").alias("relative_effect"))
+    return out.select("day", "treat", "control", r("predicted", 4).alias("predicted"), r("effect", 4).alias("effect"), r("cumulative_effect", 4).alias("cumulative_effect"), r("relative_effect").alias("relative_effect"), r("cumulative_lower", 4).alias("cumulative_lower"), r("cumulative_upper", 4).alias("cumulative_upper"), r("p_value").alias("p_value"))
 
 
 @query("mase", _SERIES + """,

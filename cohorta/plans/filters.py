@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -17,8 +17,9 @@ START, END = date(1997, 3, 1), date(1997, 4, 30)
 TODAY = date(1998, 6, 11)
 
 
-def _daily(spark, folder):
-    return orders(spark, folder).groupBy("day").agg(F.count(F.lit(1)).alias("n_orders"))
+def _daily(spark, folder, first, last):
+    """Orders per day of a period, which is pushed down to the scan."""
+    return S.within_days(orders(spark, folder), "o_orderdate", first, last).groupBy("day").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
 # -- spines -------------------------------------------------------------------
@@ -36,7 +37,7 @@ from (select cast(unnest(generate_series(date '1997-02-15', date '1997-04-30', i
 left join orders on cast(o_orderdate as date) = s.calendar_date group by 1""")
 def _(spark, folder):
     spine = S.date_spine_offset(spark, START, END, 14)
-    return S.spine_left_join(spine, _daily(spark, folder), "day", ["n_orders"])
+    return S.spine_left_join(spine, _daily(spark, folder, START - timedelta(days=14), END), "day", ["n_orders"])
 
 
 @query("date_spine_relative", """
@@ -44,7 +45,7 @@ select cast(o_orderdate as date) as day, count(*) as n_orders from orders
 where cast(o_orderdate as date) between date '1998-05-12' and date '1998-06-10' group by 1""")
 def _(spark, folder):
     spine = S.date_spine_relative(spark, TODAY, -30, -1)
-    return S.filter_by_spine(_daily(spark, folder), "day", spine)
+    return S.filter_by_spine(_daily(spark, folder, TODAY - timedelta(days=30), TODAY - timedelta(days=1)), "day", spine)
 
 
 @query("retention_spine", """
@@ -58,7 +59,7 @@ def _(spark, folder):
     # Customers of each day of the period, and those of them who come back within 28 days.
     # The longer spine lets the days after the period in.
     short, longer = S.retention_spines(spark, date(1997, 3, 1), date(1997, 3, 31), 28)
-    o = orders(spark, folder)
+    o = S.within_days(orders(spark, folder), "o_orderdate", date(1997, 3, 1), date(1997, 4, 28))
     seen = S.filter_by_spine(o, "day", longer).select("o_custkey", "day").distinct()
     ahead = activity_around(seen, ["o_custkey"], "day", F.lit(0.0), F.lit(True), {"next": (1, 28)})
     counts = S.filter_by_spine(ahead, "day", short).groupBy("day").agg(
@@ -80,7 +81,7 @@ def _(spark, folder):
 select o_orderkey from orders where cast(o_orderdate as date) in
  (select cast(unnest(generate_series(date '1997-03-01', date '1997-04-30', interval 1 day)) as date))""")
 def _(spark, folder):
-    o = scan_table(spark, folder, "orders", ["o_orderkey", "o_orderdate"])
+    o = S.within_days(scan_table(spark, folder, "orders", ["o_orderkey", "o_orderdate"]), "o_orderdate", START, END)
     return S.filter_by_spine(o, "o_orderdate", S.date_spine(spark, START, END)).select("o_orderkey")
 
 
@@ -215,9 +216,14 @@ def _(spark, folder):
     firsts = exposures(spark, folder).groupBy("customer_id").agg(F.min("ts").alias("exposed_at"))
     buys = events(spark, folder, "user_id", "ts", "value", "event_type").where("event_type = 'purchase'")
     buys = buys.select(F.col("user_id").alias("customer_id"), F.col("ts").alias("bought_at"), "value")
-    joined = firsts.join(buys, "customer_id", "left")
-    keep = ((F.col("value") != 0) & (F.col("bought_at") > F.col("exposed_at"))) | F.col("bought_at").isNull()
-    return joined.where(keep).groupBy("customer_id").agg(F.count("bought_at").alias("n_after"))
+    # Counted per customer before the outer join, which then has one row on either side.
+    after = (F.col("value") != 0) & (F.col("bought_at") > F.col("exposed_at"))
+    counts = buys.join(firsts, "customer_id").groupBy("customer_id").agg(
+        F.count_if(after).alias("n_after"), F.count_if(F.col("bought_at").isNull()).alias("n_undated")
+    )
+    joined = firsts.join(counts, "customer_id", "left")
+    keep = (F.col("n_after") > 0) | F.col("n_after").isNull() | (F.col("n_undated") > 0)
+    return joined.where(keep).select("customer_id", F.coalesce("n_after", F.lit(0)).alias("n_after"))
 
 
 @query("select_distinct", "select distinct l_suppkey, l_returnflag, l_linestatus from lineitem")

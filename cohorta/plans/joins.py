@@ -25,9 +25,9 @@ from cohorta.plans.filters import VERSIONS_CTE, part_versions
 
 @query("inner_join", """
 select o_orderstatus, count(*) as n_lines, round(sum(l_extendedprice), 2) as value
-from lineitem join orders on l_orderkey = o_orderkey where o_totalprice > 200000 group by 1""")
+from lineitem join orders on l_orderkey = o_orderkey group by 1""")
 def _(spark, folder):
-    o = scan_table(spark, folder, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"]).where("o_totalprice > 200000")
+    o = scan_table(spark, folder, "orders", ["o_orderkey", "o_orderstatus"])
     l = lines(spark, folder, "l_orderkey", "l_extendedprice")
     return l.join(o, l.l_orderkey == o.o_orderkey).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n_lines"), r(F.sum("l_extendedprice"), 2).alias("value")
@@ -194,7 +194,7 @@ def _(spark, folder):
 
 @query("orders_by_variant_not_found", f"""
 with {WINDOWS_CTE}
-select cast(e.ts as date) as day, coalesce(w.variant, 'Not found') as variant,
+select cast(e.ts as date) as day, coalesce(w.variant, 'no variant') as variant,
        count(distinct e.user_id) as customers, count(distinct e.event_id) as orders, round(sum(e.value), 2) as gmv
 from events e left join windows w on w.customer_id = e.user_id and e.ts >= w.start_time and e.ts < w.end_time
 where e.event_type = 'purchase' group by all""")
@@ -202,7 +202,7 @@ def _(spark, folder):
     e = events(spark, folder, "event_id", "ts", "user_id", "event_type", "value").where("event_type = 'purchase'")
     e = e.withColumnRenamed("user_id", "customer_id")
     found = E.assign_variant(e, windows(spark, folder), ["customer_id"], "ts", how="left")
-    found = found.withColumn("variant", F.coalesce("variant", F.lit("Not found"))).withColumn("day", F.to_date("ts"))
+    found = found.withColumn("variant", F.coalesce("variant", F.lit("no variant"))).withColumn("day", F.to_date("ts"))
     per_customer = found.groupBy("day", "variant", "customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     return per_customer.groupBy("day", "variant").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("n").alias("orders"), r(F.sum("v"), 2).alias("gmv")
@@ -213,11 +213,10 @@ def _(spark, folder):
 with {VERSIONS_CTE}
 select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, v.start_date, v.discount
 from lineitem l left join versions v on v.l_partkey = l.l_partkey
- and cast(l.l_shipdate as date) between v.start_date and coalesce(v.end_date - 1, date '9999-12-31')
-where l.l_returnflag = 'A'""")
+ and cast(l.l_shipdate as date) between v.start_date and coalesce(v.end_date - 1, date '9999-12-31')""")
 def _(spark, folder):
-    facts = lines(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
-    facts = facts.where("l_returnflag = 'A'").withColumn("day", F.to_date("l_shipdate"))
+    facts = lines(spark, folder, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    facts = facts.withColumn("day", F.to_date("l_shipdate"))
     joined = J.point_in_time_join(facts, part_versions(spark, folder), ["l_partkey"], "day", "start_date", "end_date", ["discount"])
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "start_date", "discount")
 
@@ -257,18 +256,20 @@ taps as (select event_id, session_id, ts, cast(json_extract_string(props, '$.k')
 opened as (select event_id, session_id, ts, cast(floor(value) as bigint) % 10 as item, cast(floor(value * 10) as bigint) % 10 as item_group
            from sessions where event_type = 'view')
 select t.event_id as tap_id, o.event_id as open_id,
-       case when t.tapped = o.item then 'item' when t.tapped = o.item_group then 'group' else 'Other' end as kind
-from taps t join opened o on t.session_id = o.session_id and (t.tapped = o.item or t.tapped = o.item_group)""")
+       case when t.tapped = o.item then 'item' when t.tapped = o.item_group then 'group' else 'neither' end as kind
+from taps t join opened o on t.session_id = o.session_id and (t.tapped = o.item or t.tapped = o.item_group)
+ and o.ts between t.ts and t.ts + interval 3 hour""")
 def _(spark, folder):
     s = sessions(spark, folder)
     k = F.get_json_object("props", "$.k").cast("long")
-    taps = s.where("event_type = 'click'").select("session_id", F.col("event_id").alias("tap_id"), (k % 10).alias("tapped"))
+    # Three hours in these slow sessions play the two minutes of an app.
+    taps = s.where("event_type = 'click'").select("session_id", F.col("event_id").alias("tap_id"), (k % 10).alias("tapped"), F.col("ts").alias("tapped_at"))
     opened = s.where("event_type = 'view'").select(
-        "session_id", F.col("event_id").alias("open_id"),
+        "session_id", F.col("event_id").alias("open_id"), F.col("ts").alias("opened_at"),
         (F.floor("value") % 10).alias("item"), (F.floor(F.col("value") * 10) % 10).alias("item_group"),
     )
-    pairs = J.either_key_join(taps, opened, ["session_id"], "tapped", "item", "item_group")
-    kind = C.case_map([(F.col("tapped") == F.col("item"), "item"), (F.col("tapped") == F.col("item_group"), "group")], "Other")
+    pairs = J.either_key_within(taps, opened, ["session_id"], "tapped", "item", "item_group", "tapped_at", "opened_at", 3 * 3600)
+    kind = C.case_map([(F.col("tapped") == F.col("item"), "item"), (F.col("tapped") == F.col("item_group"), "group")], "neither")
     return pairs.select("tap_id", "open_id", kind.alias("kind"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohorta.functions import columns as C
@@ -14,6 +15,7 @@ from cohorta.operators import joins as J
 from cohorta.operators import nested as N
 from cohorta.operators import reconcile as K
 from cohorta.operators import reshape as W
+from cohorta.operators.scans import last_known, ordered_scans
 from cohorta.operators.splits import assign_by_hash
 from cohorta.plans.base import (
     scan_table,
@@ -178,17 +180,17 @@ _GAP = """date_sub('second', f.ts, g.ts)"""
 
 @query("time_gap_pairs", f"""
 select g.event_id as later_id, f.event_id as earlier_id, {_GAP} as delta_seconds,
- case when {_GAP} > 0 and {_GAP} <= 3600 then '(0h-1h]' when {_GAP} > 3600 and {_GAP} <= 14400 then '(1h-4h]' when {_GAP} > 14400 then '(4h-24h)' end as bucket
-from events g join events f on g.user_id = f.user_id and g.ts >= f.ts and {_GAP} <= 86400 and f.event_type = 'click' where g.event_type = 'purchase'""")
+ case when {_GAP} > 0 and {_GAP} <= 3600 then 'within an hour' when {_GAP} > 3600 and {_GAP} <= 14400 then 'within four hours' when {_GAP} > 14400 then 'within a day' end as bucket
+from events g join events f on g.user_id = f.user_id and g.ts >= f.ts and {_GAP} <= 86400 and f.event_type = 'click' where g.event_type = 'purchase'
+qualify row_number() over (partition by g.event_id order by f.ts desc, f.event_id desc) = 1""")
 def _(spark, folder):
-    e = events(spark, folder, "event_id", "ts", "user_id", "event_type")
-    f = e.where(IS("click")).select("user_id", F.col("event_id").alias("earlier_id"), F.col("ts").alias("earlier_ts"))
-    g = e.where(IS("purchase")).select("user_id", F.col("event_id").alias("later_id"), F.col("ts").alias("later_ts"))
-    # The limit counts whole seconds, so a fraction of one more is still inside.
-    pairs = J.interval_join(f, g, ["user_id"], "earlier_ts", "later_ts", 86401)
-    pairs = pairs.withColumn("delta_seconds", C.seconds_between("earlier_ts", "later_ts")).where("delta_seconds <= 86400")
+    # The closest earlier click of each purchase, in one scan per user; all pairs are only counted, in time_gap_buckets.
+    e = events(spark, folder, "event_id", "ts", "user_id", "event_type").where(IS("click") | IS("purchase"))
+    e = e.withColumn("_later", IS("purchase").cast("int")).withColumn("_click", F.when(IS("click"), F.struct("event_id", "ts")))
+    found = ordered_scans(e, ["user_id"], ["ts", "_later", "event_id"], {"_c": last_known("_click")}, match_nulls=False).where(IS("purchase"))
+    pairs = found.select(F.col("event_id").alias("later_id"), F.col("_c.event_id").alias("earlier_id"), C.seconds_between("_c.ts", "ts").alias("delta_seconds")).where("delta_seconds <= 86400")
     d = F.col("delta_seconds")
-    bucket = C.case_map([((d > 0) & (d <= 3600), "(0h-1h]"), ((d > 3600) & (d <= 14400), "(1h-4h]"), (d > 14400, "(4h-24h)")])
+    bucket = C.case_map([((d > 0) & (d <= 3600), "within an hour"), ((d > 3600) & (d <= 14400), "within four hours"), (d > 14400, "within a day")])
     return pairs.select("later_id", "earlier_id", "delta_seconds", bucket.alias("bucket"))
 
 
@@ -251,13 +253,13 @@ def _(spark, folder):
 
 
 @query("trailing_leading_activity", """
-with d as (select *, cast(o_orderdate as date) as day from orders where o_orderstatus <> 'P')
+with d as (select *, cast(o_orderdate as date) as day from orders)
 select o_orderpriority, count(*) as n_orders, sum(n_before) as orders_before, sum(n_after) as orders_after, round(avg(v_after), 4) as mean_value_after from (
  select o_orderpriority, count(*) over (partition by o_custkey order by day range between interval 31 day preceding and interval 1 day preceding) as n_before,
   count(*) over (partition by o_custkey order by day range between interval 1 day following and interval 31 day following) as n_after,
   coalesce(sum(o_totalprice) over (partition by o_custkey order by day range between interval 1 day following and interval 31 day following), 0) as v_after from d) group by 1""")
 def _(spark, folder):
-    o = orders(spark, folder).where("o_orderstatus <> 'P'")
+    o = orders(spark, folder)
     out = V.activity_around(o, ["o_custkey"], "day", F.col("o_totalprice"), F.lit(True), {"before": (-31, -1), "after": (1, 31)})
     return out.groupBy("o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum("n_before").alias("orders_before"), F.sum("n_after").alias("orders_after"), r(F.avg("value_after"), 4).alias("mean_value_after")
@@ -283,7 +285,7 @@ def _(spark, folder):
 @query("pre_exposure_period", f"""
 with {WINDOWS_CTE}
 select customer_id, variant, start_time, end_time from windows union all
-select customer_id, 'Not Exposed', timestamp '2024-01-01', min(start_time) from windows group by 1 having min(start_time) > timestamp '2024-01-01'""")
+select customer_id, 'before exposure', timestamp '2024-01-01', min(start_time) from windows group by 1 having min(start_time) > timestamp '2024-01-01'""")
 def _(spark, folder):
     return E.with_pre_exposure(windows(spark, folder), ["customer_id"], F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
@@ -310,7 +312,7 @@ def _(spark, folder):
 
 
 @query("exposure_split_check", f"""
-with {EXPOSURES_CTE}, d as (select distinct cast(ts as date) as day, customer_id, variant from exposures)
+with {EXPOSURES_CTE}, d as (select distinct cast(ts as date) as day, customer_id, variant from exposures where customer_id is not null)
 select day, count_if(variant = 'control')::bigint as n_control, count_if(variant = 'treatment')::bigint as n_treatment,
  round(count_if(variant = 'control') / count(*), 6) as share_control, round(count_if(variant = 'treatment') / count(*), 6) as share_treatment from d group by 1""")
 def _(spark, folder):
@@ -371,13 +373,16 @@ select day, {", ".join(f"count(distinct case when {c} then session_id end) as {n
 from sessions join known using (session_id) group by 1""")
 def _(spark, folder):
     s = sessions(spark, folder)
-    known = s.groupBy("user_id", "session_id").agg(F.avg("value").alias("m"))
-    known = known.select("user_id", "session_id", F.when(F.col("m") > 12, True).when(F.col("m") > 5, False).alias("is_recurrent"))
-    rec, buy = F.col("is_recurrent"), IS("purchase")
-    return A.conditional_distinct(s.join(known, ["user_id", "session_id"]), ["day"], "session_id", {
-        "all_sessions": F.lit(True), "recurrent_sessions": rec, "new_sessions": ~rec, "unknown_sessions": rec.isNull(),
-        "recurrent_buying": rec & buy, "new_buying": ~rec & buy,
-    })
+    # Sessions are made once; a window over a session sees one row per day of it.
+    daily = s.groupBy("user_id", "session_id", "day").agg(F.sum("value").alias("v"), F.count("value").alias("n"), F.max(IS("purchase")).alias("buys"))
+    whole = Window.partitionBy("user_id", "session_id")
+    daily = daily.withColumn("m", C.safe_ratio(F.sum("v").over(whole), F.sum("n").over(whole))).where("session_id is not null")
+    daily = daily.withColumn("is_recurrent", F.when(F.col("m") > 12, True).when(F.col("m") > 5, False))
+    rec, buy = F.col("is_recurrent"), F.col("buys")
+    return daily.groupBy("day").agg(
+        F.count(F.lit(1)).alias("all_sessions"), F.count_if(rec).alias("recurrent_sessions"), F.count_if(~rec).alias("new_sessions"),
+        F.count_if(rec.isNull()).alias("unknown_sessions"), F.count_if(rec & buy).alias("recurrent_buying"), F.count_if(~rec & buy).alias("new_buying"),
+    )
 
 
 @query("map_event_to_category", """
@@ -414,9 +419,9 @@ with {SESSIONS_CTE}
 select day, event_type, count(*) as n_events, count(distinct user_id) as n_users, count(distinct session_id) as n_sessions from sessions group by all""")
 def _(spark, folder):
     per_session = sessions(spark, folder).groupBy("day", "event_type", "user_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
-    per_user = per_session.groupBy("day", "event_type", "user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s"))
+    per_user = per_session.groupBy("day", "event_type", "user_id").agg(F.sum("n").alias("n"), F.count("session_id").alias("s"))
     # A session belongs to one user, so users' session counts add up.
-    return per_user.groupBy("day", "event_type").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_users"), F.sum("s").alias("n_sessions"))
+    return per_user.groupBy("day", "event_type").agg(F.sum("n").alias("n_events"), F.count("user_id").alias("n_users"), F.sum("s").alias("n_sessions"))
 
 
 @query("reconcile_counts", """

@@ -15,10 +15,10 @@ from cohorta.plans.base import SESSIONS_CTE, events, lines, orders, query, r, se
 
 
 @query("order_by", """
-select o_orderkey, o_orderdate, o_totalprice from orders where o_totalprice > 450000 order by o_orderdate desc, o_orderkey""")
+select o_orderkey, o_orderdate, o_totalprice from orders order by o_orderdate desc, o_orderkey""")
 def _(spark, folder):
     o = scan_table(spark, folder, "orders", ["o_orderkey", "o_orderdate", "o_totalprice"])
-    return o.where("o_totalprice > 450000").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
+    return o.orderBy(F.col("o_orderdate").desc(), "o_orderkey")
 
 
 _TOP = "(select o_custkey as customer, count(*) as n from orders group by 1 order by n desc, customer limit 150)"
@@ -106,12 +106,12 @@ def _(spark, folder):
 
 
 @query("bin_fixed", """
-select case when l_discount >= 0 and l_discount <= 0.02 then '0-20' when l_discount <= 0.04 then '20-40' when l_discount <= 0.06 then '40-60'
- when l_discount <= 0.08 then '60-80' when l_discount <= 0.1 then '80-100' else 'no tier' end as tier, count(*) as n
+select case when l_discount >= 0 and l_discount <= 0.02 then 'none to 2 %' when l_discount <= 0.04 then 'to 4 %' when l_discount <= 0.06 then 'to 6 %'
+ when l_discount <= 0.08 then 'to 8 %' when l_discount <= 0.1 then 'to 10 %' else 'unknown' end as tier, count(*) as n
 from (select case when l_returnflag <> 'N' then l_discount end as l_discount from lineitem) group by 1""")
 def _(spark, folder):
     d = F.when(F.col("l_returnflag") != "N", F.col("l_discount"))
-    tier = C.fixed_bins(d, [0.0, 0.02, 0.04, 0.06, 0.08, 0.1], ["0-20", "20-40", "40-60", "60-80", "80-100"], "no tier")
+    tier = C.fixed_bins(d, [0.0, 0.02, 0.04, 0.06, 0.08, 0.1], ["none to 2 %", "to 4 %", "to 6 %", "to 8 %", "to 10 %"], "unknown")
     return lines(spark, folder, "l_discount", "l_returnflag").groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 

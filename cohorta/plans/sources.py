@@ -14,9 +14,9 @@ from cohorta.sources import tables as T
 
 
 @query("scan_table", """
-select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 400000""")
+select o_orderkey, o_custkey, o_totalprice from orders""")
 def _(spark, folder):
-    return scan_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice"]).where("o_totalprice > 400000")
+    return scan_table(spark, folder, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
 @query("render_params", """

@@ -372,3 +372,35 @@ def test_scan_reads_only_what_is_needed(spark, small):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
     assert "o_totalprice" not in plan
+
+
+def test_t_tail_with_many_degrees_of_freedom():
+    from statistics import NormalDist
+
+    from cohorta.functions.distributions import student_t_two_sided_value
+
+    for df in (1e5, 1e6, 1.0001e6, 1e9, 1e13):
+        z = student_t_two_sided_value(1.96, df)
+        normal = 2 * NormalDist().cdf(-1.96)
+        assert abs(z - normal - 1.96 * (1 + 1.96**2) / (2 * df) * NormalDist().pdf(1.96)) < 1e-9
+
+
+def test_all_variants_are_compared(spark):
+    rows = [(v, float(i % 5 + k)) for k, v in enumerate("abc") for i in range(20)]
+    df = spark.createDataFrame(rows, "variant string, m double")
+    one = inference.ab_test_metrics(df, [], ["m"], "variant", "a", ["b", "c"])
+    every = inference.ab_test_metrics(df, [], ["m"], "variant", "a", ["b", "c"], compare_all=True)
+    assert {(r.baseline, r.treatment) for r in every.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    p = {(r.baseline, r.treatment): r.p_value for r in one.collect()}
+    for r in every.collect():
+        if (r.baseline, r.treatment) in p and r.p_value < 1:
+            assert abs(r.p_value / 3 - p[r.baseline, r.treatment] / 2) < 1e-9
+
+
+def test_exposed_customers_without_observations_are_kept(spark):
+    import datetime as d
+
+    e = spark.createDataFrame([(1, d.date(2024, 1, 2)), (2, d.date(2024, 1, 9)), (3, d.date(2024, 1, 3))], "c long, exposed date")
+    o = spark.createDataFrame([(1, d.date(2024, 1, 5), 2), (3, d.date(2024, 1, 1), 1)], "c long, day date, n long")
+    got = basket.cumulative_observations(o, e, "c", "day", "exposed", F.lit(d.date(2024, 1, 1)), ["n"])
+    assert sorted((r.c, r.exposure_week, r.week, r.n) for r in got.collect()) == [(1, 1, 1, 2.0), (2, 2, None, 0.0)]

@@ -25,7 +25,8 @@ def events(spark, small):
 
 @pytest.fixture(scope="module")
 def known(events):
-    return events.where(F.col("user_id").isNotNull())
+    """Null keys included: they take the place of known users nowhere."""
+    return events
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +124,53 @@ def test_retention_and_versions(known):
     facts = known.select("event_id", "user_id", "day")
     run = lambda limit: joins.point_in_time_join(facts, versions, ["user_id"], "day", "start_date", "end_date", ["top"], group_limit=limit)
     same(run(10**6), run(LIMIT))
+
+
+def test_equal_rows_of_one_key_are_cut(spark):
+    """One key and day holds most rows: chunks stay bounded and the results equal."""
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), F.lit(1).alias("day"), F.col("id").alias("v"))
+    chunks = scans._cut(df, ["k"], ["day"], 30).groupBy("_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] < 300
+    run = lambda limit: scans.ordered_scans(df, ["k"], ["day"], {"s": scans.running_sum("v")}, group_limit=limit).groupBy("k").agg(F.max("s"), F.count("*"))
+    same(run(10**6), run(100))
+
+
+def test_hot_chain_is_measured_once(spark, known, monkeypatch):
+    calls = []
+    real = funnel.hot_groups
+    monkeypatch.setattr(funnel, "hot_groups", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(scans, "hot_groups", lambda *a, **k: calls.append(1) or real(*a, **k))
+    steps = [(n, F.col("event_type") == n) for n in ("view", "click", "purchase", "error", "signup")]
+    build = lambda limit: funnel.session_funnel(known, ["user_id"], "ts", steps, group_limit=limit)
+    hot = build(LIMIT)
+    assert len(calls) == 1
+    same(build(10**6), hot)
+
+
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_group_without_values_keeps_its_row(spark, limit):
+    rows = [("a", float(i) / 7) for i in range(60)] + [("b", None)] * 5 + [(None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q, r.m) for r in ranks.percentiles(df, ["g"], "v", {"q": 0.25, "m": 0.5}, group_limit=limit).collect()}
+    plain = {r.g: tuple(r.p) if r.p else (None, None) for r in df.groupBy("g").agg(F.percentile("v", [0.25, 0.5]).alias("p")).collect()}
+    assert got == plain and got["b"] == (None, None)
+
+
+def test_running_shares_do_not_depend_on_the_route(known):
+    e = known.select("event_id", F.col("value").cast("double").alias("value")).where("value is not null")
+    same(ranks.cumulative_share(e, "event_id", "value"), ranks.cumulative_share(e, "event_id", "value", group_limit=50))
+
+
+def test_null_keys_meet_nothing(spark):
+    import datetime as d
+
+    t = lambda h: d.datetime(2024, 1, 1, h)
+    e = spark.createDataFrame([(1, None, t(2)), (2, 7, t(2)), (3, None, t(3))], "event_id long, user_id long, ts timestamp_ntz")
+    w = spark.createDataFrame([(None, t(1), t(9), "a"), (7, t(1), t(9), "b")], "user_id long, start_time timestamp_ntz, end_time timestamp_ntz, variant string")
+    for assign in (exposure.assign_variant, exposure.assign_variant_closed):
+        for limit in (10**6, 1):
+            got = assign(e, w, ["user_id"], "ts", how="left", group_limit=limit)
+            assert {r.event_id: r.variant for r in got.collect()} == {1: None, 2: "b", 3: None}
+            assert [r.event_id for r in assign(e, w, ["user_id"], "ts", group_limit=limit).collect()] == [2]
+    found = funnel.next_within(e, e.select("user_id", F.col("ts").alias("t2")), ["user_id"], "ts", "t2", group_limit=1)
+    assert {r.event_id: r.followed_at for r in found.collect()} == {1: None, 2: t(2), 3: None}
