@@ -20,11 +20,17 @@ from pyspark.sql import functions as F
 from cohorta.llm.crf import _blocks
 from cohorta.llm.udf import on_texts
 
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z!][^<>]*$|[^<]+|<", re.S)
+_RAW = "script style noscript template svg math iframe object textarea select title"  # fixed: elements whose content is no text of the page
+PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>{_RAW.replace(' ', '|')})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<[!?/][^>]*>|</?[a-z!][^<>]*\Z|(?P<text>[^<]+|<)",
+    re.S | re.I,
+)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
 # HTML's elements by what they do to text.
-RAW = set("script style noscript template svg math iframe object textarea select title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track".split())
 CLOSES_SELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -41,7 +47,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[str] = []
     text: list[str] = []
-    linked, in_link, raw = 0, 0, ""
+    linked, in_link = 0, 0
 
     def flush():
         nonlocal linked, in_link
@@ -57,23 +63,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         del stack[upto:]
 
     for m in PIECE.finditer(page):
-        name = m[2]
+        piece, name = m["text"], m["name"]
+        if piece is not None:
+            text.append(piece)
+            if in_link:
+                linked += len(piece)
         if name is None:
-            piece = m[0]
-            if not raw and (piece[0] != "<" or piece == "<"):
-                text.append(piece)
-                if in_link:
-                    linked += len(piece)
-            continue
-        name, closing = name.lower(), bool(m[1])
-        if raw:
-            if closing and name == raw:
-                raw = ""
-            continue
-        if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                raw = name
             continue
+        name, closing = name.lower(), bool(m["end"])
         if name in ("br", "wbr"):
             text.append(" ")
         elif name in INLINE:
@@ -97,8 +94,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     del stack[i:]
                     break
             if name not in VOID:
-                names = " ".join(sorted({w for a in NAMES.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(a).lower()) if w}))
-                stack.append(" ".join(x for x in (name, names, "hidden" if HIDDEN.search(m[3]) else "") if x))
+                names = " ".join(sorted({w for a in NAMES.findall(m["rest"]) for w in re.split(r"[\s_-]+", "".join(a).lower()) if w}))
+                stack.append(" ".join(x for x in (name, names, "hidden" if HIDDEN.search(m["rest"]) else "") if x))
     flush()
     return out
 
@@ -202,7 +199,7 @@ def margins(p: dict, inputs: dict[str, np.ndarray], lengths: np.ndarray) -> np.n
     return out
 
 
-def train_labeller(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 10, batch: int = 30, rate: float = 0.012) -> dict:
+def train_labeller(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 12, batch: int = 30, rate: float = 0.012) -> dict:
     """pages: (path vectors, other vectors, labels). Cross-entropy, back-propagation
     through time, Adam."""
     p = Weights().p
@@ -265,12 +262,12 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             own = [w.upper() + "!!" for w in own]
         elif style < 0.16:
             own = [w + pick("***", "###", "$$$", "%%%") for w in own]
-        elif style < 0.2:
+        elif style < 0.26:
             own = [own[0]] * len(own)
         return " ".join(own)
 
     sentence = lambda: words(int(rng.integers(1, 25))).capitalize() + pick(".", ".", ".", "", "!", "?")
-    paragraph = lambda: " ".join(sentence() for _ in range(int(rng.integers(1, 7))))
+    paragraph = lambda: " ".join(sentence() for _ in range(int(rng.integers(1, 7)) * (20 if chance(0.02) else 1)))
     article: list[str] = []
 
     def named(tag, *names):
@@ -324,22 +321,22 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             title = words(int(rng.integers(1, 10)))
             article.append(title)
             parts.append(wrap(pick("h1", "h1", "h2"), title))
-        for _ in range(int(rng.integers(1, 14))):
+        for _ in range(int(rng.integers(1, 14)) if chance(0.9) else 1):
             kind = rng.random()
-            if kind < 0.78:
+            if kind < 0.68:
                 s = entity(paragraph() if chance(0.8) else sentence() if chance(0.5) else word().capitalize() + ".")
                 article.append(s)
                 inner = pick(s, s, s, f"<b>{s}<br>", f"<em>{s}</em>")
                 parts.append(f"<p>{inner}" if open_p or "<br>" in inner else wrap(pick("p", "p", "p", "p", "div", "blockquote"), inner))
-            elif kind < 0.86:
+            elif kind < 0.76:
                 s = words(int(rng.integers(1, 6)))
                 article.append(s)
                 parts.append(wrap(pick("h2", "h3", "h4"), s))
-            elif kind < 0.92:
+            elif kind < 0.81:
                 items = [sentence() for _ in range(int(rng.integers(2, 5)))]
                 article.extend(items)
                 parts.append(wrap(pick("ul", "ol"), "".join(f"<li>{s}</li>" for s in items)))
-            elif kind < 0.94:
+            elif kind < 0.84:
                 items = [sentence() for _ in range(int(rng.integers(2, 5)))]
                 article.extend(items)
                 parts.append("<table>" + "".join(f"<tr><td>{s}</td></tr>" for s in items) + "</table>")
@@ -354,12 +351,14 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     after = [f for f, q in ((comments, 0.35), (side, 0.35), (advert, 0.3), (form, 0.2), (social, 0.2), (footer, 0.9), (notice, 0.15)) if chance(q)]
     if chance(0.3):
         rng.shuffle(before)
+    if chance(0.12):  # nothing but the article
+        before, after = [], []
     page = "".join(f() for f in before) + main + "".join(f() for f in after)
     return f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{page}</body></html>", article
 
 
 @lru_cache(maxsize=1)
-def labeller(pages: int = 700) -> dict:
+def labeller(pages: int = 1200) -> dict:
     """Weights fitted on made-up pages; the same in every run."""
     rng, vectors = np.random.default_rng(41), TextVectors()
     made = []
