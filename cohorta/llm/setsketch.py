@@ -8,9 +8,12 @@ locality-sensitive keys. Pairs that share a band are estimated jointly by maximu
 likelihood from how many registers are larger, smaller and equal, and what is left is
 verified on the full sets. Groups come from links as connected components.
 
-No step makes all pairs of a group: texts with equal sets are one class from the start;
-in each bucket one class is compared with the others; only classes of one bucket that are
-still in different components after STAR_ROUNDS such rounds are compared with each other.
+No step makes all pairs of a group. Texts with equal sets are one class from the start.
+In each bucket the class that shares most buckets with others, likely the text the others
+were made from, is compared with them, which joins most of what belongs together. Classes
+of a bucket that are still apart then meet over rare shingles only: two sets that are alike
+share one of their first few shingles in order of frequency, and the ranks of the first
+shared one bound how much they can share at all. This prefix filter loses no pair.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ SHINGLE = 2
 PERCENT = 80
 #: Standard deviations of the estimate below the threshold at which a pair is let go.
 SLACK = 6.0
-STAR_ROUNDS = 3
+#: Classes whose keys (three numbers each) are broadcast to fetch their texts; more are joined by shuffling.
+BROADCAST_CLASSES = 300_000
 SKETCH = "n_shingles long, print string, sketch binary"
 
 
@@ -150,6 +154,15 @@ def _linked(percent: int, shingle: int):
     return pandas_udf(check, "boolean").asNondeterministic()
 
 
+def _shingle_array(shingle: int):
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield pd.Series([shingles(hashes(spaced_words(t, lower=True)), shingle).view(np.int64) for t in batch], dtype=object)
+
+    return pandas_udf(make, "array<long>").asNondeterministic()
+
+
 class NearDuplicates:
     """One search: classes of equal sets, and components of linked classes."""
 
@@ -180,12 +193,16 @@ class NearDuplicates:
         low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         return 100 * low >= self.percent * high
 
+    def _texts_of(self, nodes: DataFrame) -> DataFrame:
+        """node, text of some classes."""
+        who = cut(nodes.distinct().join(self.classes, "node").select("node", "doc_id", "tie"))
+        who = F.broadcast(who) if who.count() <= BROADCAST_CLASSES else who
+        found = self.docs.withColumn("tie", F.xxhash64("text")).join(who, ["doc_id", "tie"]).select("node", "text")
+        return found.dropDuplicates(["node"])
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are alike."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        who = ends.join(self.classes, "node").select("node", "doc_id", "tie")
-        with_text = self.docs.withColumn("tie", F.xxhash64("text")).join(who, ["doc_id", "tie"]).dropDuplicates(["node"]).select("node", "text")
-        with_text = cut(with_text)
+        with_text = cut(self._texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))))
         p = pairs.join(with_text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         p = p.join(with_text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("a")
         return p.where(_linked(self.percent, self.shingle)("text_a", "text_b")).select("a", "b")
@@ -198,19 +215,13 @@ class NearDuplicates:
         return p.where(_likely(self.percent)("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
 
     def _link(self, pairs: DataFrame) -> None:
-        """Verify candidate pairs and join their components: first one pair per class, then
-        the pairs whose ends are still apart."""
+        """Verify candidate pairs and join the components of those that are linked."""
         likely = cut(self._likely_pairs(pairs))
-        for some in (lambda p: p.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), lambda p: p):
-            left = self._labelled(likely.withColumnRenamed("a", "node")).select(F.col("node").alias("a"), F.col("component").alias("c"), "b")
-            both = self._labelled(left.withColumnRenamed("b", "node")).where("c <> component").select("a", F.col("node").alias("b"))
-            todo = cut(some(both))
-            if todo.isEmpty():
-                return
-            links = self._verify(todo)
-            edges = self._labelled(links.withColumnRenamed("a", "node")).select(F.col("component").alias("x"), "b")
-            edges = self._labelled(edges.withColumnRenamed("b", "node")).select("x", F.col("component").alias("y")).distinct()
-            self._contract(components(cut(edges)))
+        if likely.isEmpty():
+            return
+        edges = self._labelled(self._verify(likely).withColumnRenamed("a", "node")).select(F.col("component").alias("x"), "b")
+        edges = self._labelled(edges.withColumnRenamed("b", "node")).select("x", F.col("component").alias("y"))
+        self._contract(components(edges))
 
     def _contract(self, found: DataFrame) -> None:
         """found: component -> label, for components that joined."""
@@ -224,26 +235,48 @@ class NearDuplicates:
 
     def solve(self) -> NearDuplicates:
         buckets = self._buckets()
-        shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-        self._link(buckets.join(shared, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-        # What a bucket still holds apart. A class that was compared with its whole bucket leaves it.
-        open_ = cut(buckets.join(shared, "bucket").where("node <> pivot").select("bucket", "node", "n"))
-        for k in range(STAR_ROUNDS):
-            rows = self._labelled(open_)
-            live = rows.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("pivot"), F.col("component").alias("c"))).alias("p"))
-            live = live.where("c1 <> c2").select("bucket", "p.pivot", "p.c")
-            open_ = cut(rows.drop("component").join(live, "bucket").select("bucket", "node", "n", "pivot", F.col("c").alias("pivot_component")))
-            if open_.isEmpty():
-                return self
-            apart = self._labelled(open_).where("component <> pivot_component")
-            self._link(apart.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-            open_ = open_.where("node <> pivot").select("bucket", "node", "n")
-        rows = cut(self._labelled(open_))
-        a, b = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "ab")
-        pairs = a.join(b, "bucket").where("node_a < node_b and component_a <> component_b").where(self._alike_in_size())
-        self._link(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+        rows = cut(buckets.join(shared, "bucket"))
+        degree = rows.groupBy("node").agg(F.sum("k").alias("degree"))
+        centres = rows.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("node"))).alias("c"))
+        rows = cut(rows.join(centres.select("bucket", (-F.col("c.col2")).alias("pivot")), "bucket").where("node <> pivot").select("bucket", "node", "n", "pivot"))
+        self._link(rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+        # What buckets still hold apart, without the class that was compared with all others.
+        rows = self._labelled(rows)
+        live = rows.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
+        open_ = cut(rows.join(live, "bucket", "left_semi").select("node", "n", "component").distinct())
+        if not open_.isEmpty():
+            self._link(self._by_rare_shingles(open_))
         return self
 
+    def _by_rare_shingles(self, open_: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes in different components that can be alike.
+
+        With need = percent / (100 + percent) * (n_a + n_b) shared shingles, two sets whose
+        first shared shingle, in order of frequency, has ranks i and j (from 0) share at
+        most 1 + min(n_a - i - 1, n_b - j - 1).
+        """
+        sets = self._texts_of(open_.select("node")).select("node", F.explode(_shingle_array(self.shingle)("text")).alias("h"))
+        sets = cut(sets)
+        often = sets.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+        of_node = sets.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("s"))  # one text's shingles
+        of_node = of_node.join(open_, "node")
+        # Shingles that no other open set has come first; they are shared with none.
+        alone = F.col("n") - F.size("s")
+        reach = F.floor(F.col("n") * (100 - self.percent) / 100).cast("int") + 1 - alone
+        first = of_node.where(reach > 0).select("node", "n", "component", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(reach, F.lit(1)))).alias("i", "x"))
+        first = cut(first.select("node", "n", "component", (F.col("alone") + F.col("i")).alias("rank"), F.col("x.h").alias("h")))
+        # The component that most sets of a shingle are in is met by the others only.
+        most = first.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"))
+        most = most.where("parts > 1").select("h", F.col("m.component").alias("top"))
+        met = cut(first.join(most, "h"))
+        a, b = (met.select("h", "top", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "rank"))) for s in "ab")
+        bound = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+        can = (100 + self.percent) * bound >= self.percent * (F.col("n_a") + F.col("n_b"))
+        once = (F.col("component_b") == F.col("top_b")) | (F.col("component_a") < F.col("component_b"))
+        pairs = a.where("component_a <> top").drop("top").join(b.withColumnRenamed("top", "top_b"), "h").where((F.col("component_a") != F.col("component_b")) & once & can & self._alike_in_size())
+        return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
     def result(self) -> DataFrame:
         """Per row: doc_id, tie, n_shingles, component_id, kept."""
         members = self._labelled(self.classes.select("node", "print", "n_shingles", "doc_id"))
