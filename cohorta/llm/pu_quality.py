@@ -27,8 +27,9 @@ from cohorta.llm.words import WordHashes, utf8
 FIT_DOCS = 2500
 HIDDEN = 12
 FEATURES = 15
-#: A text counts as good from this score on; the network's even odds are mapped to it.
+#: A text counts as good from this score on: all but MISSED of the trusted positives do.
 CUT = 0.3
+MISSED = 0.003
 #: Used when there are no positives or no unlabelled texts to learn from.
 NEUTRAL = 0.5
 
@@ -41,12 +42,16 @@ class StyleModel:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    low: float = 0.0
+    unit: float = 1.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(-self.margin(x) - np.log(CUT / (1 - CUT)), -50, 50)))
+        """CUT at the margin ``low``; one ``unit`` of margin more is two log-odds more."""
+        z = 2 * (self.margin(x) - self.low) / self.unit + np.log(CUT / (1 - CUT))
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 class StyleReader:
@@ -75,7 +80,7 @@ class StyleReader:
         lines = [x for x in raw.split(b"\n") if x.strip()]
         return [
             np.log1p(len(w)), symbols / size, symbols / n, without(raw, UPPER) / size, raw.count(b"!!") / n, raw.count(b" | ") / n,
-            repeat, twins, len(set(w[:2000])) / min(n, 2000) if w else 0.0, size / n, 1 - len(set(lines)) / max(1, len(lines)),
+            repeat, twins, len(set(w)) / n, size / n, 1 - len(set(lines)) / max(1, len(lines)),
             without(raw, b".,;:?") / n, without(raw, DIGITS) / size, len(lines) / n, float(not w),
         ]
 
@@ -140,7 +145,11 @@ def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None = None, rounds
             net.step([(p, hp, prior * (good - bad)), (u, hu, _sigmoid(zu) / len(u))])
         else:  # the negative part has been overfitted: climb back
             net.step([(p, hp, prior * bad), (u, hu, -_sigmoid(zu) / len(u))])
-    return StyleModel(mean, scale, *net.p)
+    model = StyleModel(mean, scale, *net.p)
+    margins = model.margin(x_pos)
+    model.low = float(np.quantile(margins, MISSED))
+    model.unit = max(float(np.median(margins)) - model.low, 1e-3)
+    return model
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
