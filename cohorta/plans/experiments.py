@@ -182,7 +182,7 @@ def _(spark, folder):
 
 
 #: Splits of the registered query; the operator takes as many as its input holds.
-N_AA = 1000
+N_AA = 200
 
 
 @query("false_positive_rate", f"""
