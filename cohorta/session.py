@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def scratch_dir(spark: SparkSession) -> str:
             base = checkpoint.get()
         elif spark.sparkContext.master.startswith("local"):
             base = tempfile.mkdtemp(prefix="cohorta-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(base)
         else:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
