@@ -25,8 +25,8 @@ from cohorta.llm.udf import chunks
 from cohorta.llm.words import PLAIN_PATTERN, look_up, plain_words
 
 WINDOW = 10
-#: Characters of text in one index, about 700,000 words.
-SHARD_CHARS = 4_000_000
+#: Characters of text in one index, about 350,000 words.
+SHARD_CHARS = 2_000_000
 SAMPLE_STEP = 16
 #: Phrases sent to the executors at once; more are searched in further passes over the texts.
 PHRASES_PER_PASS = 1_000_000
@@ -206,19 +206,37 @@ def phrase_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select(F.array_join(F.slice("w", F.col("i"), window), " ").alias("phrase"), "item").distinct()
 
 
-def leak_column(spark, phrase_table: DataFrame, column: str | Column) -> Column:
-    """Struct LEAKS of a text column: words, items found, and merged spans of words."""
+def leak_column(spark, phrase_table: DataFrame, column: str | Column, with_rest: bool = False) -> Column:
+    """Struct LEAKS of a text column: words, items found, and merged spans of words;
+    ``with_rest``: also the text without the spans, null where there are none or nothing is left."""
     n = phrase_table.count()
     passes = max(1, -(-n // PHRASES_PER_PASS))
     found = None
     for k in range(passes):
         part = phrase_table.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k) if passes > 1 else phrase_table
         phrases = spark.sparkContext.broadcast(phrase_tables([tuple(x) for x in part.collect()]))  # at most about PHRASES_PER_PASS rows
-        found = _pass(phrases)(F.col(column) if isinstance(column, str) else column, *([found] if found is not None else []))
+        found = _pass(phrases, with_rest and k == passes - 1)(F.col(column) if isinstance(column, str) else column, *([found] if found is not None else []))
     return found
 
 
-def _pass(phrases):
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str | None:
+    """The text without spans of words; None if there are no spans or no word is left."""
+    if not spans:
+        return None
+    words = [m.span() for m in re.finditer(PLAIN_PATTERN, text.translate(LOWER))]
+    if sum(b - a for a, b in spans) == len(words):
+        return None
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at : words[a][0]])
+        at = words[b - 1][1]
+    return "".join([*kept, text[at:]])
+
+
+def _pass(phrases, with_rest: bool):
     def search(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             text, *before = batch if isinstance(batch, tuple) else (batch,)
@@ -234,9 +252,12 @@ def _pass(phrases):
                 b = before[0]
                 out = [(n, i | set(bi), s + list(zip(bs, be))) for (n, i, s), bi, bs, be in zip(out, b["items"], b["starts"], b["ends"])]
             out = [(n, sorted(i), merged(s)) for n, i, s in out]
-            yield pd.DataFrame({"n_words": [x[0] for x in out], "items": [x[1] for x in out], "starts": [[a for a, _ in x[2]] for x in out], "ends": [[b for _, b in x[2]] for x in out]})
+            frame = {"n_words": [x[0] for x in out], "items": [x[1] for x in out], "starts": [[a for a, _ in x[2]] for x in out], "ends": [[b for _, b in x[2]] for x in out]}
+            if with_rest:
+                frame["rest"] = [without_spans(t, x[2]) for t, x in zip(values, out)]
+            yield pd.DataFrame(frame)
 
-    return pandas_udf(search, LEAKS).asNondeterministic()
+    return pandas_udf(search, LEAKS + ", rest string" * with_rest).asNondeterministic()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -256,28 +277,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the spans that test phrases cover. A text that had words and
     loses them all goes; texts without a hit stay as they are. ``n_chars`` follows the text."""
-    spark = docs.sparkSession
-    pattern = re.compile(PLAIN_PATTERN)
-    lower = {c: c + 32 for c in range(65, 91)}
-
-    def rest(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
-        for text, found in batches:
-            out = []
-            for t, starts, ends in zip(text, found["starts"], found["ends"]):
-                if t is not None and len(starts):
-                    words = [m.span() for m in pattern.finditer(t.translate(lower))]
-                    kept, at = [], 0
-                    for a, b in zip(starts, ends):
-                        kept.append(t[at : words[a][0]])
-                        at = words[b - 1][1]
-                    t = "".join([*kept, t[at:]])
-                    t = t if pattern.search(t.translate(lower)) else None
-                out.append(t)
-            yield pd.Series(out, dtype=object)
-
-    found = docs.withColumn("__leaks", leak_column(spark, phrase_rows(benchmark, window), F.col("text").cast("string")))
-    cut_text = pandas_udf(rest, "string").asNondeterministic()(F.col("text").cast("string"), F.col("__leaks"))
-    out = found.withColumn("__rest", cut_text).where("__rest is not null or size(__leaks.starts) = 0")
+    found = docs.withColumn("__leaks", leak_column(docs.sparkSession, phrase_rows(benchmark, window), F.col("text").cast("string"), with_rest=True))
+    out = found.withColumn("__rest", F.col("__leaks.rest")).where("__rest is not null or size(__leaks.starts) = 0")
     changed = F.size("__leaks.starts") > 0
     new = {"text": F.when(changed, F.col("__rest")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

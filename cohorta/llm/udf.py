@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 #: Characters a function gets at once; one longer text goes alone.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def chunks(values: list[str], limit: int) -> Iterator[list[str]]:

@@ -32,7 +32,7 @@ def spaced_words(text: str, lower: bool = False) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, kept while a task runs; emptied when it gets large."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
