@@ -17,6 +17,8 @@ chunk's largest id are left out. Shards follow each other in the order of docume
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +41,13 @@ CHUNK_SCHEMA = (
     "doc_ids array<long>, doc_starts array<int>, doc_open boolean"
 )
 DOCUMENT_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long"
-#: Words whose ids a worker remembers.
+#: Words, and pieces of words, whose ids a task remembers.
 WORDS_KEPT = 400_000
+ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def split_planes(ids: np.ndarray, by_byte: bool = False, level: int = LEVEL) -> tuple[int, list[bytes]]:
@@ -65,14 +72,38 @@ def join_planes(width: int, planes: list[bytes], n: int, by_byte: bool = False)
     return ids
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """Parts of a word, lower-cased in ASCII, between which the tokenizer splits anyway."""
+    if b"'" in word:
+        return [word]
+    if word.isascii():
+        return ASCII_PIECES.findall(word)
+    head = word.rstrip(SIGNS)
+    last = head.decode("utf-8", "replace")[-1:]
+    plain = last.isalpha() and last < "\u0250" and last != "\u0130"  # whose lower case ends in a mark
+    return [head, word[len(head) :]] if plain and len(head) < len(word) else [word]
+
+
+def is_letters(piece: bytes) -> bool:
+    """Whether normaliser and pre-tokenizer leave the piece as it is: Latin lower-case letters only."""
+    if piece.isascii():
+        return piece.isalpha()
+    text = piece.decode("utf-8", "replace")
+    return text.isalpha() and max(text) < "\u0180" and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
+
 class WordEncoder:
     """Ids of whole texts, encoded word by word.
 
     The tokenizer's normaliser and pre-tokenizer work on each run of characters other
     than white space by itself (it splits at white space and drops it, and white space
     takes part in no Unicode composition), so a text's ids are those of its words one
-    after the other. Each distinct word is encoded once by the library and remembered.
-    ``whole`` encodes the text at once, for tokenizers that see white space.
+    after the other. It also lower-cases, and splits between letters, single digits and
+    other signs, so words come down to fewer pieces: ASCII words without an apostrophe
+    fall apart at those places, others only before the ASCII signs at their end, where a
+    Latin letter stands before them. Each distinct piece is encoded once by the library
+    (by its model alone where the steps before it change nothing) and remembered. Texts that may hold a special token are encoded at once, and so is
+    every text with ``whole``, for tokenizers that see white space or case.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -81,14 +112,29 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = whole
+        self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.pieces: dict[bytes, list[int]] = {}
         self.known: dict[bytes, int] = {}
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in got]
+        parts = [pieces(w) for w in new]
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces.clear()
+        unseen = list({p for own in parts for p in own}.difference(self.pieces))
+        model = self.tokenizer.model
+        rest = []
+        for p in unseen:
+            if is_letters(p):
+                self.pieces[p] = [t.id for t in model.tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(BYTE_LEVEL))]
+            else:
+                rest.append(p)
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
+        self.pieces.update(zip(rest, (e.ids for e in got)))
+        of_piece = self.pieces
+        ids = [of_piece[own[0]] if len(own) == 1 else [i for p in own for i in of_piece[p]] for own in parts]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = self.pool.size + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.known.update(zip(new, range(self.lengths.size, self.lengths.size + len(new))))
@@ -97,9 +143,15 @@ class WordEncoder:
         self.pool = np.concatenate((self.pool, np.array([i for own in ids for i in own], np.uint32)))
 
     def __call__(self, values: list[str]) -> list[np.ndarray]:
-        if self.whole:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
-        words = [utf8(t).split() for t in values]
+        odd = [k for k, t in enumerate(values) if self.whole or any(s in t for s in self.special)]
+        at_once = self.tokenizer.encode_batch_fast([values[k] for k in odd], add_special_tokens=False) if odd else []
+        if len(odd) == len(values):
+            return [np.array(e.ids, np.uint32) for e in at_once]
+        if odd:
+            rest = iter(self([t for k, t in enumerate(values) if k not in set(odd)]))
+            got = {k: np.array(e.ids, np.uint32) for k, e in zip(odd, at_once)}
+            return [got[k] if k in got else next(rest) for k in range(len(values))]
+        words = [utf8(t).lower().split() for t in values]
         flat = [w for own in words for w in own]
         if len(self.known) > WORDS_KEPT:
             self.known, self.lengths, self.starts, self.pool = {}, self.lengths[:0], self.starts[:0], self.pool[:0]

@@ -85,6 +85,18 @@ def test_planes_round_trip():
             assert (bit_planes.join_planes(width, planes, ids.size, by_byte) == ids).all()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.text("aBé'ß1.,;-*_|<>\u0301\u0345 ſİΣK½²\u200d\x85\x1c\n", max_size=12), st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "it's", "été,", "Don'T!!", "a's."])), max_size=8))
+def test_words_encode_as_whole_texts(words):
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_words_encode_as_whole_texts, "pair"):
+        test_words_encode_as_whole_texts.pair = (Tokenizer.from_file(TOKENIZER), bit_planes.WordEncoder(TOKENIZER))
+    whole, encoder = test_words_encode_as_whole_texts.pair
+    texts = [" ".join(words), "".join(words)]
+    assert [x.tolist() for x in encoder(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_match_whole_texts(s, small, edge, tmp_path):
     from tokenizers import Tokenizer
 
