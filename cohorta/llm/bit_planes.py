@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,8 @@ WORDS_KEPT = 400_000
 ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_LEVEL = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)]
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -87,7 +89,7 @@ def pieces(word: bytes) -> list[bytes]:
 def is_letters(piece: bytes) -> bool:
     """Whether normaliser and pre-tokenizer leave the piece as it is: Latin lower-case letters only."""
     if piece.isascii():
-        return piece.isalpha()
+        return piece.isalpha() and piece.islower()
     text = piece.decode("utf-8", "replace")
     return text.isalpha() and max(text) < "\u0180" and text.lower() == text and unicodedata.is_normalized("NFC", text)
 
@@ -120,27 +122,26 @@ class WordEncoder:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        parts = [pieces(w) for w in new]
+        parts = [(w,) if w.isalpha() else pieces(w) for w in new]  # ASCII letters only, mostly
         if len(self.pieces) > WORDS_KEPT:
             self.pieces.clear()
-        unseen = list({p for own in parts for p in own}.difference(self.pieces))
-        model = self.tokenizer.model
-        rest = []
-        for p in unseen:
-            if is_letters(p):
-                self.pieces[p] = [t.id for t in model.tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(BYTE_LEVEL))]
+        of_piece, tokenize, rest = self.pieces, self.tokenizer.model.tokenize, []
+        for p in set(chain.from_iterable(parts)).difference(of_piece):
+            if p.isalpha():
+                of_piece[p] = [t.id for t in tokenize(p.decode())]
+            elif is_letters(p):
+                of_piece[p] = [t.id for t in tokenize("".join(map(BYTE_LEVEL.__getitem__, p)))]
             else:
                 rest.append(p)
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-        self.pieces.update(zip(rest, (e.ids for e in got)))
-        of_piece = self.pieces
-        ids = [of_piece[own[0]] if len(own) == 1 else [i for p in own for i in of_piece[p]] for own in parts]
+        of_piece.update(zip(rest, (e.ids for e in got)))
+        ids = [of_piece[own[0]] if len(own) == 1 else list(chain.from_iterable(map(of_piece.__getitem__, own))) for own in parts]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = self.pool.size + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         self.known.update(zip(new, range(self.lengths.size, self.lengths.size + len(new))))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.starts = np.concatenate((self.starts, starts.astype(np.int64)))
-        self.pool = np.concatenate((self.pool, np.array([i for own in ids for i in own], np.uint32)))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))))
 
     def __call__(self, values: list[str]) -> list[np.ndarray]:
         odd = [k for k, t in enumerate(values) if self.whole or any(s in t for s in self.special)]
