@@ -177,7 +177,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     rows = [(*k, v, chances[k], scale * v / chances[k] if v else 0.0) for k, v in factors.items()]
     found = docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, __f double, __p double, __w double")
     found = found.select(F.struct("source", "lang", "topic").alias("__cell"), "__f", "__p", "__w")
-    out = tagged.join(found, "__cell", "left")
+    out = tagged.join(F.broadcast(found), "__cell", "left")  # at most MAX_CELLS rows, as checked above
     f, p, w = (F.coalesce(c, F.lit(0.0)) for c in ("__f", "__p", "__w"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(seed)), F.lit(2**53)) / float(2**53)
     fields = F.struct("__cell.*", "__topic.n_tokens", f.alias("factor"), p.alias("probability"), w.alias("sample_weight"), (draw < p).alias("sampled"))
