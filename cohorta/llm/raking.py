@@ -7,19 +7,22 @@ tokens the wanted share of all. Where one is the most, the rest of the factor st
 sample's weight, so that weighted expected tokens have the target mix exactly. The draw is
 a hash of the document's id and text, so a run can be repeated.
 
-Topics are nearest centroids of a spherical k-means over hashed words, fitted on at most
-TOPIC_DOCS documents.
+Topics are nearest centroids of a spherical k-means over hashed words, fitted on all
+documents; only the start centroids are chosen among TOPIC_DOCS texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from cohorta.llm.registry import sample_texts, texts
+from cohorta.llm.registry import cut
 from cohorta.llm.udf import on_texts
 from cohorta.llm.words import WordHashes, spaced_words
 
@@ -27,6 +30,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 TOPIC_DOCS = 2000
 BUCKETS = 1024
+#: Length of vectors, which are kept in whole numbers of 16 bits.
+SCALE = 2**15
 #: Expected share of the tokens that is sampled.
 KEEP = 0.5
 #: Exponent of the default targets: shares grow with tokens to this power, 0 is uniform.
@@ -37,50 +42,130 @@ NONE = "(none)"
 
 
 def word_counts(hashes: WordHashes, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words per text, and unit vectors of damped counts of hashed words."""
-    out, n = np.zeros((len(values), BUCKETS), np.float32), np.zeros(len(values), np.int64)
+    """Words per text, and vectors of damped counts of hashed words, of length SCALE and in
+    whole numbers: sums and products of them are exact, whatever the order and the batches."""
+    out, n = np.zeros((len(values), BUCKETS)), np.zeros(len(values), np.int64)
     for k, t in enumerate(values):
         h = hashes(spaced_words(t, lower=True))
         n[k] = h.size
-        out[k] = np.log1p(np.bincount((h >> np.uint64(20)) % np.uint64(BUCKETS), minlength=BUCKETS))
-    return n, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS, limit: int = TOPIC_DOCS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Centre of the sample and centroids around it. Deterministic; an empty sample gives
-    one topic. The sample: the texts with the smallest hashes of id and text."""
-    rows = sample_texts(docs, limit)
-    if not rows:
-        return np.zeros(BUCKETS, np.float32), np.zeros((1, BUCKETS), np.float32)
-    _, x = word_counts(WordHashes(), rows)
-    middle = x.mean(0)
-    x = x - middle
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        damped = np.log1p(np.bincount((h >> np.uint64(20)) % np.uint64(BUCKETS), minlength=BUCKETS))
+        out[k] = np.rint(damped * (SCALE / max(np.linalg.norm(damped), 1e-9)))
+    return n, out
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """Buckets and values of what is not zero; ``unpacked`` undoes it for many."""
+    at = np.flatnonzero(vector)
+    return np.stack((at, vector[at]), 1).astype("<u2").tobytes()
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    pairs = np.frombuffer(b"".join(blobs), "<u2").reshape(-1, 2)
+    out = np.zeros((len(blobs), BUCKETS))
+    out[np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), pairs[:, 0]] = pairs[:, 1]
+    return out
+
+
+def nearest(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    middle, centres = model
+    return ((x - middle) @ centres.T).argmax(1)
+
+
+def of_length(x: np.ndarray) -> np.ndarray:
+    """Rows brought to length SCALE, in whole numbers; rows of zeros stay."""
+    return np.rint(x * (SCALE / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)))
+
+
+def doc_vectors(docs: DataFrame, *more: Column) -> DataFrame:
+    """Per row with words: hash of the text, n_tokens, vector (packed), and ``more``."""
+
+    def make():
+        hashes = WordHashes()
+
+        def work(values: list[str]) -> dict:
+            out = {"n_tokens": [], "vector": []}
+            for at in range(0, len(values), 64):
+                n, x = word_counts(hashes, values[at : at + 64])
+                out["n_tokens"] += n.tolist()
+                out["vector"] += map(packed, x)
+            return out
+
+        return work
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64(text).alias("h"), *more, on_texts(make, "n_tokens long, vector binary", text).alias("w"))
+    return rows.where("w.n_tokens > 0").select("h", *(c for c in rows.columns if c not in ("h", "w")), "w.*")
+
+
+def summed(vectors: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and sum of all vectors by nearest centroid, each seen from the middle and
+    brought to length SCALE; without a model of all vectors as they are, under 0. Each task
+    adds up its own, so at most topics x (BUCKETS + 1) numbers come to the driver."""
+    topics = 1 if model is None else len(model[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((topics, BUCKETS + 1))  # the last one counts
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            for at in range(0, len(blobs), 256):
+                x = unpacked(blobs[at : at + 256])
+                own = np.zeros(len(x), int) if model is None else nearest(x, model)
+                x = x if model is None else of_length(x - model[0])
+                total += (own == np.arange(topics)[:, None]).astype(float) @ np.column_stack((x, np.ones(len(x))))
+        topic, bucket = np.nonzero(total)
+        arrays = [pa.array(v.astype(kind)) for v, kind in ((topic, np.int32), (bucket, np.int32), (total[topic, bucket], np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, ["topic", "bucket", "total"])
+
+    parts = vectors.select("vector").mapInArrow(run, "topic int, bucket int, total long")
+    out = {k: np.zeros(BUCKETS + 1) for k in range(topics)}
+    for r in parts.groupBy("topic", "bucket").agg(F.sum("total").alias("total")).collect():
+        out[r.topic][r.bucket] = r.total
+    return {k: (int(v[-1]), v[:-1]) for k, v in out.items()}
+
+
+def first_centres(vectors: DataFrame, middle: np.ndarray, topics: int, limit: int) -> np.ndarray:
+    """Start centroids from the ``limit`` distinct texts with the smallest hashes: the first
+    of them, then each time the one least like any so far."""
+    edge = vectors.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    few = vectors.where(F.col("h") <= edge).groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").limit(limit).collect()
+    x = of_length(unpacked([bytes(r.vector) for r in few]) - middle)
     centres = [x[0]]
-    for _ in range(min(topics, len(x)) - 1):  # the text least like any centre so far
+    for _ in range(min(topics, len(x)) - 1):
         centres.append(x[(x @ np.array(centres).T).max(1).argmin()])
-    c = np.array(centres)
+    return np.array(centres)
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, limit: int = TOPIC_DOCS, rounds: int = 12, vectors: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of all vectors and centroids around it, each round a pass over all rows of
+    ``docs`` (or of ``vectors``, when they are there already). Deterministic; no words at
+    all give one topic. Only the start centroids come from ``limit`` texts."""
+    vectors = cut(doc_vectors(docs)) if vectors is None else vectors
+    n, total = summed(vectors)[0]
+    if not n:
+        return np.zeros(BUCKETS), np.zeros((1, BUCKETS))
+    middle = np.rint(total / n)
+    c = first_centres(vectors, middle, topics, limit)
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
-        for k in range(len(c)):
-            if (own == k).any():
-                c[k] = x[own == k].mean(0)
-                c[k] /= max(np.linalg.norm(c[k]), 1e-9)
+        before = c.copy()
+        for k, (_, total) in summed(vectors, (middle, c)).items():
+            if total.any():
+                c[k] = of_length(total[None])[0]
+        if (c == before).all():
+            break
     return middle, c
 
 
 def topic_column(model: tuple[np.ndarray, np.ndarray], column: str | Column = "text") -> Column:
     """Struct of topic and n_tokens (words between white space). Texts without words are of no topic (-1)."""
-    middle, centres = model
 
     def make():
         hashes = WordHashes()
 
         def work(values: list[str]) -> dict:
             topic, n = [np.zeros(0, int)], [np.zeros(0, int)]
-            for at in range(0, len(values), 256):
-                size, x = word_counts(hashes, values[at : at + 256])
-                topic.append(np.where(size > 0, ((x - middle) @ centres.T).argmax(1), -1))
+            for at in range(0, len(values), 64):
+                size, x = word_counts(hashes, values[at : at + 64])
+                topic.append(np.where(size > 0, nearest(x, model), -1))
                 n.append(size)
             return {"topic": np.concatenate(topic), "n_tokens": np.concatenate(n)}
 
@@ -89,6 +174,18 @@ def topic_column(model: tuple[np.ndarray, np.ndarray], column: str | Column = "t
     return on_texts(make, "topic int, n_tokens long", column)
 
 
+def vector_topic(model: tuple[np.ndarray, np.ndarray]) -> Column:
+    """The same topic from the column vector of ``doc_vectors``."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            blobs = batch.tolist()
+            parts = [nearest(unpacked(blobs[at : at + 256]), model) for at in range(0, len(blobs), 256)]
+            yield pd.Series(np.concatenate([np.zeros(0, int), *parts]))
+
+    return pandas_udf(run, "int")("vector")
+
+
 def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
     """Target shares that grow with the totals to a power."""
     raised = {k: v**power for k, v in totals.items() if v > 0}
@@ -156,12 +253,14 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     null source or language is a category of its own; texts without words weigh nothing
     and are not sampled. Repeated rows share one decision.
     """
-    model = fit_topics(texts(docs))
-    tagged = docs.withColumn("__topic", topic_column(model, F.col("text").cast("string")))
     source, lang = _categories()
+    vectors = cut(doc_vectors(docs, source.alias("source"), lang.alias("lang")))
+    model = fit_topics(docs, vectors=vectors)
+    tagged = docs.withColumn("__topic", topic_column(model, F.col("text").cast("string")))
     tagged = tagged.withColumn("__cell", F.struct(source.alias("source"), lang.alias("lang"), F.col("__topic.topic").cast("string").alias("topic")))
-    sums = tagged.where("__topic.n_tokens > 0").groupBy("__cell").agg(F.sum("__topic.n_tokens").alias("tokens"))
-    rows = sums.select("__cell.*", "tokens").limit(MAX_CELLS + 1).collect()  # refused below if there are more
+    cell = ["source", "lang", F.col("topic").cast("string").alias("topic")]
+    sums = vectors.withColumn("topic", vector_topic(model)).groupBy(*cell).agg(F.sum("n_tokens").alias("tokens"))
+    rows = sums.limit(MAX_CELLS + 1).collect()  # refused below if there are more
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells; group the sources first")
     cells = {(r.source, r.lang, r.topic): r.tokens for r in rows}

@@ -181,6 +181,32 @@ def test_mix_columns(s, small, edge):
     assert raking.mix(edge.limit(0)).count() == 0
 
 
+def test_topics_come_from_all_documents(s, small):
+    docs = table(s, small, "documents")
+    middle, centres = raking.fit_topics(docs, 4, limit=20, rounds=60)
+    _, x = raking.word_counts(raking.WordHashes(), [t for _, t in pairs(s, small, "documents", "doc_id", "text") if (t or "").split()])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = x.mean(0)
+    assert np.abs(middle / raking.SCALE - m).max() < 1e-4  # the mean of all, not of 20
+    x = (x - m) / np.linalg.norm(x - m, axis=1, keepdims=True)
+    own = (x @ centres.T).argmax(1)
+    for k, c in enumerate(centres / raking.SCALE):
+        mean = x[own == k].mean(0)
+        assert (own == k).any() and c @ mean / np.linalg.norm(mean) > 0.999  # each centroid is the mean of all its documents
+    again = raking.fit_topics(docs.repartition(7), 4, limit=20, rounds=60)
+    assert (again[0] == middle).all() and (again[1] == centres).all()
+
+
+def test_copies_leave_small_topics_their_centroids(s):
+    small_groups = [f"{a} {a}{i} {a}{i + 1} {a}{i + 2}" for a in ("cat", "dog", "fish") for i in range(3)]
+    d = s.createDataFrame(list(enumerate(["the same text again and again"] * 3000 + small_groups)), "doc_id long, text string")
+    model = raking.fit_topics(d, 4, limit=100)
+    topics = {r.text.split()[0]: set() for r in d.collect()}
+    for r in d.select("text", raking.topic_column(model)["topic"].alias("k")).collect():
+        topics[r.text.split()[0]].add(r.k)
+    assert all(len(k) == 1 for k in topics.values()) and len(set.union(*topics.values())) == 4
+
+
 def test_components(s):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
