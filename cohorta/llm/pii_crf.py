@@ -2,8 +2,8 @@
 
 The patterns give the base spans. The field labels the words of a line from their shapes
 and from what stands before them; it is fitted on a small table of labelled lines and
-adds the spans the patterns do not reach: keys and passwords, and numbers written in ways
-the patterns miss. A span of the field that touches a base span is left out.
+adds the spans the patterns do not reach: keys and passwords, with or without digits,
+spelled-out addresses, and numbers written in ways the patterns miss. A span of the field that touches a base span is left out.
 """
 
 from __future__ import annotations
@@ -31,10 +31,20 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
 FIELDS = "kinds array<string>, starts array<int>, ends array<int>, n_base int"
 CUE_WORDS = {"token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"}
+#: One of these is in every cue word, in lower case.
+CUE_STEMS = ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential")
+#: A cue word and its sign written on to the value.
+GLUED = re.compile(r"[\"'`({\[<]*(?:" + "|".join(sorted(CUE_WORDS)) + r")[\"'`]?(?::=|=>|[=:])(?=[^=:>])", re.IGNORECASE)
+FILLER = "the of and to in that it was for on are as with his they at be this from have or by one had not".split()
+#: Words that are no secret even after a cue word and a sign.
+COMMON = {*FILLER, *"a an is no none null true false yes we you he she i my your our if when who what which all any its their see use here".split()}
+#: Last words of spelled-out addresses; behind a bracketed (at) any word will do.
+ENDINGS = set("com org net edu gov mil info biz io co uk de fr es eu ch nl se pl ru cn jp br au ca app dev".split())
+SPELLED = re.compile(r"[\w.+-]+[(\[{]at[)\]}][\w-]+(?:(?:\.|[(\[{]dot[)\]}])[\w-]+)+", re.IGNORECASE)
 PHONE_WORDS = {"phone", "tel", "call", "mobile", "fax", "telephone"}
 #: Signs around a span that are no part of it.
 EDGES = "\"'`,;:!?[]{}<>#*$%&|=~"
-FEATURES = 20
+FEATURES = 26
 
 
 def digits(s: str) -> list[int]:
@@ -67,14 +77,32 @@ def shape(word: str) -> tuple[float, ...]:
     d = sum("0" <= c <= "9" for c in core)
     alpha = sum(c.isalpha() for c in core)
     low = core.lower()
+    cue = word.strip(EDGES).lower() in CUE_WORDS
     return (
-        1.0, float(low in CUE_WORDS), float(low in PHONE_WORDS), float(word in ("=", ":", ":=", "=>")), float(n > 20),
+        1.0, float(cue), float(low in PHONE_WORDS), float(word in ("=", ":", ":=", "=>")), float(n > 20),
         float(d > 0 and d == n), float("@" in core), float(core.count(".") == 3 and d >= 4), float(d >= 1 and alpha >= 1 and n >= 16),
         float(d >= 13), float(core[:1] == "+"), float(7 <= d <= 12), float(1 <= d <= 4), float(core[:1] == "(" or word[:1] == "("), float(d > 0 and "-" in core),
         float(d > 0 and alpha > 0 and n < 16),
+        float(cue and word[-1:] in (":", "=", ">")), float(alpha >= 4 and alpha == n), float(low in COMMON), float(SPELLED.search(word) is not None),
     )
 
 
+def spelled_out(words: list[str]) -> np.ndarray:
+    """Whether a word is part of an address such as 'jo dot doe at example dot com'."""
+    out = np.zeros(len(words), bool)
+    core = [w.strip("\"'`.,;:!?()[]{}<>").lower() for w in words]
+    for i in range(1, len(words) - 3):
+        if core[i] == "at" and core[i + 2] == "dot" and core[i - 1] and core[i + 1] not in COMMON:
+            first, last = i - 1, i + 3
+            while last + 2 < len(words) and core[last + 1] == "dot":
+                last += 2
+            while first >= 2 and core[first - 1] == "dot":
+                first -= 2
+            if core[last] in ENDINGS or (core[last] and words[i][0] in "([{"):
+                out[first : last + 1] = True
+    return out
+
+
 def line_features(words: list[str], known: dict[str, tuple[float, ...]]) -> np.ndarray:
     """Features of a line's words; ``known`` remembers shapes."""
     if len(known) > 100_000:
@@ -89,6 +117,13 @@ def line_features(words: list[str], known: dict[str, tuple[float, ...]]) -> np.n
     x[:, 7:18] = own[:, 5:16]
     x[1:, 18] = own[:-1, 10] + own[:-1, 13]  # after a country code or a bracket
     x[1:, 19] = own[:-1, 2]
+    x[1:, 20] = own[:-1, 16]  # after a cue with its sign, in one word or two
+    x[2:, 20] = np.maximum(x[2:, 20], own[:-2, 1] * own[1:-1, 3])
+    x[:, 21] = x[:, 20] * own[:, 17] * (1 - own[:, 18])  # and letters only
+    x[:, 22] = spelled_out(words) if "dot" in (w.strip("()[]{}").lower() for w in words) else 0
+    x[:, 23] = own[:, 18]
+    x[:, 24] = own[:, 19]
+    x[:, 25] = own[:, 17]
     return x
 
 
@@ -96,11 +131,14 @@ def labelled_lines() -> list[list[tuple[str, str]]]:
     """The training table: words with labels, one list per line. Made from a few patterns of
     what is and is not personal, in changing surroundings."""
     rng = np.random.default_rng(23)
-    filler = "the of and to in that it was for on are as with his they at be this from have or by one had not".split()
+    filler = FILLER
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     code = lambda n, abc="0123456789abcdef": "".join(rng.choice(list(abc), n))
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
     quote = lambda s: f'"{s}"' if rng.random() < 0.5 else s
+    plain = lambda low, high: code(int(rng.integers(low, high)), letters[:52] if rng.random() < 0.3 else letters[:26])
+    cue = lambda: str(rng.choice(sorted(CUE_WORDS)))
+    bracket = lambda w: f"({w})" if rng.random() < 0.3 else w
     makers = [
         lambda: [(str(rng.choice(sorted(CUE_WORDS))), "O"), (str(rng.choice(["=", ":"])), "O"), (quote(code(int(rng.integers(20, 48)))), "secret")],
         lambda: [(str(rng.choice(sorted(CUE_WORDS))), "O"), (quote(code(int(rng.integers(18, 48)), letters) + number(2)), "secret")],
@@ -116,9 +154,23 @@ def labelled_lines() -> list[list[tuple[str, str]]]:
         lambda: [(str(rng.choice(sorted(CUE_WORDS))), "O"), (str(rng.choice(filler)), "O")],
         lambda: [("item" + number(3), "O")],
         lambda: [(code(30, "abcdefghijkl"), "O")],
+        # Letters only: secrets behind a cue and a sign, and what is none.
+        lambda: [(cue(), "O"), (str(rng.choice(["=", ":", ":=", "=>"])), "O"), (quote(plain(4, 30)), "secret")],
+        lambda: [(cue() + str(rng.choice(["=", ":"])), "O"), (quote(plain(4, 30)), "secret")],
+        lambda: [(cue() + str(rng.choice(["=", ":"])), "O"), (quote(code(int(rng.integers(6, 40)), letters) + number(2)), "secret")],
+        lambda: [(cue(), "O"), (plain(3, 12), "O")],
+        lambda: [(cue(), "O"), (str(rng.choice(filler)), "O"), (plain(3, 12), "O")],
+        lambda: [(cue() + ":", "O"), (str(rng.choice(filler)), "O"), (plain(3, 12), "O")],
+        lambda: [(cue(), "O"), (str(rng.choice(["=", ":"])), "O"), (str(rng.choice(filler)), "O"), (plain(3, 12), "O")],
+        lambda: [(plain(3, 12), "O"), (str(rng.choice(["=", ":"])), "O"), (quote(plain(3, 12)), "O")],
+        lambda: [(plain(3, 12) + ":", "O"), (plain(3, 12), "O")],
+        lambda: [(plain(3, 12), "O"), (plain(3, 12), "O")],
+        lambda: [(plain(3, 9), "email"), (bracket("at"), "email"), (plain(3, 9), "email"), (bracket("dot"), "email"), (str(rng.choice(sorted(ENDINGS))), "email")],
+        lambda: [(plain(3, 9) + "[at]mail[dot]example.com", "email")],
+        lambda: [("look", "O"), ("at", "O"), ("the", "O"), ("dot", "O"), (str(rng.choice(filler)), "O")],
     ]
     out = []
-    for _ in range(500):
+    for _ in range(900):
         line = [(str(w), "O") for w in rng.choice(filler, int(rng.integers(0, 9)))]
         for maker in rng.permutation(len(makers))[: int(rng.integers(1, 4))]:
             line += makers[maker]() + [(str(w), "O") for w in rng.choice(filler, int(rng.integers(0, 6)))]
@@ -134,13 +186,24 @@ def fitted() -> ChainModel:
     return train(x, y, np.array([len(line) for line in lines]), len(LABELS), rounds=100)
 
 
-def emissions(model: ChainModel, words: list[str], x: np.ndarray) -> np.ndarray:
-    """A word without a digit or an at sign is no part of a span, so lines without any such
-    word need no decoding: all their labels are O."""
-    emit = model.emissions(x)
-    plain = np.array([SUSPECT.search(w) is None for w in words])
-    emit[plain, 1:] = -1e9
-    return emit
+def suspect(text: str) -> bool:
+    """Whether a text or line can hold a span at all: it has a digit, an at sign, a cue word or
+    a spelled-out address. All other lines need no decoding."""
+    if SUSPECT.search(text):
+        return True
+    low = text.lower()
+    return any(c in low for c in CUE_STEMS) or ("dot" in low and "at" in low) or "[at]" in low or "(at)" in low or "{at}" in low
+
+
+def words_of(line: str) -> Iterator[tuple[int, str]]:
+    """Words with their places; a cue with its sign is a word apart from the value behind it."""
+    for m in WORD.finditer(line):
+        head = GLUED.match(m[0])
+        if head:
+            yield m.start(), head[0]
+            yield m.start() + head.end(), m[0][head.end() :]
+        else:
+            yield m.start(), m[0]
 
 
 def lines_of(text: str) -> Iterator[tuple[int, str]]:
@@ -160,12 +223,12 @@ def find_personal(model: ChainModel):
             base = [base_spans(t) for t in values]
             words, lengths, x, owner = [], [], [], []
             for k, t in enumerate(values):
-                if not SUSPECT.search(t):
+                if not suspect(t):
                     continue
                 for at, line in lines_of(t):
-                    if not SUSPECT.search(line):
+                    if not suspect(line):
                         continue
-                    own = [(at + m.start(), m[0]) for m in WORD.finditer(line)]
+                    own = [(at + start, w) for start, w in words_of(line)]
                     if own:
                         words += own
                         lengths.append(len(own))
@@ -173,7 +236,7 @@ def find_personal(model: ChainModel):
                         owner.append(k)
             added: list[list[tuple[str, int, int]]] = [[] for _ in values]
             if words:
-                label = viterbi(emissions(model, [w for _, w in words], np.concatenate(x)), np.array(lengths), model)
+                label = viterbi(model.emissions(np.concatenate(x)), np.array(lengths), model)
                 at = 0
                 for k, n in zip(owner, lengths):
                     added[k] += _spans(words[at : at + n], label[at : at + n])

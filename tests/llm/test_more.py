@@ -256,3 +256,17 @@ def test_personal_data_odd_texts(s):
         assert own[: got[i].n_base] == plain_base(t)
     assert ("secret", 10, 30) in list(zip(got[8].kinds, got[8].starts, got[8].ends)) and got[9].kinds == []
     assert pii_crf.scan_personal(d.limit(0)).count() == 0
+
+
+def test_secrets_and_addresses_without_digits():
+    texts = {
+        "password = hunter": ["hunter"], "secret: correcthorsebattery": ["correcthorsebattery"], "the db is open\nmy Password: 'swordfish'; and more words": ["swordfish"],
+        "password=hunter": ["hunter"], '{"token":"abcdefgh", "name":"jo"}': ["abcdefgh"], "pwd := opensesame\ntoken => letmein now": ["opensesame", "letmein"],
+        "write to jo at example dot com or call": ["jo at example dot com"], "mail jo dot doe (at) mail dot example dot org": ["jo dot doe (at) mail dot example dot org"], "jo[at]example[dot]com": ["jo[at]example[dot]com"],
+        "the key to the house is a secret garden": [], "password is wrong and the token ring failed": [], "key: the one of all": [], "secret : not known": [],
+        "name = hunter\nnote: something": [], "look at the dot on it": [], "the author of that key figure": [], "all at once dot dot dot": [],
+    }
+    got = pii_crf.find_personal(pii_crf.fitted())()(list(texts))
+    for (text, want), starts, ends in zip(texts.items(), got["starts"], got["ends"]):
+        assert [text[a:b] for a, b in zip(starts, ends)] == want, text
+    assert got["n_base"] == [0] * len(texts)
