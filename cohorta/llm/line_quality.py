@@ -128,7 +128,9 @@ def fit_lines(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Ch
     kinds of label are not there."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.where("doc_id is not null and quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
-    rows = texts(docs).where("text is not null").join(F.broadcast(marks), "doc_id").select("text", "quality").collect()  # at most `limit` labels
+    named = texts(docs).where("text is not null").join(F.broadcast(marks), "doc_id")  # at most `limit` labels
+    one = named.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = sorted(one.collect(), key=lambda r: (r.doc_id, r.quality))  # a text per label, however many rows share an id
     if len({r.quality for r in rows}) < 2:
         return plain_model()
     read = LineReader()([r.text for r in rows])

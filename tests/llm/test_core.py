@@ -207,6 +207,14 @@ def test_copies_leave_small_topics_their_centroids(s):
     assert all(len(k) == 1 for k in topics.values()) and len(set.union(*topics.values())) == 4
 
 
+def test_rows_that_share_an_id_are_fitted_once(s, small):
+    docs, labels = table(s, small, "documents"), table(s, small, "labels")
+    d = docs.join(labels.where("quality in (0, 1)").select("doc_id"), "doc_id").select(docs.columns)
+    many = d.limit(1).crossJoin(s.range(300)).select(docs.columns)
+    once, more = line_quality.fit_lines(docs, labels), line_quality.fit_lines(docs.union(many), labels)
+    assert (once.weights == more.weights).all() and (once.steps == more.steps).all()
+
+
 def test_components(s):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
