@@ -162,6 +162,7 @@ with {OBSERVATIONS_CTE}, m as (select week, {_MOMENTS.replace('n_delivered', 'de
 k as (select week, n as n_units, mn / md as ratio, (2.241402727604947 + 0.8416212335729143) * sqrt(greatest({_UNITVAR}, 0) * (1 / (n * 0.5) + 1 / (n * 0.5))) as a from m)
 select week, n_units, round(ratio, 6) as ratio, round(a, 6) as absolute_mde from k""")
 def _(spark, folder):
+    """For active customers only: exposed ones without observations have no week."""
     # Running totals per customer and week, as the weekly detectable effect needs them.
     out = I.mde_ratio_metric(weekly_observations(spark, folder).where("week is not null"), ["week"], "n_delivered", "n_orders", comparisons=2)
     return out.select("week", "n_units", r("ratio").alias("ratio"), r("absolute_mde").alias("absolute_mde"))
