@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cohorta.llm import bit_planes, fm_index, html_lstm, license_diagonals, line_quality, pii_crf, pu_quality, raking, setsketch, tool_calls
+from cohorta.llm import bit_planes, fm_index, html_lstm, knn_join, license_diagonals, line_quality, pii_crf, pu_quality, raking, setsketch, spelling
+from cohorta.llm import tool_calls, turn_repair
 from cohorta.llm.registry import query, table
 from cohorta.session import scratch_dir
 
@@ -94,3 +95,30 @@ def op9(spark, folder):
 @query("op10_pii_crf")
 def op10(spark, folder):
     return pii_crf.spelled(pii_crf.scan_personal(table(spark, folder, "documents")))
+
+
+OP11_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: coalesce(isfinite(x::double), false))) = len(embedding)),
+ranked as (
+  select q.vec_id as query_id, d.vec_id, list_inner_product(q.e, d.e)::bigint as score
+  from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from ranked qualify rank <= 5"""
+
+
+@query("op11_voronoi_knn", OP11_SQL)
+def op11(spark, folder):
+    return knn_join.knn_join(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
+
+
+@query("op12_run_length_repair")
+def op12(spark, folder):
+    return turn_repair.repair_conversations(table(spark, folder, "conversations"))
+
+
+@query("op13_trie_spelling")
+def op13(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
