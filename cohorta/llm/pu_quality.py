@@ -6,8 +6,8 @@ network over style features minimises the non-negative unbiased risk
     prior * R_pos(good) + max(0, R_unl(bad) - prior * R_pos(bad))
 
 so that the positives inside the unlabelled texts are not learned as bad. The class prior
-is estimated from a positive-against-unlabelled model: where a text is surely good, the
-odds of being a positive are the ratio of sample sizes over the prior.
+is the lowest ratio of unlabelled to positive mass above a score of a
+positive-against-unlabelled model, read off texts that the model has not seen.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ from cohorta.llm.words import WordHashes, utf8
 #: Positives and unlabelled texts the model is fitted on at most, each.
 FIT_DOCS = 2500
 HIDDEN = 12
+#: Networks whose margins are averaged; splits the prior is averaged over; chance that its bound does not hold.
+STARTS, FOLDS, CHANCE = 5, 5, 0.1
 FEATURES = 15
-#: A text counts as good from this score on: all but MISSED of the trusted positives do.
+#: A text counts as good from this score on: all but MISSED of the trusted positives do at least.
 CUT = 0.3
 MISSED = 0.003
+#: The cut is looked for so far around the estimated share of bad texts.
+SLACK = 0.04
 #: Used when there are no positives or no unlabelled texts to learn from.
 NEUTRAL = 0.5
 
@@ -116,38 +120,67 @@ class _Network:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
 
 
-def estimate_prior(x_pos: np.ndarray, x_unl: np.ndarray, rounds: int = 150) -> float:
-    """Share of positives among the unlabelled: fitted on the even rows, read off the odd
-    positives."""
-    p, u = x_pos[::2], x_unl[::2]
-    net = _Network(p.shape[1], seed=5)
-    for _ in range(rounds):
-        (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
-        net.step([(p, hp, -(1 - _sigmoid(zp)) / len(p)), (u, hu, _sigmoid(zu) / len(u))], decay=1e-3)
-    held = x_pos[1::2] if len(x_pos) > 1 else x_pos
-    # Even class weights in the fit, so at a sure positive odds = 1 / prior.
-    odds = np.exp(np.median(net.forward(held)[1]))
-    return float(np.clip(1 / max(odds, 1e-9), 0.05, 0.95))
+def estimate_prior(x_pos: np.ndarray, x_unl: np.ndarray, folds: int = FOLDS, rounds: int = 120) -> float:
+    """Share of positives among the unlabelled.
 
-
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None = None, rounds: int = 400) -> StyleModel:
-    """Network of least non-negative unbiased risk, with logistic loss."""
+    Above any score the unlabelled hold at least their positives, so the ratio of unlabelled to
+    positive mass there is no less than the share; it comes down to it where only
+    positives are left. Scores are those of a model that has not seen the texts (``folds`` splits,
+    each kind on its own). The threshold is that of the lowest ratio plus a bound of its chance
+    error, which grows where few texts are left; the ratio there is the estimate, averaged over the folds.
+    """
+    found = []
+    folds = max(1, min(folds, len(x_pos), len(x_unl)))
+    for k in range(folds):
+        own_p, own_u = np.arange(len(x_pos)) % folds == k, np.arange(len(x_unl)) % folds == k
+        p, u = (x_pos[~own_p], x_unl[~own_u]) if folds > 1 else (x_pos, x_unl)
+        net = _Network(p.shape[1], seed=5 + k)
+        for _ in range(rounds):
+            (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
+            net.step([(p, hp, -(1 - _sigmoid(zp)) / len(p)), (u, hu, _sigmoid(zu) / len(u))], decay=1e-3)
+        sp, su = np.sort(net.forward(x_pos[own_p])[1]), np.sort(net.forward(x_unl[own_u])[1])
+        mass_p = 1 - np.arange(len(sp)) / len(sp)
+        mass_u = 1 - np.searchsorted(su, sp, "left") / len(su)
+        error = np.sqrt(np.log(4 / CHANCE) / 2 * (1 / len(su) + 1 / len(sp)))
+        best = int(np.argmin((mass_u + error) / mass_p))
+        found.append(mass_u[best] / mass_p[best])
+    return float(np.clip(np.mean(found), 0.05, 0.95))
+
+
+def _cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """Margin that a text needs to count as good: the middle of the widest gap between the unlabelled
+    texts around the estimated share of bad ones. The positives were fitted on, so texts that
+    were not lie lower; the cut is no higher than nearly all of them, whatever the gap."""
+    low, high = np.quantile(unlabelled, np.clip([1 - prior - SLACK, 1 - prior + SLACK], 0, 1))
+    inside = np.sort(unlabelled[(unlabelled >= low) & (unlabelled <= high)])
+    if len(inside) > 1:
+        k = int(np.argmax(np.diff(inside)))
+        low = (inside[k] + inside[k + 1]) / 2
+    return float(min(low, np.quantile(positive, MISSED)))
+
+
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None = None, rounds: int = 400, starts: int = STARTS, seed: int = 11) -> StyleModel:
+    """Network of least non-negative unbiased risk, with logistic loss: the mean margin of
+    several starts, as one start may take a small kind of bad text for good."""
     both = np.concatenate((x_pos, x_unl))
     mean, scale = both.mean(0), both.std(0) + 1e-6
     p, u = (x_pos - mean) / scale, (x_unl - mean) / scale
     prior = estimate_prior(p, u) if prior is None else prior
-    net = _Network(p.shape[1])
-    for _ in range(rounds):
-        (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
-        good, bad = -(1 - _sigmoid(zp)) / len(p), _sigmoid(zp) / len(p)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            net.step([(p, hp, prior * (good - bad)), (u, hu, _sigmoid(zu) / len(u))])
-        else:  # the negative part has been overfitted: climb back
-            net.step([(p, hp, prior * bad), (u, hu, -_sigmoid(zu) / len(u))])
-    model = StyleModel(mean, scale, *net.p)
+    nets = [_Network(p.shape[1], seed + k) for k in range(starts)]
+    for net in nets:
+        for _ in range(rounds):
+            (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
+            good, bad = -(1 - _sigmoid(zp)) / len(p), _sigmoid(zp) / len(p)
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            if negative >= 0:
+                net.step([(p, hp, prior * (good - bad)), (u, hu, _sigmoid(zu) / len(u))])
+            else:  # the negative part has been overfitted: climb back
+                net.step([(p, hp, prior * bad), (u, hu, -_sigmoid(zu) / len(u))])
+    # Networks side by side are one wide network.
+    w1, b1, w2, b2 = (np.concatenate([n.p[k] for n in nets], axis=-1) for k in range(4))
+    model = StyleModel(mean, scale, w1, b1, w2 / starts, np.array([b2.mean()]))
     margins = model.margin(x_pos)
-    model.low = float(np.quantile(margins, MISSED))
+    model.low = _cut(margins, model.margin(x_unl), prior)
     model.unit = max(float(np.median(margins)) - model.low, 1e-3)
     return model
 
