@@ -20,8 +20,11 @@ from cohorta.llm.crf import ChainModel, train, viterbi
 from cohorta.llm.registry import texts
 from cohorta.llm.udf import on_texts
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# The contract's patterns, taken apart so that no place is read again for every start before it:
+# an address from its sign outwards, an IP as four links of a chain of numbers.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -40,7 +43,9 @@ FILLER = "the of and to in that it was for on are as with his they at be this fr
 COMMON = {*FILLER, *"a an is no none null true false yes we you he she i my your our if when who what which all any its their see use here".split()}
 #: Last words of spelled-out addresses; behind a bracketed (at) any word will do.
 ENDINGS = set("com org net edu gov mil info biz io co uk de fr es eu ch nl se pl ru cn jp br au ca app dev".split())
-SPELLED = re.compile(r"[\w.+-]+[(\[{]at[)\]}][\w-]+(?:(?:\.|[(\[{]dot[)\]}])[\w-]+)+", re.IGNORECASE)
+#: An address with a spelled-out sign, from the sign outwards.
+BEFORE_SIGN, SIGN = re.compile(r"[\w.+-]"), re.compile(r"[(\[{]at[)\]}]", re.IGNORECASE)
+BEHIND_SIGN = re.compile(r"[\w-]++(?:(?:\.|[(\[{]dot[)\]}])[\w-]++)++", re.IGNORECASE)
 PHONE_WORDS = {"phone", "tel", "call", "mobile", "fax", "telephone"}
 #: Signs around a span that are no part of it.
 EDGES = "\"'`,;:!?[]{}<>#*$%&|=~"
@@ -56,14 +61,46 @@ def luhn(s: str) -> bool:
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        found = DOMAIN.match(text, at + 1)
+        start = at
+        while found and start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at:
+            end = found.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of `[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`, parts at most 255."""
+    for chain in NUMBERS.finditer(text):
+        parts, at = chain[0].split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            # A part may have any number of digits, which int() would refuse.
+            if all(len(v := x.lstrip("0")) <= 3 and int(v or 0) <= 255 for x in four):
+                yield at, at + size
+            at += size + 1
+
+
+def spelled_sign(word: str) -> bool:
+    """Whether a word holds an address such as jo[at]mail[dot]example.com."""
+    return any(m.start() and BEFORE_SIGN.match(word, m.start() - 1) and BEHIND_SIGN.match(word, m.end()) for m in SIGN.finditer(word))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind as listed in KINDS, then start. A match that fails its check is
     dropped and the search goes on behind it."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *span) for span in emails(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", *span) for span in addresses(text)]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and luhn(m[0])]
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
@@ -83,7 +120,7 @@ def shape(word: str) -> tuple[float, ...]:
         float(d > 0 and d == n), float("@" in core), float(core.count(".") == 3 and d >= 4), float(d >= 1 and alpha >= 1 and n >= 16),
         float(d >= 13), float(core[:1] == "+"), float(7 <= d <= 12), float(1 <= d <= 4), float(core[:1] == "(" or word[:1] == "("), float(d > 0 and "-" in core),
         float(d > 0 and alpha > 0 and n < 16),
-        float(cue and word[-1:] in (":", "=", ">")), float(alpha >= 4 and alpha == n), float(low in COMMON), float(SPELLED.search(word) is not None),
+        float(cue and word[-1:] in (":", "=", ">")), float(alpha >= 4 and alpha == n), float(low in COMMON), float(spelled_sign(word)),
     )
 
 
@@ -243,8 +280,10 @@ def find_personal(model: ChainModel):
                     at += n
             out = {"kinds": [], "starts": [], "ends": [], "n_base": []}
             for own, more in zip(base, added):
+                # Base spans of different kinds may overlap: the farthest end among those that begin before a place.
                 taken = np.array(sorted((a, b) for _, a, b in own)).reshape(-1, 2)
-                more = [s for s in more if not (taken.size and ((taken[:, 0] < s[2]) & (taken[:, 1] > s[1])).any())]
+                reach = np.concatenate(([-1], np.maximum.accumulate(taken[:, 1]))) if taken.size else np.array([-1])
+                more = [s for s in more if reach[np.searchsorted(taken[:, 0], s[2])] <= s[1]]
                 more.sort(key=lambda s: (LABELS.index(s[0]), s[1]))
                 for name, column in zip(("kinds", "starts", "ends"), zip(*(own + more)) if own or more else ((), (), ())):
                     out[name].append(list(column))
