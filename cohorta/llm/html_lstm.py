@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +22,13 @@ from cohorta.llm.crf import _blocks
 from cohorta.llm.udf import on_texts
 
 _RAW = "script style noscript template svg math iframe object textarea select title"  # fixed: elements whose content is no text of the page
-PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW.replace(' ', '|')})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>|</?[a-z!][^<>]*\Z|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+RAW_OPEN, RAW_CLOSE = re.compile(rf"<({_RAW.replace(' ', '|')})\b", re.I), {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split()}
+TAG_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+TAG_EVENT = re.compile(r"[>\"']")
+OPEN_END = re.compile(r"</?[a-z!]", re.I)
+LONG_REFERENCE, ZEROS = re.compile(r"&#[0-9]{8,}"), re.compile(r"&#0+(?=[0-9])")
+#: Elements of a path that count, from the innermost outwards.
+PATH_DEPTH = 64
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
 # HTML's elements by what they do to text.
@@ -41,61 +42,144 @@ SPACE = re.compile(r"\s+")
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS, UNITS = 256, 32, 5, 16
 
 
+class _Page:
+    """A page's pieces in order. What lies ahead is looked up once for all places before it,
+    so markup that is never closed costs no more than any other."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next_of = {">": (0, -1), "event": (0, -1)}
+        self.last_open, self.last_close = page.rfind("<"), page.rfind(">")
+        self.lost: set[int] = set()
+
+    def _ahead(self, kind: str, at: int) -> int:
+        """Place of the next > (or of the next sign that matters in a tag) from ``at`` on; -1 if there is none."""
+        since, found = self.next_of[kind]
+        if found == -2 and at >= since:
+            return -1
+        if not since <= at <= found:
+            if kind == ">":
+                found = self.page.find(">", at)
+            else:
+                m = TAG_EVENT.search(self.page, at)
+                found = m.start() if m else -1
+            self.next_of[kind] = (at, -2 if found < 0 else found)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, quoted values passed over; -1 if none does."""
+        passed, event = [], self._ahead("event", at)
+        while event >= 0 and event not in self.lost:
+            if self.page[event] == ">":
+                return event
+            passed.append(event)
+            closing = self.page.find(self.page[event], event + 1)
+            later = TAG_EVENT.search(self.page, closing + 1) if closing >= 0 else None
+            event = later.start() if later else -1
+        self.lost.update(passed)  # from these no tag ends, whichever tag came to them
+        return -1
+
+    def __iter__(self):
+        """Tuples: text or None, name of a tag or None, whether it closes, its attributes."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            if page[at] != "<":
+                end = page.find("<", at)
+                end = n if end < 0 else end
+                yield page[at:end], None, False, ""
+                at = end
+                continue
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+                continue
+            raw = RAW_OPEN.match(page, at)
+            if raw:
+                end = self._ahead(">", raw.end())
+                if end >= 0 and page[end - 1] != "/":
+                    closing = RAW_CLOSE[raw[1].lower()].search(page, end + 1)
+                    at = closing.end() if closing else n
+                    continue
+            tag = TAG_NAME.match(page, at)
+            if tag:
+                end = self.tag_end(tag.end())
+                if end >= 0:
+                    yield None, tag[2].lower(), bool(tag[1]), page[tag.end() : end]
+                    at = end + 1
+                    continue
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = self._ahead(">", at + 2)
+                if end >= 0:
+                    at = end + 1
+                    continue
+            if at == self.last_open and self.last_close < at and OPEN_END.match(page, at):
+                return
+            yield "<", None, False, ""
+            at += 1
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all characters may have any number of digits."""
+    if "&#" in text:
+        text = LONG_REFERENCE.sub("&#99999999", ZEROS.sub("&#", text))
+    return entities.unescape(text)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """Leaf blocks of a page in order: path of open block-level tags, text with character
     references decoded and white space joined, and the share of it inside links."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[str] = []
+    tags: list[str] = []
+    is_open: Counter[str] = Counter()
     text: list[str] = []
     linked, in_link = 0, 0
 
     def flush():
         nonlocal linked, in_link
         if text:
-            joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+            joined = SPACE.sub(" ", decoded("".join(text))).strip()
             if joined:
-                out.append((tuple(stack), joined, min(1.0, linked / len(joined))))
+                out.append((tuple(stack[-PATH_DEPTH:]), joined, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
-    def close(upto: int):
-        flush()
-        del stack[upto:]
+    def leave(upto: int):
+        is_open.subtract(tags[upto:])
+        del stack[upto:], tags[upto:]
 
-    for m in PIECE.finditer(page):
-        piece, name = m["text"], m["name"]
+    for piece, name, closing, rest in _Page(page):
         if piece is not None:
             text.append(piece)
             if in_link:
                 linked += len(piece)
         if name is None:
             continue
-        name, closing = name.lower(), bool(m["end"])
         if name in ("br", "wbr"):
             text.append(" ")
         elif name in INLINE:
             if name == "a":
                 in_link = 0 if closing else 1
         elif closing:
-            found = next((i for i in reversed(range(len(stack))) if stack[i].split(" ", 1)[0] == name), None)
-            if found is not None:
-                close(found)
-            else:
-                flush()
+            flush()
+            if is_open[name] > 0:
+                leave(next(i for i in reversed(range(len(tags))) if tags[i] == name))
             in_link = 0
         else:
             flush()
             ends = CLOSES_SELF.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            for i in reversed(range(len(stack))):
-                tag = stack[i].split(" ", 1)[0]
-                if tag in KEEPS.get(name, ()):
-                    break
-                if tag in ends:
-                    del stack[i:]
-                    break
+            if any(is_open[tag] > 0 for tag in ends):
+                for i in reversed(range(len(tags))):
+                    if tags[i] in KEEPS.get(name, ()):
+                        break
+                    if tags[i] in ends:
+                        leave(i)
+                        break
             if name not in VOID:
-                names = " ".join(sorted({w for a in NAMES.findall(m["rest"]) for w in re.split(r"[\s_-]+", "".join(a).lower()) if w}))
-                stack.append(" ".join(x for x in (name, names, "hidden" if HIDDEN.search(m["rest"]) else "") if x))
+                names = " ".join(sorted({w for a in NAMES.findall(rest) for w in re.split(r"[\s_-]+", "".join(a).lower()) if w}))
+                stack.append(" ".join(x for x in (name, names, "hidden" if HIDDEN.search(rest) else "") if x))
+                tags.append(name)
+                is_open[name] += 1
     flush()
     return out
 
