@@ -16,9 +16,9 @@ chunk's largest id are left out. Shards follow each other in the order of docume
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -42,13 +42,28 @@ CHUNK_SCHEMA = (
     "doc_ids array<long>, doc_starts array<int>, doc_open boolean"
 )
 DOCUMENT_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long"
-#: Words, and pieces of words, whose ids a task remembers.
-WORDS_KEPT = 400_000
+#: Words whose ids a task remembers.
+WORDS_KEPT = 500_000
+#: Bytes of text in a shard: a task learns its words anew, so it should not be small.
+SHARD_BYTES = 32_000_000
 ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-BYTE_LEVEL = [chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256)]
+BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
+#: The steps of a tokenizer file that words can be encoded one by one with (fixed values, as the file states them).
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: A sign by itself between a letter and white space is a word of its own.
+LONE_SIGN = re.compile(rb"[.,!?;:](?=\s)(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
+#: Lower-case letters of Latin-1 in UTF-8, which normaliser and pre-tokenizer leave as they are.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -86,12 +101,21 @@ def pieces(word: bytes) -> list[bytes]:
     return [head, word[len(head) :]] if plain and len(head) < len(word) else [word]
 
 
-def is_letters(piece: bytes) -> bool:
-    """Whether normaliser and pre-tokenizer leave the piece as it is: Latin lower-case letters only."""
-    if piece.isascii():
-        return piece.isalpha() and piece.islower()
-    text = piece.decode("utf-8", "replace")
-    return text.isalpha() and max(text) < "\u0180" and text.lower() == text and unicodedata.is_normalized("NFC", text)
+def _spelled(letters: bytes) -> str:
+    """Letters in the characters that the model's vocabulary is written in."""
+    return letters.decode() if letters.isascii() else letters.decode("latin-1").translate(BYTE_LEVEL)
+
+
+def reads_words(path: str) -> bool:
+    """Whether a tokenizer file has the normaliser and the splitting that ``WordEncoder``'s short way
+    is made for; any other file goes the whole way."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    added = [t["content"] for t in made["added_tokens"]]
+    return (
+        made["normalizer"] == KNOWN_NORMALIZER and made["pre_tokenizer"] == KNOWN_SPLITTING and made["model"]["type"] == "BPE"
+        and not made["model"].get("dropout") and all(t[:2] == "<|" for t in added)
+    )
 
 
 class WordEncoder:
@@ -103,9 +127,10 @@ class WordEncoder:
     after the other. It also lower-cases, and splits between letters, single digits and
     other signs, so words come down to fewer pieces: ASCII words without an apostrophe
     fall apart at those places, others only before the ASCII signs at their end, where a
-    Latin letter stands before them. Each distinct piece is encoded once by the library
-    (by its model alone where the steps before it change nothing) and remembered. Texts that may hold a special token are encoded at once, and so is
-    every text with ``whole``, for tokenizers that see white space or case.
+    Latin letter stands before them. Each distinct word is encoded once (pieces of letters
+    by the model alone, as the steps before it leave them as they are) and remembered; when there are too
+    many, those met more than once stay. Texts that may hold a special token are encoded at once, and
+    so is every text with ``whole``, or when the file's steps are not those.
     """
 
     def __init__(self, path: str, whole: bool = False):
@@ -113,35 +138,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole
+        self.whole = whole or not reads_words(path)
         self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.pieces: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}  # of words that are not letters only
         self.known: dict[bytes, int] = {}
+        self.met = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        parts = [(w,) if w.isalpha() else pieces(w) for w in new]  # ASCII letters only, mostly
-        if len(self.pieces) > WORDS_KEPT:
-            self.pieces.clear()
-        of_piece, tokenize, rest = self.pieces, self.tokenizer.model.tokenize, []
-        for p in set(chain.from_iterable(parts)).difference(of_piece):
-            if p.isalpha():
-                of_piece[p] = [t.id for t in tokenize(p.decode())]
-            elif is_letters(p):
-                of_piece[p] = [t.id for t in tokenize("".join(map(BYTE_LEVEL.__getitem__, p)))]
+    def _ids_of_parts(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of words that are not letters only, by their pieces."""
+        if len(self.parts) > WORDS_KEPT // 8:
+            self.parts.clear()
+        parts, tokenize, rest = self.parts, self.tokenizer.model.tokenize, []
+        split = [pieces(w) for w in words]
+        for p in set(chain.from_iterable(split)).difference(parts):
+            if LATIN.fullmatch(p):
+                parts[p] = [t.id for t in tokenize(_spelled(p))]
             else:
                 rest.append(p)
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-        of_piece.update(zip(rest, (e.ids for e in got)))
-        ids = [of_piece[own[0]] if len(own) == 1 else list(chain.from_iterable(map(of_piece.__getitem__, own))) for own in parts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = self.pool.size + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        parts.update(zip(rest, (e.ids for e in got)))
+        return {w: list(chain.from_iterable(map(parts.__getitem__, own))) for w, own in zip(words, split)}
+
+    def _learn(self, new: list[bytes]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        mixed = self._ids_of_parts([w for w in new if not LATIN.fullmatch(w)])
+        pool: list[int] = []
+        ends = []
+        for w in new:
+            pool += mixed[w] if w in mixed else [t.id for t in tokenize(_spelled(w))]
+            ends.append(len(pool))
         self.known.update(zip(new, range(self.lengths.size, self.lengths.size + len(new))))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.starts = np.concatenate((self.starts, starts.astype(np.int64)))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))))
+        ends = np.array(ends, np.int64)
+        starts = np.concatenate(([0], ends[:-1]))
+        self.lengths = np.concatenate((self.lengths, ends - starts))
+        self.starts = np.concatenate((self.starts, self.pool.size + starts))
+        self.pool = np.concatenate((self.pool, np.array(pool, np.uint32)))
+        self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
+
+    def _forget(self) -> None:
+        """Keep the words met more than once since the last time, or none if those are nearly all."""
+        stay = np.flatnonzero(self.met > 1)
+        stay = stay if stay.size <= WORDS_KEPT // 2 else stay[:0]
+        new_place = np.full(self.lengths.size, -1)
+        new_place[stay] = np.arange(stay.size)
+        self.known = {w: n for w, k in self.known.items() if (n := int(new_place[k])) >= 0}
+        n = self.lengths[stay]
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.starts[stay] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.lengths, self.starts, self.met = n, ends - n, np.zeros(stay.size, np.int32)
 
     def __call__(self, values: list[str]) -> list[np.ndarray]:
         odd = [k for k, t in enumerate(values) if self.whole or any(s in t for s in self.special)]
@@ -152,14 +199,15 @@ class WordEncoder:
             rest = iter(self([t for k, t in enumerate(values) if k not in set(odd)]))
             got = {k: np.array(e.ids, np.uint32) for k, e in zip(odd, at_once)}
             return [got[k] if k in got else next(rest) for k in range(len(values))]
-        words = [utf8(t).lower().split() for t in values]
-        flat = [w for own in words for w in own]
+        words = [LONE_SIGN.sub(rb" \g<0>", utf8(t).lower()).split() for t in values]
+        flat = list(chain.from_iterable(words))
         if len(self.known) > WORDS_KEPT:
-            self.known, self.lengths, self.starts, self.pool = {}, self.lengths[:0], self.starts[:0], self.pool[:0]
+            self._forget()
         new = list(set(flat).difference(self.known))
         if new:
             self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.met += np.minimum(np.bincount(at, minlength=self.met.size), 2).astype(np.int32)
         n = self.lengths[at]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
@@ -211,10 +259,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
     A null text counts as empty and still gets its end id; a null doc_id comes first;
     rows with the same doc_id follow each other in the order of their texts' hashes. An
-    empty table writes a table without chunks. Other columns are not read.
+    empty table writes a table without chunks. Other columns are not read. A shard is as much text
+    as one task encodes, whatever the session's number of partitions.
     """
     rows = texts(docs).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    shards = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
+    # Equal rows may be many: the number spreads them over shards, which changes no ids.
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "spread"]
+    rows = rows.withColumn("spread", F.rand(11)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     rows.select("doc_id", "text").mapInPandas(_write_chunks(tokenizer, end_id, chunk_ids, by_byte, whole), CHUNK_SCHEMA).write.parquet(path)
 
 

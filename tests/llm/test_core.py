@@ -281,3 +281,28 @@ def test_near_duplicates_match_all_pairs(s, small, edge):
     assert left.columns == edge.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(d for d, v in want.items() if v[1] == d)
     assert setsketch.near_duplicates(edge.limit(0)).count() == 0
+
+
+def test_encoder_forgets_and_goes_the_whole_way(monkeypatch, tmp_path):
+    """Words stay right when most are forgotten, and tokenizer files of other steps are not split."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bit_planes, "WORDS_KEPT", 60)
+    rng = random.Random(3)
+    letters = ["a", "b", "é", "ß", "'s", "x", ",", ".", "1", "-", "Ü", "—", "!"]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 6))) for _ in range(40)) + rng.choice(["", ", ", ". the the", " ,b"]) for _ in range(80)]
+    whole, encoder = Tokenizer.from_file(TOKENIZER), bit_planes.WordEncoder(TOKENIZER)
+    assert not encoder.whole
+    for k in range(0, 80, 4):
+        got = encoder(texts[k : k + 4])
+        assert [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts[k : k + 4]]
+    with open(TOKENIZER) as file:
+        made = json.load(file)
+    made["normalizer"]["normalizers"].pop()  # letters keep their case
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(made))
+    cased, encoder = Tokenizer.from_file(str(path)), bit_planes.WordEncoder(str(path))
+    assert encoder.whole
+    assert [x.tolist() for x in encoder(["The THE the", "A b"])] == [cased.encode(t, add_special_tokens=False).ids for t in ["The THE the", "A b"]]
