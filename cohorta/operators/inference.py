@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cohorta.functions.columns import safe_ratio
 from cohorta.functions.distributions import (
     chi_square_upper,
+    detectable_shift,
+    exact_power,
     normal_quantile,
     normal_cdf,
     normal_two_sided,
@@ -37,6 +39,12 @@ def _welch(out: DataFrame, alpha: float, p_factor: int | Column = 1) -> DataFram
     return out.withColumn("is_significant", F.col("p_value") <= alpha)
 
 
+def welch_from_moments(out: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The test where n_, mean_ and var_ of control and variant are there already, one row per test."""
+    change = 100 * safe_ratio(F.col("mean_variant") - F.col("mean_control"), F.col("mean_control"))
+    return _welch(out.withColumn("delta_percent", change), alpha)
+
+
 def two_sample(df: DataFrame, by: Sequence[str], value: str, variant: str, control: str, treatment: str, alpha: float = 0.05, p_factor: int | Column = 1) -> DataFrame:
     """Welch test of ``value`` between two variants per group, null values left out."""
     side = lambda v: F.when(F.col(variant) == v, F.col(value))
@@ -184,6 +192,25 @@ def power_curve(df: DataFrame, value: str, effects: Sequence[float], shares: Seq
     return grid.withColumn("standardised_effect", F.col("_shift")).withColumn("power", power).drop("_shift")
 
 
+def exact_power_curve(df: DataFrame, by: Sequence[str], value: str, effects: Sequence[float], shares: Sequence[float], alpha: float = 0.1, power: float = 0.8) -> DataFrame:
+    """``power_curve`` per group with Student's t in place of the normal: ``exact_power`` beside the
+    normal ``power``, and ``detectable_effect``, the absolute effect that a test of these units finds with
+    the power asked for. Both need n - 2 > 0 degrees of freedom."""
+    m = df.groupBy(*by).agg(F.count(value).alias("n_units"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+    # The search for the detectable effect runs once per group, before the grid.
+    freedom = F.when(F.col("n_units") > 2, (F.col("n_units") - 2).cast("double"))
+    m = m.withColumn("degrees_of_freedom", freedom).withColumn("_shift", detectable_shift(F.lit(float(power)), "degrees_of_freedom", F.lit(float(alpha))))
+    grid = m.withColumn("treatment_share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    n, s = F.col("n_units"), F.col("treatment_share")
+    grid = grid.withColumn("_error", F.sqrt(F.col("variance") * (1 / (n * s) + 1 / (n * (1 - s))))).withColumn("detectable_effect", F.col("_shift") * F.col("_error"))
+    grid = grid.withColumn("relative_effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
+    grid = grid.withColumn("standardised_effect", safe_ratio(F.abs(F.col("mean") * F.col("relative_effect")), "_error"))
+    limit = normal_quantile(1 - alpha / 2)
+    normal = normal_cdf(F.col("standardised_effect") - limit) + normal_cdf(-F.col("standardised_effect") - limit)
+    grid = grid.withColumn("power", normal).withColumn("exact_power", exact_power("standardised_effect", "degrees_of_freedom", F.lit(float(alpha))))
+    return grid.drop("_shift", "_error")
+
+
 def sample_ratio_check(counts: DataFrame, by: Sequence[str], variant: str, n: str, expected: dict[str, float]) -> DataFrame:
     """Chi-square test of the variants' sizes against the planned shares."""
     sizes = counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col(variant) == v, F.col(n))), F.lit(0)).alias(f"n_{v}") for v in expected])

@@ -10,7 +10,6 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from cohorta.functions import columns as C
 from cohorta.operators import inference as I
 from cohorta.operators import ranks as R
 from cohorta.operators import splits as L
@@ -182,24 +181,6 @@ def _(spark, folder):
     return out.select("relative_effect", "treatment_share", r("standardised_effect").alias("standardised_effect"), r("power").alias("power"))
 
 
-#: Splits of the registered query; the operator takes as many as its input holds.
-N_AA = 200
-
-
-@query("false_positive_rate", f"""
-with {UNITS_CTE}, x as (select split, n_delivered as v, case when cast('0x' || substr(md5('aa' || split || '-' || c_custkey), 1, 8) as bigint) % 1000 < 500 then 'control' else 'variant' end as variant
- from units, (select unnest(range({N_AA})) as split)), {welch('x', 'split,', 'v')}
-select count(*) as n_tests, count_if({t_p('t', 'df')} < 0.1)::bigint as n_significant, round(count_if({t_p('t', 'df')} < 0.1) / count(*), 6) as false_positive_rate from w""")
-def _(spark, folder):
-    # Repeated A/A splits of the customers take the place of made-up draws.
-    u = units(spark, folder).select("c_custkey", F.col("n_delivered").cast("double").alias("v"))
-    u = u.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(N_AA - 1))))
-    bucket = C.hash_bucket("c_custkey", F.concat(F.lit("aa"), F.col("split").cast("string"), F.lit("-")))
-    u = u.withColumn("variant", F.when(bucket < 500, "control").otherwise("variant"))
-    out = I.false_positive_rate(I.two_sample(u, ["split"], "v", "variant", "control", "variant"), 0.1)
-    return out.withColumn("false_positive_rate", r("false_positive_rate"))
-
-
 # -- assignment ---------------------------------------------------------------
 
 @query("assign_by_hash", f"with {AB_CTE} select c_custkey, variant from ab")

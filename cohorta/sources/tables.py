@@ -67,3 +67,17 @@ def read_dated_files(spark: SparkSession, glob: str, schema: T.StructType | str,
 def write_assignment(df: DataFrame, path: str) -> None:
     """Chosen group per unit."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_by_day(df: DataFrame, path: str, day: str) -> None:
+    """The table with a folder per day. Rows are brought together by day before they are written,
+    large days in several files and small ones not split, so there are few files."""
+    df.hint("rebalance", F.col(day)).write.mode("overwrite").partitionBy(day).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, day: str, spine: DataFrame, spine_day: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of a table written by day whose day is in the spine, which may have gaps. The spine is known only
+    when the query runs; its days then decide which folders are read at all (dynamic partition
+    pruning), if it comes from a filter and is small enough for Spark to broadcast."""
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.join(spine.select(F.col(spine_day).alias(day)), day)
