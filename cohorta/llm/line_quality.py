@@ -4,9 +4,13 @@ A conditional random field reads the lines of a text in order and marks each as
 or boilerplate (Viterbi). A text stays if content lines hold at least CONTENT_SHARE of
 its words and the plain rules (length, repeated word windows) hold.
 
-There are no labels of lines, so the field learns from labelled documents: all lines of a
-good document count as content, all lines of a bad one as boilerplate. The few ordinary
-lines of bad documents are outvoted by the many of good ones.
+There are no labels of lines, so the field learns them from labelled documents by
+expectation-maximisation. A first model without steps between lines takes every line for what
+its document is; the ordinary lines of bad documents are outvoted by the many of good
+ones. Then lines are labelled by the model, the document's label is put in as a constraint (at
+least half the words of a good document are content, at least half of a bad one's are not), and
+the field is fitted on those labels, a few rounds over. Steps between lines are
+thereby learned from documents that hold both kinds.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from cohorta.llm.words import WordHashes, mixed, utf8, word_windows
 #: Labelled documents the field is fitted on at most; those with the smallest hashes of their ids.
 TRAIN_DOCS = 1500
 CONTENT_SHARE = 0.5
+#: Rounds of labelling and fitting.
+EM_ROUNDS = 3
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
@@ -134,8 +140,40 @@ def fit_lines(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Ch
     if len({r.quality for r in rows}) < 2:
         return plain_model()
     read = LineReader()([r.text for r in rows])
-    y = np.repeat(np.array([r.quality for r in rows]), read["n_lines"])
-    return train(read["x"], y, read["n_lines"], 2)
+    return learn_lines(read["x"], read["line_words"], read["n_lines"], np.array([r.quality for r in rows]))
+
+
+def constrained(label: np.ndarray, margin: np.ndarray, words: np.ndarray, lengths: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """Labels of lines, changed where a document's label asks for it: the lines nearest to the other
+    kind (by margin towards content) change until half of its words are of its own kind."""
+    out, start = label.copy(), 0
+    for n, q in zip(lengths.tolist(), quality.tolist()):
+        own = slice(start, start + n)
+        start += n
+        lacking = words[own].sum() / 2 - words[own][out[own] == q].sum()
+        if lacking > 0:
+            for k in np.argsort(-margin[own] if q == 1 else margin[own], kind="stable"):
+                if out[own][k] != q and words[own][k]:
+                    out[own.start + k] = q
+                    lacking -= words[own][k]
+                    if lacking <= 0:
+                        break
+    return out
+
+
+def learn_lines(x: np.ndarray, words: np.ndarray, lengths: np.ndarray, quality: np.ndarray, rounds: int = EM_ROUNDS) -> ChainModel:
+    """The field from documents' labels; x and words are of lines laid end to end."""
+    lengths = np.asarray(lengths, np.int64)
+    first = train(x, np.repeat(quality, lengths), np.ones(len(x), np.int64), 2)
+    alone = ChainModel(first.weights, np.zeros((2, 2)), np.zeros(2))
+    emit = alone.emissions(x) + first.begin
+    label, model = emit.argmax(1), alone
+    for _ in range(rounds):
+        label = constrained(label, emit[:, 1] - emit[:, 0], words, lengths, quality)
+        model = train(x, label, lengths, 2)
+        emit = model.emissions(x)
+        label = viterbi(emit, lengths, model)
+    return model
 
 
 def judge_lines(model: ChainModel):
