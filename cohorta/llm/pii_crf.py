@@ -320,8 +320,8 @@ def scan_personal(docs: DataFrame) -> DataFrame:
 
 
 def spelled(spans: DataFrame) -> DataFrame:
-    """Counts of base spans per kind, the hash of the base spans, and all spans as text."""
+    """Counts of base spans per kind, the hash of the base spans, all spans as text, and their number."""
     each = F.zip_with(F.arrays_zip("kinds", "starts"), "ends", lambda s, e: F.concat_ws(":", s["kinds"], s["starts"], e))
     base = lambda c: F.slice(c, 1, F.col("n_base"))
     counts = [F.size(F.filter(base("kinds"), lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(F.array_join(base(each), ","), 256).alias("base_sha256"), F.array_join(each, ",").alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(F.array_join(base(each), ","), 256).alias("base_sha256"), F.array_join(each, ",").alias("spans"), F.size("kinds").cast("long").alias("n_spans"))
