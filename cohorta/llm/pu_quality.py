@@ -26,8 +26,8 @@ from cohorta.llm.words import WordHashes, utf8
 #: Positives and unlabelled texts the model is fitted on at most, each.
 FIT_DOCS = 2500
 HIDDEN = 12
-#: Networks whose margins are averaged; splits the prior is averaged over; chance that its bound does not hold.
-STARTS, FOLDS, CHANCE = 5, 5, 0.1
+#: Networks whose margins are averaged; splits for the prior, chance that its bound does not hold, positives above its threshold.
+STARTS, FOLDS, CHANCE, SURE = 5, 5, 0.1, 0.9
 FEATURES = 15
 #: A text counts as good from this score on: all but MISSED of the trusted positives do at least.
 CUT = 0.3
@@ -125,26 +125,26 @@ def estimate_prior(x_pos: np.ndarray, x_unl: np.ndarray, folds: int = FOLDS, rou
 
     Above any score the unlabelled hold at least their positives, so the ratio of unlabelled to
     positive mass there is no less than the share; it comes down to it where only
-    positives are left. Scores are those of a model that has not seen the texts (``folds`` splits,
-    each kind on its own). The threshold is that of the lowest ratio plus a bound of its chance
-    error, which grows where few texts are left; the ratio there is the estimate, averaged over the folds.
+    positives are left. Every text is scored by a model that has not seen it (``folds`` splits, each
+    kind on its own, strongly held back so that their scores compare). The threshold has nearly all
+    positives above it (SURE) and the lowest ratio plus a bound of its chance error.
     """
-    found = []
     folds = max(1, min(folds, len(x_pos), len(x_unl)))
+    score_p, score_u = np.zeros(len(x_pos)), np.zeros(len(x_unl))
     for k in range(folds):
         own_p, own_u = np.arange(len(x_pos)) % folds == k, np.arange(len(x_unl)) % folds == k
         p, u = (x_pos[~own_p], x_unl[~own_u]) if folds > 1 else (x_pos, x_unl)
         net = _Network(p.shape[1], seed=5 + k)
         for _ in range(rounds):
             (hp, zp), (hu, zu) = net.forward(p), net.forward(u)
-            net.step([(p, hp, -(1 - _sigmoid(zp)) / len(p)), (u, hu, _sigmoid(zu) / len(u))], decay=1e-3)
-        sp, su = np.sort(net.forward(x_pos[own_p])[1]), np.sort(net.forward(x_unl[own_u])[1])
-        mass_p = 1 - np.arange(len(sp)) / len(sp)
-        mass_u = 1 - np.searchsorted(su, sp, "left") / len(su)
-        error = np.sqrt(np.log(4 / CHANCE) / 2 * (1 / len(su) + 1 / len(sp)))
-        best = int(np.argmin((mass_u + error) / mass_p))
-        found.append(mass_u[best] / mass_p[best])
-    return float(np.clip(np.mean(found), 0.05, 0.95))
+            net.step([(p, hp, -(1 - _sigmoid(zp)) / len(p)), (u, hu, _sigmoid(zu) / len(u))], decay=1e-2)
+        score_p[own_p], score_u[own_u] = net.forward(x_pos[own_p])[1], net.forward(x_unl[own_u])[1]
+    sp, su = np.sort(score_p), np.sort(score_u)
+    mass_p = 1 - np.arange(len(sp)) / len(sp)
+    mass_u = 1 - np.searchsorted(su, sp, "left") / len(su)
+    error = np.sqrt(np.log(4 / CHANCE) / 2 * (1 / len(su) + 1 / len(sp)))
+    enough = mass_p >= SURE
+    return float(np.clip((mass_u / mass_p)[enough][np.argmin(((mass_u + error) / mass_p)[enough])], 0.05, 0.95))
 
 
 def _cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
