@@ -8,12 +8,40 @@ from pyspark.sql import functions as F
 from cohorta.llm import bit_planes, fm_index, html_lstm, knn_join, license_diagonals, line_quality, pii_crf, pu_quality, raking, setsketch, spelling
 from cohorta.llm import tool_calls, turn_repair
 from cohorta.llm.registry import query, table
+from cohorta.llm.words import PLAIN_PATTERN, SPACED_PATTERN
 from cohorta.session import scratch_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-@query("op1_fm_index")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '{PLAIN_PATTERN}')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '{SPACED_PATTERN}')"
+
+OP1_SQL = f"""
+with d as (select doc_id, {_PLAIN} as w from documents), i as (select item_id, {_PLAIN} as w from benchmark),
+g as (select item_id, k, array_to_string(w[p : p + k - 1], ' ') as phrase from (select item_id, w, least(len(w), 10) as k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from i where len(w) > 0)),
+phrases as (select k, phrase, list(distinct item_id) as items from g group by all),
+x as (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as phrase from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from phrases) where len(w) >= k)),
+h as (select doc_id, p, k, items from x join phrases using (k, phrase)),
+hit as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(p, p + k)) as q from h) group by 1),
+found as (select doc_id, list_sort(list(distinct item::varchar)) as items from (select doc_id, unnest(items) as item from h) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+ sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join found using (doc_id)"""
+
+OP7_SQL = f"""
+with recursive d as (select doc_id, {_SPACED} as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]) end)) as g from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1), t as (select s.*, n from s join n using (doc_id)),
+pairs as (select a.doc_id as x, b.doc_id as y, any_value(a.n) + any_value(b.n) as sizes, count(*) as c from t a join t b on a.g = b.g and a.doc_id < b.doc_id
+ where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+link as (select x, y from pairs where 100 * c >= 80 * (sizes - c)), e as (select x, y from link union all select y, x from link),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.y from r join e on e.x = r.b)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, c = doc_id as kept from d left join n using (doc_id) join (select a as doc_id, min(b) as c from r group by 1) using (doc_id)"""
+
+
+@query("op1_fm_index", OP1_SQL)
 def op1(spark, folder):
     found = fm_index.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -45,7 +73,7 @@ def op4(spark, folder):
     return raking.mix(table(spark, folder, "documents")).select("doc_id", "__mix.*")
 
 
-@query("op7_setsketch")
+@query("op7_setsketch", OP7_SQL)
 def op7(spark, folder):
     return setsketch.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
