@@ -21,7 +21,9 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import chain
+from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from cohorta.llm.registry import texts
 from cohorta.llm.udf import chunks
@@ -41,7 +44,7 @@ CHUNK_SCHEMA = (
     "shard int, chunk int, first_id long, n_ids int, width int, planes array<binary>, "
     "doc_ids array<long>, doc_starts array<int>, doc_open boolean"
 )
-DOCUMENT_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long"
+PIECE_SCHEMA = "doc_id long, shard int, chunk int, opens boolean, lasts boolean, at long, n long, crc long"
 #: Words whose ids a task remembers.
 WORDS_KEPT = 500_000
 #: Bytes of text in a shard: a task learns its words anew, so it should not be small.
@@ -147,7 +150,7 @@ class WordEncoder:
         self.starts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _ids_of_parts(self, words: list[bytes]) -> dict[bytes, list[int]]:
+    def _ids_of_parts(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words that are not letters only, by their pieces."""
         if len(self.parts) > WORDS_KEPT // 8:
             self.parts.clear()
@@ -160,22 +163,19 @@ class WordEncoder:
                 rest.append(p)
         got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
         parts.update(zip(rest, (e.ids for e in got)))
-        return {w: list(chain.from_iterable(map(parts.__getitem__, own))) for w, own in zip(words, split)}
+        return [list(chain.from_iterable(map(parts.__getitem__, own))) for own in split]
 
     def _learn(self, new: list[bytes]) -> None:
         tokenize = self.tokenizer.model.tokenize
-        mixed = self._ids_of_parts([w for w in new if not LATIN.fullmatch(w)])
-        pool: list[int] = []
-        ends = []
+        letters, others = [], []
         for w in new:
-            pool += mixed[w] if w in mixed else [t.id for t in tokenize(_spelled(w))]
-            ends.append(len(pool))
-        self.known.update(zip(new, range(self.lengths.size, self.lengths.size + len(new))))
-        ends = np.array(ends, np.int64)
-        starts = np.concatenate(([0], ends[:-1]))
-        self.lengths = np.concatenate((self.lengths, ends - starts))
-        self.starts = np.concatenate((self.starts, self.pool.size + starts))
-        self.pool = np.concatenate((self.pool, np.array(pool, np.uint32)))
+            (letters if w.isalpha() or LATIN.fullmatch(w) else others).append(w)
+        ids = [[t.id for t in tokenize(_spelled(w))] for w in letters] + self._ids_of_parts(others)
+        self.known.update(zip(chain(letters, others), range(self.lengths.size, self.lengths.size + len(new))))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate((self.starts, self.pool.size + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))))
         self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
 
     def _forget(self) -> None:
@@ -270,39 +270,58 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     rows.select("doc_id", "text").mapInPandas(_write_chunks(tokenizer, end_id, chunk_ids, by_byte, whole), CHUNK_SCHEMA).write.parquet(path)
 
 
-def _read_documents(by_byte: bool):
+def _through(matrix: list[int], register: int) -> int:
+    return reduce(xor, (m for k, m in enumerate(matrix) if register >> k & 1), 0)
+
+
+@lru_cache(maxsize=64)
+def _zero_bits(power: int) -> list[int]:
+    """What 2**power zero bits make of the CRC's register, as a matrix over its bits."""
+    if not power:
+        return [0xEDB88320] + [1 << k for k in range(31)]
+    half = _zero_bits(power - 1)
+    return [_through(half, m) for m in half]
+
+
+def crc_join(first: int, second: int, n: int) -> int:
+    """CRC-32 of two byte strings end to end, from theirs and the length of the second: the first one's
+    register runs through that many zero bytes, then both are added."""
+    bits = 8 * n
+    for power in range(bits.bit_length()):
+        if bits >> power & 1:
+            first = _through(_zero_bits(power), first)
+    return first ^ second
+
+
+def _read_pieces(by_byte: bool):
+    """Per document and chunk: where its ids begin, their number and checksum. ``opens`` tells whether the piece
+    goes on from the chunk before, ``lasts`` whether it reaches the chunk's end."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = doc = None
-        running, crc, n, start, done = False, 0, 0, 0, []
         for batch in batches:
             for c in batch.itertuples(index=False):
-                if c.shard != shard:
-                    if running:
-                        done.append((doc, shard, start, n, crc))
-                    shard, running = c.shard, False
                 raw = join_planes(c.width, list(c.planes), c.n_ids, by_byte).astype("<u4")
                 bounds = [0, *c.doc_starts, c.n_ids] if c.doc_open else [*c.doc_starts, c.n_ids]
-                names = [doc, *c.doc_ids] if c.doc_open else list(c.doc_ids)
-                for k, name in enumerate(names):
-                    if not (c.doc_open and k == 0):
-                        if running:
-                            done.append((doc, shard, start, n, crc))
-                        running, doc, crc, n, start = True, name, 0, 0, c.first_id + bounds[k]
-                    piece = raw[bounds[k] : bounds[k + 1]]
-                    crc, n = zlib.crc32(piece.tobytes(), crc), n + piece.size
-            if done:
-                yield _frame(done)
-                done = []
-        if running:
-            yield _frame([(doc, shard, start, n, crc)])
+                names = [None, *c.doc_ids] if c.doc_open else list(c.doc_ids)
+                opens = np.zeros(len(names), bool)
+                opens[:1] = c.doc_open
+                yield pd.DataFrame({
+                    "doc_id": pd.array([None if d is None or d != d else int(d) for d in names], "Int64"), "shard": c.shard, "chunk": c.chunk, "opens": opens,
+                    "lasts": np.arange(len(names)) == len(names) - 1, "at": c.first_id + np.array(bounds[:-1], np.int64), "n": np.diff(bounds),
+                    "crc": [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])],
+                })
 
     return read
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
-    out["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in out["doc_id"]], "Int64")
-    return out
+def _join_crcs(sizes: pd.Series, crcs: pd.Series) -> pd.Series:
+    out = []
+    for n, c in zip(sizes, crcs):
+        total = int(c[0])
+        for size, crc in zip(n[1:], c[1:]):
+            total = crc_join(total, int(crc), 4 * int(size))
+        out.append(total)
+    return pd.Series(out)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -311,13 +330,24 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, by_byte: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+    n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
+
+    Chunks are read wherever they lie. A document that crosses chunks has a piece in each, whose
+    checksums are joined; no ids are shuffled.
+    """
     stored = read_chunks(spark, path)
     # One row per shard from here on: as many as the writing job had tasks.
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    ordered = stored.repartition("shard").sortWithinPartitions("shard", "chunk")
-    docs = ordered.mapInPandas(_read_documents(by_byte), DOCUMENT_SCHEMA)
-    out = docs.join(offsets, "shard")
-    return out.select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    found = stored.mapInPandas(_read_pieces(by_byte), PIECE_SCHEMA)
+    # Only the first and the last piece of a chunk can belong to a document that crosses its border.
+    crossing = found.where("opens or lasts")
+    in_shard = Window.partitionBy("shard").orderBy("chunk", "at", "n")
+    numbered = crossing.withColumn("doc", F.sum(F.when(F.col("opens"), 0).otherwise(1)).over(in_shard))
+    joined = numbered.groupBy("shard", "doc").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc", "doc_id"))).alias("p"))
+    crc = pandas_udf(_join_crcs, "long")(F.transform("p", lambda x: x["n"]), F.transform("p", lambda x: x["crc"]))
+    ends = joined.select(F.col("p")[0]["doc_id"].alias("doc_id"), "shard", F.col("p")[0]["at"].alias("at"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), crc.alias("crc"))
+    whole = found.where("not opens and not lasts").select("doc_id", "shard", "at", "n", "crc")
+    out = whole.union(ends).join(offsets, "shard")
+    return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
