@@ -113,8 +113,9 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str, *, group_limit: i
 
 def cumulative_share(df: DataFrame, label: str, weight: str, *, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Pareto table: heaviest first, with each row's share and the share so far (percent)."""
-    total = df.agg(F.sum(weight)).scalar()
-    shares = _kept(df.withColumn("share", 100 * safe_ratio(weight, total))).withColumn("_down", -F.col(weight))
+    kept = _kept(df)  # read for the total and for the shares
+    total = kept.agg(F.sum(weight)).scalar()
+    shares = kept.withColumn("share", 100 * safe_ratio(weight, total)).withColumn("_down", -F.col(weight))
     # Sums of decimals do not depend on the order in which parts are added.
     shares = shares.withColumn("_exact", F.col("share").cast("decimal(28,18)"))
     out = ordered_scans(shares, [], ["_down", label], {"cumulative_share": running_sum("_exact")}, group_limit=group_limit)

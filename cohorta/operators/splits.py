@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cohorta.functions.columns import bucket_variant, hash_bucket, safe_ratio
 from cohorta.functions.distributions import normal_quantile, normal_two_sided
+from cohorta.operators.simulation import split_sums
+from cohorta.session import ensure_checkpoint_dir
 
 
 def assign_by_hash(df: DataFrame, unit: str, salt: str, bounds: Sequence[tuple[int, str]], buckets: int = 1000, name: str = "variant") -> DataFrame:
@@ -87,21 +89,15 @@ def mase(fitted: DataFrame, keys: Sequence[str], day: str, period: str) -> DataF
 def split_search(
     store_days: DataFrame, store: str, day: str, metrics: Sequence[str], n_splits: int, treat_share: float, in_pre: Column, salt: str = "split",
 ) -> DataFrame:
-    """Try ``n_splits`` hash splits of the stores and rank them by how well control
+    """Try ``n_splits`` random splits of the stores and rank them by how well control
     predicts treat: MASE over the pre-period, dense rank per metric, ranks summed,
     ties by split number.
 
-    All splits go through one aggregation: store-days first, then copies per split
-    which the map-side sums reduce at once to (split, day) rows.
+    One pass over the store-days makes the sums of all splits; the (split, day) table is written down once, as
+    the fit and its errors both read it.
     """
-    daily = store_days.groupBy(store, day).agg(*[F.sum(m).cast("double").alias(m) for m in metrics])
-    copies = daily.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    bucket = hash_bucket(store, F.concat(F.lit(f"{salt}-"), F.col("split").cast("string"), F.lit("-")))
-    treated = bucket < F.lit(int(treat_share * 1000))
-    sums = []
-    for m in metrics:
-        sums += [F.sum(F.when(treated, F.col(m))).alias(f"t_{m}"), F.sum(F.when(~treated, F.col(m))).alias(f"c_{m}")]
-    per_day = copies.groupBy("split", day).agg(*sums)
+    ensure_checkpoint_dir(store_days.sparkSession)
+    per_day = split_sums(store_days, store, day, list(metrics), n_splits, treat_share, salt).checkpoint()
     long = per_day.select(
         "split", day,
         F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"t_{m}").alias("treat"), F.col(f"c_{m}").alias("control")) for m in metrics])),

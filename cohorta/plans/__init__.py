@@ -4,7 +4,7 @@ from importlib import import_module
 
 from cohorta.plans.base import QUERIES, SQL
 
-MODULES = ["sources", "filters", "joins", "aggregates", "ordered", "reshape", "scalars", "product", "basket", "experiments", "models", "lake", "unknown_keys"]
+MODULES = ["sources", "filters", "joins", "aggregates", "ordered", "reshape", "scalars", "product", "basket", "experiments", "models", "lake", "streams", "unknown_keys"]
 
 for _module in MODULES:
     import_module(f"cohorta.plans.{_module}")

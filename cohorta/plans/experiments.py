@@ -221,14 +221,15 @@ def store_months(spark, folder):
     return l.groupBy("l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("day")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"))
 
 
-N_SPLITS = 10
+N_SPLITS = 100
 
 
 @query("split_search", f"""
 with {_MONTHS},
 long as (unpivot months on n_lines, quantity into name metric value v),
-p as (select split, metric, day, sum(case when b < 800 then v end) as treat, sum(case when b >= 800 then v end) as control from
- (select long.*, split, cast('0x' || substr(md5('split-' || split || '-' || l_suppkey), 1, 8) as bigint) % 1000 as b from long, (select unnest(range({N_SPLITS})) as split)) group by all),
+p as (select split, metric, day, sum(case when b < 52429 then v end) as treat, sum(case when b >= 52429 then v end) as control from
+ (select long.*, split, b from long join (select l_suppkey, split, cast('0x' || substr(md5('split' || (split // 8) || '-' || l_suppkey), 4 * (split % 8) + 1, 4) as bigint) as b
+  from (select distinct l_suppkey from long), (select unnest(range({N_SPLITS})) as split)) using (l_suppkey)) group by all),
 pre as (select * from p where day < date '1999-07-01' and treat is not null and control is not null),
 f as (select split, metric, regr_slope(treat, control) as a, regr_intercept(treat, control) as b from pre group by all),
 e as (select split, metric, abs(treat - b - a * control) as err, abs(treat - lag(treat) over (partition by split, metric order by day)) as step from pre join f using (split, metric)),

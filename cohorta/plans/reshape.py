@@ -171,3 +171,15 @@ def _(spark, folder):
     text = F.concat_ws(", ", F.col("l_partkey").cast("string"), (F.col("l_partkey") + F.col("l_linenumber")).cast("string"), (F.col("l_partkey") % 10).cast("string"))
     lists = l.select("l_suppkey", F.to_date("l_shipdate").alias("day"), text.alias("products"))
     return N.explode_list_count(lists, ["l_suppkey", "day"], "products")
+
+
+@query("smoothed_density", """
+with s as (select l_returnflag, count(*) as n, min(l_quantity) as lo, max(l_quantity) as hi, stddev_samp(l_quantity) as sd,
+ quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.75) as q3 from lineitem group by 1),
+b as (select *, 0.9 * least(sd, (q3 - q1) / 1.34) * power(n, -0.2) as h from s),
+g as (select *, point, lo - 3 * h + point * (hi - lo + 6 * h) / 39 as x from b, (select unnest(range(40)) as point))
+select g.l_returnflag, point, round(x, 6) as x, round(h, 6) as bandwidth, round(sum(exp(-power((x - l_quantity) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 8) as density
+from g join lineitem l on l.l_returnflag = g.l_returnflag group by g.l_returnflag, point, x, h, n""")
+def _(spark, folder):
+    out = W.smoothed_density(lines(spark, folder, "l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", points=40, bins=None)
+    return out.select("l_returnflag", "point", r("x").alias("x"), r("bandwidth").alias("bandwidth"), r("density", 8).alias("density"))

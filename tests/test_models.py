@@ -297,3 +297,39 @@ def test_history_day_by_day_equals_all_at_once(spark, tmp_path):
         at_once = history.versions(frame, keys, "day", columns, group_limit=limit)
         assert sorted(map(tuple, at_once.select(*keys, *columns, "valid_from", "valid_to").collect()), key=repr) == stepwise
     assert any(r[-1] is None for r in stepwise) and any(r[-1] is not None for r in stepwise)
+
+
+# -- densities and split sums ---------------------------------------------------
+
+def test_smoothed_density_matches_direct_sum(spark):
+    rng = np.random.default_rng(8)
+    values = {"a": np.concatenate((rng.normal(50, 9, 3_000), rng.normal(90, 3, 500))), "b": rng.exponential(4, 800), "same": np.full(5, 2.0)}
+    frame = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None)], "k string, x double")
+    from cohorta.operators import reshape
+
+    rows = reshape.smoothed_density(frame, ["k"], "x", points=50).collect()
+    assert {r.k for r in rows} == {"a", "b"} and len(rows) == 100
+    for k in ("a", "b"):
+        own, v = sorted((r for r in rows if r.k == k), key=lambda r: r.point), values[k]
+        h = 0.9 * min(v.std(ddof=1), (np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.34) * len(v) ** -0.2
+        assert math.isclose(own[0].bandwidth, h, rel_tol=1e-9)
+        x = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 50)
+        direct = np.exp(-(((x[:, None] - v) / h) ** 2) / 2).sum(1) / (len(v) * h * math.sqrt(2 * math.pi))
+        assert np.allclose([r.x for r in own], x) and np.allclose([r.density for r in own], direct, atol=2e-5 * direct.max())
+    whole = reshape.smoothed_density(frame.where("k = 'b'"), [], "x", points=30, bandwidth=0.5).collect()
+    assert len(whole) == 30 and math.isclose(sum(r.density for r in whole) * (max(r.x for r in whole) - min(r.x for r in whole)) / 29, 1, rel_tol=0.05)
+    assert reshape.smoothed_density(frame.limit(0), ["k"], "x").collect() == []
+
+
+def test_split_sums_match_single_splits(spark):
+    rng = random.Random(3)
+    rows = [(u, dt.date(2024, 1, 1 + d), float(rng.randrange(100)) if rng.random() > 0.1 else None) for u in [None, *range(30)] for d in range(5)]
+    frame = spark.createDataFrame(rows, "unit int, day date, x double").repartition(6)
+    got = {(r.split, r.day): (r.t_x, r.c_x) for r in simulation.split_sums(frame, "unit", "day", ["x"], 20, 0.3, "s").collect()}
+    assert len(got) == 100
+    for split in range(20):
+        draw = lambda u: int(hashlib.md5(f"s{split // 8}-{u}".encode()).hexdigest()[4 * (split % 8) :][:4], 16)
+        for d in range(5):
+            own = [(draw(u) < round(0.3 * 65_536), x) for u, day, x in rows if u is not None and day.day == d + 1 and x is not None]
+            sums = tuple(sum(x for t, x in own if t == side) if any(t == side for t, _ in own) else None for side in (True, False))
+            assert got[split, dt.date(2024, 1, 1 + d)] == sums
