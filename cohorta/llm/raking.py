@@ -76,8 +76,8 @@ def of_length(x: np.ndarray) -> np.ndarray:
     return np.rint(x * (SCALE / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)))
 
 
-def doc_vectors(docs: DataFrame, *more: Column) -> DataFrame:
-    """Per row with words: hash of the text, n_tokens, vector (packed), and ``more``."""
+def vector_column(column: str | Column = "text") -> Column:
+    """Struct of n_tokens (words between white space) and vector (packed)."""
 
     def make():
         hashes = WordHashes()
@@ -92,9 +92,13 @@ def doc_vectors(docs: DataFrame, *more: Column) -> DataFrame:
 
         return work
 
+    return on_texts(make, "n_tokens long, vector binary", column)
+
+
+def doc_vectors(docs: DataFrame) -> DataFrame:
+    """Per row with words: hash of the text, n_tokens, vector."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.xxhash64(text).alias("h"), *more, on_texts(make, "n_tokens long, vector binary", text).alias("w"))
-    return rows.where("w.n_tokens > 0").select("h", *(c for c in rows.columns if c not in ("h", "w")), "w.*")
+    return docs.select(F.xxhash64(text).alias("h"), vector_column(text).alias("w")).where("w.n_tokens > 0").select("h", "w.*")
 
 
 def summed(vectors: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, tuple[int, np.ndarray]]:
@@ -155,27 +159,8 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS, limit: int = TOPIC_DOCS, r
     return middle, c
 
 
-def topic_column(model: tuple[np.ndarray, np.ndarray], column: str | Column = "text") -> Column:
-    """Struct of topic and n_tokens (words between white space). Texts without words are of no topic (-1)."""
-
-    def make():
-        hashes = WordHashes()
-
-        def work(values: list[str]) -> dict:
-            topic, n = [np.zeros(0, int)], [np.zeros(0, int)]
-            for at in range(0, len(values), 64):
-                size, x = word_counts(hashes, values[at : at + 64])
-                topic.append(np.where(size > 0, nearest(x, model), -1))
-                n.append(size)
-            return {"topic": np.concatenate(topic), "n_tokens": np.concatenate(n)}
-
-        return work
-
-    return on_texts(make, "topic int, n_tokens long", column)
-
-
-def vector_topic(model: tuple[np.ndarray, np.ndarray]) -> Column:
-    """The same topic from the column vector of ``doc_vectors``."""
+def vector_topic(model: tuple[np.ndarray, np.ndarray], column: str | Column = "vector") -> Column:
+    """Nearest centroid of a packed vector."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -183,7 +168,7 @@ def vector_topic(model: tuple[np.ndarray, np.ndarray]) -> Column:
             parts = [nearest(unpacked(blobs[at : at + 256]), model) for at in range(0, len(blobs), 256)]
             yield pd.Series(np.concatenate([np.zeros(0, int), *parts]))
 
-    return pandas_udf(run, "int")("vector")
+    return pandas_udf(run, "int")(column)
 
 
 def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
@@ -254,12 +239,14 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     and are not sampled. Repeated rows share one decision.
     """
     source, lang = _categories()
-    vectors = cut(doc_vectors(docs, source.alias("source"), lang.alias("lang")))
-    model = fit_topics(docs, vectors=vectors)
-    tagged = docs.withColumn("__topic", topic_column(model, F.col("text").cast("string")))
-    tagged = tagged.withColumn("__cell", F.struct(source.alias("source"), lang.alias("lang"), F.col("__topic.topic").cast("string").alias("topic")))
-    cell = ["source", "lang", F.col("topic").cast("string").alias("topic")]
-    sums = vectors.withColumn("topic", vector_topic(model)).groupBy(*cell).agg(F.sum("n_tokens").alias("tokens"))
+    # Texts are read once: rows go to the shared folder with their vectors, and come back for the answer.
+    rows = cut(docs.withColumn("__vector", vector_column(F.col("text").cast("string"))))
+    worded = rows.where("__vector.n_tokens > 0")
+    model = fit_topics(docs, vectors=worded.select(F.xxhash64(F.col("text").cast("string")).alias("h"), "__vector.vector"))
+    topic = F.when(F.col("__vector.n_tokens") > 0, F.col("__topic")).otherwise(-1).cast("string")
+    tagged = rows.withColumn("__topic", vector_topic(model, F.col("__vector.vector")))
+    tagged = tagged.withColumn("__cell", F.struct(source.alias("source"), lang.alias("lang"), topic.alias("topic")))
+    sums = tagged.where("__vector.n_tokens > 0").groupBy("__cell").agg(F.sum("__vector.n_tokens").alias("tokens")).select("__cell.*", "tokens")
     rows = sums.limit(MAX_CELLS + 1).collect()  # refused below if there are more
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells; group the sources first")
@@ -279,5 +266,5 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     out = tagged.join(F.broadcast(found), "__cell", "left")  # at most MAX_CELLS rows, as checked above
     f, p, w = (F.coalesce(c, F.lit(0.0)) for c in ("__f", "__p", "__w"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(seed)), F.lit(2**53)) / float(2**53)
-    fields = F.struct("__cell.*", "__topic.n_tokens", f.alias("factor"), p.alias("probability"), w.alias("sample_weight"), (draw < p).alias("sampled"))
+    fields = F.struct("__cell.*", F.col("__vector.n_tokens").alias("n_tokens"), f.alias("factor"), p.alias("probability"), w.alias("sample_weight"), (draw < p).alias("sampled"))
     return out.withColumn("__mix", fields).select(*docs.columns, "__mix")
