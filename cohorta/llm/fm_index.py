@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cohorta.llm.registry import texts
+from cohorta.llm.registry import cut, texts
 from cohorta.llm.udf import chunks
 from cohorta.llm.words import PLAIN_PATTERN, look_up, plain_words
 
@@ -206,17 +206,26 @@ def phrase_rows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select(F.array_join(F.slice("w", F.col("i"), window), " ").alias("phrase"), "item").distinct()
 
 
-def leak_column(spark, phrase_table: DataFrame, column: str | Column, with_rest: bool = False) -> Column:
-    """Struct LEAKS of a text column: words, items found, and merged spans of words;
-    ``with_rest``: also the text without the spans, null where there are none or nothing is left."""
-    n = phrase_table.count()
-    passes = max(1, -(-n // PHRASES_PER_PASS))
-    found = None
+def with_leaks(docs: DataFrame, phrase_table: DataFrame, text: str | Column, name: str, with_rest: bool = False) -> DataFrame:
+    """``docs`` with a struct column LEAKS of a text column: words, items found, and merged spans of words;
+    ``with_rest``: also the text without the spans, null where there are none or nothing is left.
+
+    Phrases beyond PHRASES_PER_PASS take several passes. Each one's result is written down before the
+    next, so no more than one table of phrases is held at a time, however long the benchmark.
+    """
+    spark = docs.sparkSession
+    text = F.col(text) if isinstance(text, str) else text
+    passes = max(1, -(-phrase_table.count() // PHRASES_PER_PASS))
+    out = docs
     for k in range(passes):
         part = phrase_table.where(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k) if passes > 1 else phrase_table
         phrases = spark.sparkContext.broadcast(phrase_tables([tuple(x) for x in part.collect()]))  # at most about PHRASES_PER_PASS rows
-        found = _pass(phrases, with_rest and k == passes - 1)(F.col(column) if isinstance(column, str) else column, *([found] if found is not None else []))
-    return found
+        last = k == passes - 1
+        out = out.withColumn(name, _pass(phrases, with_rest and last)(text, *([F.col(name)] if k else [])))
+        if not last:
+            out = cut(out)
+            phrases.unpersist()
+    return out
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -269,7 +278,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     An empty benchmark finds nothing.
     """
     d = texts(docs)
-    found = d.select("doc_id", leak_column(d.sparkSession, phrase_rows(benchmark, window), "text").alias("f"))
+    found = with_leaks(d, phrase_rows(benchmark, window), "text", "f")
     hit = F.aggregate(F.zip_with("f.starts", "f.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select("doc_id", "f.n_words", hit.alias("n_hit"), "f.items", "f.starts", "f.ends")
 
@@ -277,7 +286,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the spans that test phrases cover. A text that had words and
     loses them all goes; texts without a hit stay as they are. ``n_chars`` follows the text."""
-    found = docs.withColumn("__leaks", leak_column(docs.sparkSession, phrase_rows(benchmark, window), F.col("text").cast("string"), with_rest=True))
+    found = with_leaks(docs, phrase_rows(benchmark, window), F.col("text").cast("string"), "__leaks", with_rest=True)
     out = found.withColumn("__rest", F.col("__leaks.rest")).where("__rest is not null or size(__leaks.starts) = 0")
     changed = F.size("__leaks.starts") > 0
     new = {"text": F.when(changed, F.col("__rest")).otherwise(F.col("text"))}
