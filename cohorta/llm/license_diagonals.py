@@ -21,36 +21,73 @@ GRAM = 4
 DRIFT = 3
 #: Share of a template's words that a span must cover.
 COVER = 0.6
-#: Words that all templates may have together, as they are sent to every executor.
-MAX_TEMPLATE_WORDS = 200_000
+#: Templates of at most so many words together are sent to every executor; more are joined by shuffling.
+BROADCAST_WORDS = 200_000
 
+#: The Kelvin sign and the dotted capital I, whose lower case begins with an ASCII letter.
+ODD = "\u212a\u0130"
 # Phrases of the base scan with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Wording of public license notices.
+# Wording of public license texts and notices, a template per paragraph.
 TEMPLATES = {
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "apache-line": "Licensed under the Apache License, Version 2.0",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "cc-by-line": "Licensed under CC BY 4.0",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-line": "Licensed under CC BY-SA 4.0",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "gpl-line": "This work is licensed under the GNU General Public License, version 3",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies.",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+    "OR PERFORMANCE OF THIS SOFTWARE.",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit-line": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
-    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense",
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+    "You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
 
 def words_of(text: Column) -> Column:
     """Words with A-Z in lower case. ``lower`` changes other letters too, but none into or
-    out of a word, and none into a letter of a phrase or template."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PLAIN_PATTERN), 0)
+    out of a word, and none into A-Z but those of ODD, which go letter by letter."""
+    t = F.coalesce(text, F.lit(""))
+    odd = reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in ODD])
+    low = F.when(odd, F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(t))
+    return F.regexp_extract_all(low, F.lit(PLAIN_PATTERN), 0)
 
 
 def _grams(df: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -69,12 +106,12 @@ def template_grams(spark: SparkSession, templates: dict[str, str], k: int = GRAM
 def find_spans(docs: DataFrame, templates: dict[str, str], k: int = GRAM) -> DataFrame:
     """Verified spans: doc_id, tie (hash of the text), template, first (word), end (word,
     exclusive), votes, cover. Null and empty texts and templates shorter than k words have none."""
-    if sum(len(t.split()) for t in templates.values()) > MAX_TEMPLATE_WORDS:
-        raise ValueError("too many template words to send to every executor; scan in several calls")
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), words_of(F.col("text")).alias("words"))
     right = template_grams(docs.sparkSession, templates, k)
     same = ["hash", *(f"g{i}" for i in range(k))]
-    hits = _grams(d, k, "doc_id", "tie").join(F.broadcast(right), same)  # at most MAX_TEMPLATE_WORDS rows
+    if sum(len(t.split()) for t in templates.values()) <= BROADCAST_WORDS:
+        right = F.broadcast(right)
+    hits = _grams(d, k, "doc_id", "tie").join(right, same)
     keys = ["doc_id", "tie", "template", "length"]
     voted = hits.groupBy(*keys, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     # One text and template a group: never more rows than the text has words.
