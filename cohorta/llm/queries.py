@@ -87,16 +87,17 @@ def op5(spark, folder):
     )
 
 
-SCHEMAS = {"answer": {"query": ("string", True), "chars": ("integer", True), "system": ("boolean", False)}}
+SCHEMAS = {"answer": {"query": ("string", True), "chars": ("integer", True, {"minimum": 0}), "system": ("boolean", False)}}
 
 
 def with_tool_calls(conversations):
     """The table has no tool messages, so they are derived: each user turn also calls the
-    tool ``answer``, building on the call of two turns before, and each assistant turn
-    also is the result for the turn before."""
+    tool ``answer``, building on the call of two turns before (every other one also on that of
+    four turns before), and each assistant turn also is the result for the turn before."""
     called = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
     arguments = F.struct(F.col("text").alias("query"), F.length("text").alias("chars"))
-    call = F.to_json(F.struct(F.lit("answer").alias("name"), called(0).alias("id"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, called(2)).alias("after")))
+    after = F.when((F.col("turn") >= 4) & (F.col("turn") % 4 == 0), F.array(called(2), called(4))).when(F.col("turn") >= 2, F.array(called(2)))
+    call = F.to_json(F.struct(F.lit("answer").alias("name"), called(0).alias("id"), arguments.alias("arguments"), after.alias("after")))
     result = F.to_json(F.struct(called(1).alias("id"), F.col("text").alias("content")))
     own = F.struct("role", "text")
     more = F.when(F.col("role") == "user", F.array(own, F.struct(F.lit("tool_call").alias("role"), call.alias("text"))))

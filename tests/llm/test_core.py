@@ -65,6 +65,8 @@ def test_leak_edges(s, edge, monkeypatch):
     bench = s.createDataFrame(items, "item_id long, text string")
     for per_pass in (1_000_000, 2):  # in one pass, and in several
         monkeypatch.setattr(fm_index, "PHRASES_PER_PASS", per_pass)
+        plan = fm_index.find_leaks(edge, bench)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1  # one table of phrases at a time
         got = {(r.doc_id): (r.n_words, r.n_hit, r["items"]) for r in fm_index.find_leaks(edge, bench).collect()}
         assert got[3] == (1, 1, []) and got[4] == (2, 1, []) and got[5] == (11, 11, ["1", "2"]) and got[0] == (0, 0, [])
         assert got[6] == (30_000, 30_000, ["5"])
@@ -202,7 +204,7 @@ def test_copies_leave_small_topics_their_centroids(s):
     d = s.createDataFrame(list(enumerate(["the same text again and again"] * 3000 + small_groups)), "doc_id long, text string")
     model = raking.fit_topics(d, 4, limit=100)
     topics = {r.text.split()[0]: set() for r in d.collect()}
-    for r in d.select("text", raking.topic_column(model)["topic"].alias("k")).collect():
+    for r in d.select("text", raking.vector_topic(model, raking.vector_column("text")["vector"]).alias("k")).collect():
         topics[r.text.split()[0]].add(r.k)
     assert all(len(k) == 1 for k in topics.values()) and len(set.union(*topics.values())) == 4
 

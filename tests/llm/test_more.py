@@ -122,20 +122,80 @@ def test_long_chains_and_whole_table(s, small):
     assert len(out) == len(messages)
     ids = {(c, json.loads(x)["id"]) for c, _, role, x in messages if role == "tool_call"}
 
+    before = lambda t: [t - 2] * (t >= 2) + [t - 4] * (t >= 4 and t % 4 == 0)
+
     def level(c, t):
-        return 1 + level(c, t - 2) if (c, f"c{t - 2}") in ids else 0
+        return max([1 + level(c, b) for b in before(t) if (c, f"c{b}") in ids], default=0)
 
     answered = {(c, json.loads(x)["id"]) for c, _, role, x in messages if role == "tool"}
     for r in out:
         if r.role == "tool_call":
             assert r.level == level(r.conv_id, r.turn)
-            loose = r.turn >= 2 and (r.conv_id, f"c{r.turn - 2}") not in ids
+            loose = any((r.conv_id, f"c{b}") not in ids for b in before(r.turn))
             assert r.status == ("unknown dependency" if loose else "ok" if (r.conv_id, r.call_id) in answered else "no result")
         elif r.role == "tool":
             assert (r.status == "ok") == ((r.conv_id, r.call_id) in ids)
         assert json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.json
 
 
+def plain_levels(after):
+    """{id: level}: longest way up, null in a cycle and behind one."""
+    out = {}
+
+    def level(i, path):
+        if i in path:
+            return None
+        if i not in out:
+            ups = [level(p, path | {i}) for p in set(after[i]) if p in after]
+            known = None if None in ups else max([u + 1 for u in ups], default=0)
+            if known is None and path:
+                return None
+            out[i] = known
+        return out[i]
+
+    for i in after:
+        level(i, frozenset())
+    return out
+
+
+def test_levels_of_graphs(s):
+    import random
+
+    rng = random.Random(6)
+    graphs = [
+        {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"], "e": ["d", "a", "gone"], "f": ["e"], "g": ["f", "f"]},
+        {"a": ["b"], "b": ["a"], "c": ["a", "d"], "d": [], "e": ["c"], "f": ["f", "d"], "g": ["d", "e"], "h": ["d"]},
+        {f"n{i}": [f"n{i - 1}", f"n{i - 2}"] if i > 1 else [] for i in range(9)},
+        *({f"x{i}": [f"x{rng.randrange(25 if rng.random() < 0.05 else max(1, i))}" for _ in range(rng.randrange(4))] for i in range(25)} for _ in range(6)),
+    ]
+    rows = [(k, i, list(ups)) for k, g in enumerate(graphs) for i, ups in g.items()] + [(50, f"l{i}", [f"l{i - 1}"] if i else []) for i in range(200)]
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(s.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()}
+    want = {(k, i): v for k, g in enumerate(graphs) for i, v in plain_levels(g).items()} | {(50, f"l{i}"): i for i in range(200)}
+    assert got == want and None in got.values()
+
+
+def test_schemas_with_rules(s):
+    fields = {"n": ("number", True, {"minimum": 0, "maximum": 2.5}), "unit": ("string", False, {"enum": ["c", "f"]}), "tags": ("array<string>", False), "places": ("array<integer>", False), "more": ("array", False)}
+    cases = [
+        ({"n": 1}, "no result"), ({"n": 2.5, "unit": "c"}, "no result"), ({"n": 3}, "value not allowed"), ({"n": -0.1}, "value not allowed"), ({"n": 1, "unit": "k"}, "value not allowed"),
+        ({"n": 1, "tags": ["a", "b"]}, "no result"), ({"n": 1, "tags": []}, "no result"), ({"n": 1, "tags": [1]}, "wrong type"), ({"n": 1, "places": [1, 2]}, "no result"), ({"n": 1, "places": [1, "x"]}, "wrong type"),
+        ({"n": 1, "more": [1, "x"]}, "no result"), ({"n": 1, "tags": "a"}, "wrong type"), ({"unit": "c"}, "missing field"),
+    ]
+    rows = [(1, i, "tool_call", json.dumps({"id": f"i{i}", "name": "t", "arguments": a})) for i, (a, _) in enumerate(cases)]
+    got = tool_calls.format_chat(s.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tool_calls.schema_table(s, {"t": fields})).collect()
+    assert {r.turn: r.status for r in got} == {i: status for i, (_, status) in enumerate(cases)}
+
+
+def test_license_paragraphs(s):
+    t = license_diagonals.TEMPLATES
+    names = "mit-text mit-notice mit-warranty bsd-names bsd-binary bsd-warranty isc-text isc-warranty mpl-notice lgpl-notice agpl-notice gpl-warranty cc-by-sa-notice cc0-notice".split()
+    d = s.createDataFrame([(i, "Some words before. " + t[n].upper() + " And after.") for i, n in enumerate(names)] + [(90, "\u212aeep the MIT License")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_diagonals.scan_licenses(d).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i].labels and got[i].score > 0.9
+    assert "mit" in got[90].labels and got[90].n_words == 4
+
+
 # classifier
 
 def test_classifier_on_held_out_rows(s, folder):
