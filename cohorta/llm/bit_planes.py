@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cohorta.llm.registry import texts
+from cohorta.llm.registry import cut, texts
 from cohorta.llm.udf import chunks
 from cohorta.llm.words import utf8
 
@@ -340,7 +340,7 @@ def read_documents(spark: SparkSession, path: str, by_byte: bool = False) -> Dat
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    found = stored.mapInPandas(_read_pieces(by_byte), PIECE_SCHEMA)
+    found = cut(stored.mapInPandas(_read_pieces(by_byte), PIECE_SCHEMA))  # small rows, read twice below
     # Only the first and the last piece of a chunk can belong to a document that crosses its border.
     crossing = found.where("opens or lasts")
     in_shard = Window.partitionBy("shard").orderBy("chunk", "at", "n")
