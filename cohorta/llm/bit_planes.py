@@ -83,6 +83,7 @@ def split_planes(ids: np.ndarray, by_byte: bool = False, level: int = LEVEL) ->
 
 
 def join_planes(width: int, planes: list[bytes], n: int, by_byte: bool = False) -> np.ndarray:
+    """The n ids of a chunk from its planes, highest first."""
     unpack = zstandard.ZstdDecompressor().decompress
     ids = np.zeros(n, np.uint32)
     for k, plane in zip(reversed(range(width)), planes):
@@ -325,6 +326,7 @@ def _join_crcs(sizes: pd.Series, crcs: pd.Series) -> pd.Series:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a file, in no order: a row per chunk."""
     return spark.read.schema(CHUNK_SCHEMA).parquet(path)
 
 

@@ -18,6 +18,8 @@ BLOCK_CELLS = 400_000
 
 @dataclass
 class ChainModel:
+    """Weights of a linear-chain field: of features, of steps between labels, of first labels."""
+
     weights: np.ndarray  # features x labels
     steps: np.ndarray  # labels x labels, from row to column
     begin: np.ndarray  # labels

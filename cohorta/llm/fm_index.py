@@ -106,6 +106,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
+    """Suffix index of one shard: ranks in its last column, counts of smaller symbols, and every
+    few suffix positions, from which all others are found by walking back."""
+
     def __init__(self, s: np.ndarray, symbols: int, step: int = SAMPLE_STEP):
         order = suffix_order(s)
         last = s[order - 1].astype(np.int64)
@@ -187,6 +190,7 @@ def occurrences(docs: list[list[bytes]], phrases: tuple) -> Iterator[tuple[int,
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap made one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:

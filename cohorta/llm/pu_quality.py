@@ -40,6 +40,8 @@ NEUTRAL = 0.5
 
 @dataclass
 class StyleModel:
+    """Network over style features, and the margin and unit that turn its margins into scores."""
+
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray

@@ -52,6 +52,8 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class Sketcher:
+    """Registers of sets of hashes: truncated minima of exponential draws, the same draws for every set."""
+
     def __init__(self, registers: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.a = rng.integers(0, 2**63, registers, np.uint64) * np.uint64(2) + np.uint64(1)
