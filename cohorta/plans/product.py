@@ -97,8 +97,8 @@ def _(spark, folder):
     return U.conversion_within(s, IS("view"), IS("purchase"), SESSION, "ts", 3600, "session_id", ["day"], coarse=["user_id"], hot=calm)
 
 
-_SURFACE_SQL = """case when event_type = 'purchase' and k % 11 = 0 then 'Reorder' when k < 20 then 'Wall' when k < 40 and value > 5 then 'WallWidget'
- when k < 60 then 'HomeWidget' when k < 75 then 'Search' else 'Other' end"""
+_SURFACE_SQL = """case when event_type = 'purchase' and k % 11 = 0 then 'OrderAgain' when k < 20 then 'List' when k < 40 and value > 5 then 'ListBanner'
+ when k < 60 then 'HomeBanner' when k < 75 then 'Search' else 'Other' end"""
 
 
 @query("attribute_surface", f"""
@@ -109,15 +109,15 @@ select surface, count(i.n) as impression_sessions, count(a.n) as access_sessions
 from (select * from x where event_type = 'purchase') o
 left join (select * from x where event_type = 'view') i using (session_id, user_id, surface)
 left join (select * from x where event_type = 'click') a using (session_id, user_id, surface)
-where surface in ('Wall', 'WallWidget', 'Search', 'Reorder', 'Other') group by 1""")
+where surface in ('List', 'ListBanner', 'Search', 'OrderAgain', 'Other') group by 1""")
 def _(spark, folder):
     k = F.get_json_object("props", "$.k").cast("long")
     rules = [
-        (IS("purchase") & (k % 11 == 0), "Reorder"), (k < 20, "Wall"), ((k < 40) & (F.col("value") > 5), "WallWidget"),
-        (k < 60, "HomeWidget"), (k < 75, "Search"),
+        (IS("purchase") & (k % 11 == 0), "OrderAgain"), (k < 20, "List"), ((k < 40) & (F.col("value") > 5), "ListBanner"),
+        (k < 60, "HomeBanner"), (k < 75, "Search"),
     ]
     s = sessions(spark, folder).withColumn("surface", C.case_map(rules, "Other"))
-    s = s.where(F.col("surface").isin("Wall", "WallWidget", "Search", "Reorder", "Other"))
+    s = s.where(F.col("surface").isin("List", "ListBanner", "Search", "OrderAgain", "Other"))
     kinds = {"impression": "view", "access": "click", "order": "purchase"}
     # All three kinds meet in one aggregation; keys without an order drop out.
     per_key = s.groupBy("user_id", "session_id", "surface").agg(*[F.max(IS(v)).alias(n) for n, v in kinds.items()]).where("`order`")
@@ -387,14 +387,14 @@ def _(spark, folder):
 
 @query("map_event_to_category", """
 with e as (select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(ts as date) as day from events),
-a as (select distinct day, k % 10 as id, case when k % 4 = 0 then 'Smoking' when k % 2 = 0 then 'Food' else 'Shops' end as category from e where event_type = 'click' and value > 30),
+a as (select distinct day, k % 10 as id, case when k % 4 = 0 then 'Seasonal' when k % 2 = 0 then 'Food' else 'Household' end as category from e where event_type = 'click' and value > 30),
 b as (select distinct day, k % 7 as group_id, case when k % 7 < 3 then 'Food' else 'Health' end as category from e where event_type = 'error')
 select e.event_id, coalesce(a.category, b.category) as category from e left join a on a.day = e.day and a.id = e.k % 10
 left join b on b.day = e.day and b.group_id = e.k % 7 where e.event_type = 'view'""")
 def _(spark, folder):
     e = events(spark, folder).withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("day", F.to_date("ts"))
     e = e.withColumn("id", F.col("k") % 10).withColumn("group_id", F.col("k") % 7)
-    first = e.where(IS("click") & (F.col("value") > 30)).withColumn("category", C.case_map([(F.col("k") % 4 == 0, "Smoking"), (F.col("k") % 2 == 0, "Food")], "Shops"))
+    first = e.where(IS("click") & (F.col("value") > 30)).withColumn("category", C.case_map([(F.col("k") % 4 == 0, "Seasonal"), (F.col("k") % 2 == 0, "Food")], "Household"))
     second = e.where(IS("error")).withColumn("category", F.when(F.col("group_id") < 3, "Food").otherwise("Health"))
     views = e.where(IS("view")).select("event_id", "day", "id", "group_id")
     return J.category_from_maps(views, first, ["day", "id"], second, ["day", "group_id"], "category").select("event_id", "category")
