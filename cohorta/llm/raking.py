@@ -36,8 +36,10 @@ SCALE = 2**15
 KEEP = 0.5
 #: Exponent of the default targets: shares grow with tokens to this power, 0 is uniform.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
-#: Cells that the driver rakes at most. More means that sources need to be grouped first.
+#: Cells that the driver rakes at most; more are raked by Spark, with the same factors.
 MAX_CELLS = 1_000_000
+#: Rounds of raking at most, and the change at which they end.
+ROUNDS, CLOSE = 500, 1e-10
 NONE = "(none)"
 
 
@@ -178,7 +180,7 @@ def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(cells: dict[tuple, float], targets: list[Mapping[str, float]], rounds: int = 500, close: float = 1e-10) -> dict[tuple, float]:
+def rake(cells: dict[tuple, float], targets: list[Mapping[str, float]], rounds: int = ROUNDS, close: float = CLOSE) -> dict[tuple, float]:
     """Factor of each cell such that weighted totals have the target shares.
 
     Categories without a target (or with target zero) get factor zero; targets of
@@ -226,6 +228,58 @@ def calibrated(cells: dict[tuple, float], factors: dict[tuple, float], keep: flo
     return float(options[np.flatnonzero(options * f <= 1 + 1e-12)[0]]) if (options * f <= 1 + 1e-12).any() else float(1 / f[-1])
 
 
+def _chances(cells: dict[tuple, float], targets: Mapping[str, Mapping[str, float]], keep: float) -> list[tuple]:
+    """Per cell its names, factor, probability and weight."""
+    goals = []
+    for d, name in enumerate(DIMENSIONS):
+        totals: dict[str, float] = {}
+        for key, tokens in cells.items():
+            totals[key[d]] = totals.get(key[d], 0) + tokens
+        goals.append(targets.get(name) or tempered(totals, TEMPER[name]))
+    factors = rake(cells, goals)
+    scale = calibrated(cells, factors, keep)
+    chances = {k: min(1.0, scale * v) for k, v in factors.items()}
+    return [(*k, v, chances[k], scale * v / chances[k] if v else 0.0) for k, v in factors.items()]
+
+
+def rake_by_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float, rounds: int | None = None, close: float | None = None) -> DataFrame:
+    """What ``rake`` and ``calibrated`` do, for any number of cells: per dimension and round one sum by
+    category and one join with it, and one table written per round. Cells (source, lang, topic, tokens) without a factor are left out."""
+    spark = cells.sparkSession
+    live, goals = cells.where("tokens > 0").withColumn("f", F.lit(1.0)), {}
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    for name in DIMENSIONS:
+        if targets.get(name):
+            goal = spark.createDataFrame([(k, float(v)) for k, v in targets[name].items() if v > 0], f"{name} string, goal double")
+        else:
+            goal = cells.where("tokens > 0").groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), TEMPER[name]).alias("goal"))
+        goals[name] = cut(goal)
+        live = live.join(goals[name].select(name), name, "left_semi")
+    live = cut(live.select(*DIMENSIONS, "tokens", "f"))
+    # Categories that no cell is left of pass their share on.
+    goals = {name: cut(goal.join(live.select(name).distinct(), name)) for name, goal in goals.items()}
+    shares = {name: goal.agg(F.sum("goal")).first()[0] or 1.0 for name, goal in goals.items()}
+    for _ in range(rounds or ROUNDS):
+        now = live.withColumn("was", F.col("f"))
+        for name in DIMENSIONS:
+            sums = now.groupBy(name).agg(F.sum(F.col("f") * F.col("tokens")).alias("sum"))
+            step = sums.join(goals[name], name).select(name, (F.col("goal") / shares[name] * whole / F.col("sum")).alias("step"))
+            now = now.join(step, name).select(*DIMENSIONS, "tokens", "was", (F.col("f") * F.col("step")).alias("f"))
+        live = cut(now)
+        if (live.agg(F.max(F.abs(F.col("f") / F.col("was") - 1))).first()[0] or 0.0) < (close or CLOSE):
+            break
+    want = min(keep * whole, live.agg(F.sum("tokens")).first()[0] or 0)
+    scale, full = 0.0, -1
+    while True:  # cells at one stay there, and the others share what is left
+        at_one = F.col("f") * scale >= 1
+        n, held, rest, low = live.agg(F.count_if(at_one), F.sum(F.when(at_one, F.col("tokens"))), F.sum(F.when(~at_one, F.col("f") * F.col("tokens"))), F.min("f")).first()
+        if n == full or low is None:
+            break
+        full, scale = n, (want - (held or 0)) / rest if rest else 1 / low
+    chance = F.least(F.lit(1.0), F.col("f") * scale)
+    return live.select(*DIMENSIONS, F.col("f").alias("__f"), chance.alias("__p"), (F.col("f") * scale / chance).alias("__w"))
+
+
 def _categories() -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in ("source", "lang")]
 
@@ -247,23 +301,16 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     tagged = rows.withColumn("__topic", vector_topic(model, F.col("__vector.vector")))
     tagged = tagged.withColumn("__cell", F.struct(source.alias("source"), lang.alias("lang"), topic.alias("topic")))
     sums = tagged.where("__vector.n_tokens > 0").groupBy("__cell").agg(F.sum("__vector.n_tokens").alias("tokens")).select("__cell.*", "tokens")
-    rows = sums.limit(MAX_CELLS + 1).collect()  # refused below if there are more
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; group the sources first")
-    cells = {(r.source, r.lang, r.topic): r.tokens for r in rows}
-    goals = []
-    for d, name in enumerate(DIMENSIONS):
-        totals: dict[str, float] = {}
-        for key, tokens in cells.items():
-            totals[key[d]] = totals.get(key[d], 0) + tokens
-        goals.append((targets or {}).get(name) or tempered(totals, TEMPER[name]))
-    factors = rake(cells, goals)
-    scale = calibrated(cells, factors, keep)
-    chances = {k: min(1.0, scale * v) for k, v in factors.items()}
-    rows = [(*k, v, chances[k], scale * v / chances[k] if v else 0.0) for k, v in factors.items()]
-    found = docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, __f double, __p double, __w double")
+    sums = cut(sums)
+    rows = sums.limit(MAX_CELLS + 1).collect()
+    small = len(rows) <= MAX_CELLS
+    if small:
+        found = _chances({(r.source, r.lang, r.topic): r.tokens for r in rows}, targets or {}, keep)
+        found = docs.sparkSession.createDataFrame(found, "source string, lang string, topic string, __f double, __p double, __w double")
+    else:
+        found = rake_by_spark(sums, targets or {}, keep)
     found = found.select(F.struct("source", "lang", "topic").alias("__cell"), "__f", "__p", "__w")
-    out = tagged.join(F.broadcast(found), "__cell", "left")  # at most MAX_CELLS rows, as checked above
+    out = tagged.join(F.broadcast(found) if small else found, "__cell", "left")  # sent whole only up to MAX_CELLS rows
     f, p, w = (F.coalesce(c, F.lit(0.0)) for c in ("__f", "__p", "__w"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(seed)), F.lit(2**53)) / float(2**53)
     fields = F.struct("__cell.*", F.col("__vector.n_tokens").alias("n_tokens"), f.alias("factor"), p.alias("probability"), w.alias("sample_weight"), (draw < p).alias("sampled"))

@@ -183,6 +183,60 @@ def test_mix_columns(s, small, edge):
     assert raking.mix(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_spark_rakes_as_the_driver_does(s, given):
+    rng = random.Random(5)
+    cells = {(f"s{a}", f"l{b}", str(c)): rng.randrange(1, 900) for a in range(4) for b in range(3) for c in range(3) if rng.random() > 0.2}
+    targets = {"source": {"s0": 0.6, "s1": 0.4, "s3": 0.0, "nowhere": 0.5}} if given else {}
+    want = {tuple(r[:3]): r[3:] for r in raking._chances(cells, targets, 0.4) if r[3]}
+    frame = s.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens long")
+    got = {tuple(r[:3]): tuple(r[3:]) for r in raking.rake_by_spark(frame, targets, 0.4, close=1e-6).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-4) for k in want)
+    assert raking.rake_by_spark(frame.limit(0), {}, 0.4).collect() == []
+
+
+def test_mix_beyond_the_drivers_cells(s, small, monkeypatch):
+    docs = table(s, small, "documents")
+    columns = ["factor", "probability", "sample_weight"]
+    one = by_id(raking.mix(docs).select("doc_id", "__mix.*"), *columns)
+    monkeypatch.setattr(raking, "MAX_CELLS", 3)
+    monkeypatch.setattr(raking, "ROUNDS", 3)
+    other = by_id(raking.mix(docs).select("doc_id", "__mix.*"), *columns)
+    assert one.keys() == other.keys() and np.allclose([one[k] for k in one], [other[k] for k in one], rtol=0.2)
+
+
+def test_topics_and_draws_from_scratch(s, small):
+    """The query once more with numpy over all rows: vectors, factors and draws."""
+    rows = QUERIES["op4_raking"](s, small).collect()
+    texts = dict(pairs(s, small, "documents", "doc_id", "text"))
+    cells = {}
+    for r in rows:
+        n = len(plain.SPACED.findall(texts[r.doc_id] or ""))
+        assert r.n_tokens == n and (r.topic == "-1") == (n == 0)
+        if n:
+            cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + n
+    weight, whole = dict.fromkeys(cells, 1.0), sum(cells.values())
+    for _ in range(400):
+        for d, power in enumerate((0.5, 0.7, 0.9)):
+            total, now = {}, {}
+            for k, n in cells.items():
+                total[k[d]] = total.get(k[d], 0) + n
+                now[k[d]] = now.get(k[d], 0) + n * weight[k]
+            goal = sum(v**power for v in total.values())
+            weight = {k: w * total[k[d]] ** power / goal * whole / now[k[d]] for k, w in weight.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * min(1, c * weight[k]) for k, n in cells.items()) < 0.5 * whole else (low, c)
+    for r in rows:
+        want = weight.get((r.source, r.lang, r.topic), 0.0)
+        assert r.factor == pytest.approx(want, rel=1e-6) and r.probability == pytest.approx(min(1, c * want), rel=1e-6)
+    # Draws are even: the sampled share of each probability band is near it.
+    chance, taken = np.array([r.probability for r in rows]), np.array([r.sampled for r in rows])
+    assert abs(chance.sum() - taken.sum()) < 4 * np.sqrt((chance * (1 - chance)).sum())
+
+
 def test_topics_come_from_all_documents(s, small):
     docs = table(s, small, "documents")
     middle, centres = raking.fit_topics(docs, 4, limit=20, rounds=60)
