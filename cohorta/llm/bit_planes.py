@@ -46,9 +46,11 @@ CHUNK_SCHEMA = (
 )
 PIECE_SCHEMA = "doc_id long, shard int, chunk int, opens boolean, lasts boolean, at long, n long, crc long"
 #: Words whose ids a task remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: Bytes of text in a shard: a task learns its words anew, so it should not be small.
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
+#: Characters of text that are encoded at once.
+ENCODED_CHARS = 500_000
 ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -137,12 +139,12 @@ class WordEncoder:
     so is every text with ``whole``, or when the file's steps are not those.
     """
 
-    def __init__(self, path: str, whole: bool = False):
+    def __init__(self, path: str, whole: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = whole or not reads_words(path)
+        self.whole = not reads_words(path) if whole is None else whole
         self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.parts: dict[bytes, list[int]] = {}  # of words that are not letters only
         self.known: dict[bytes, int] = {}
@@ -232,7 +234,7 @@ def _write_chunks(path: str, end_id: int, size: int, by_byte: bool, whole: bool)
         for batch in batches:
             names, at = batch["doc_id"].tolist(), 0
             values = ["" if t is None else t for t in batch["text"]]
-            for part in chunks(values, 1_000_000):
+            for part in chunks(values, ENCODED_CHARS):
                 rows = []
                 for ids in encode(part):
                     docs.append((None if pd.isna(names[at]) else int(names[at]), n_held))
@@ -268,6 +270,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     # Equal rows may be many: the number spreads them over shards, which changes no ids.
     order = [F.col("doc_id").asc_nulls_first(), "tie", "spread"]
     rows = rows.withColumn("spread", F.rand(11)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    whole = whole or not reads_words(tokenizer)  # looked up once, not in every task
     rows.select("doc_id", "text").mapInPandas(_write_chunks(tokenizer, end_id, chunk_ids, by_byte, whole), CHUNK_SCHEMA).write.parquet(path)
 
 
