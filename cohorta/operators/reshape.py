@@ -77,10 +77,14 @@ def smoothed_density(df: DataFrame, by: Sequence[str], value: str, points: int =
     else:
         s = s.withColumn("bandwidth", F.lit(float(bandwidth)))
     s = s.where("bandwidth > 0").drop("_sd")
-    joined = known.join(s, list(by)) if by else known.withColumn("_s", s.select(F.struct("*")).scalar()).select("_v", "_s.*").where("_n is not null")
     keys = [*by, "_n", "_lo", "_hi", "bandwidth"]
     if bins is None:
-        weights = joined.groupBy(*keys, F.col("_v").alias("_at")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+        known = known.groupBy(*by, F.col("_v").alias("_at")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    # With a shuffle of its own the small side is known by size at run time: it is broadcast or, with very
+    # many groups, large groups are cut. Else all rows of a group would be sorted in one task.
+    joined = known.join(s.repartition(*by), list(by)) if by else known.withColumn("_s", s.select(F.struct("*")).scalar()).select(*known.columns, "_s.*").where("_n is not null")
+    if bins is None:
+        weights = joined.select(*keys, "_at", "_w")
     else:
         width = (F.col("_hi") - F.col("_lo")) / bins
         place = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / width).otherwise(F.lit(0.0))

@@ -321,6 +321,27 @@ def test_smoothed_density_matches_direct_sum(spark):
     assert reshape.smoothed_density(frame.limit(0), ["k"], "x").collect() == []
 
 
+def rows_out_of_joins(plan):
+    """Rows that each join of an executed plan gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_out_of_joins(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return rows_out_of_joins(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for k in range(plan.children().size()) for n in rows_out_of_joins(plan.children().apply(k))]
+
+
+def test_smoothed_density_joins_values_not_rows(spark):
+    """Rows of a large group must not meet in the join with the groups' figures."""
+    from cohorta.operators import reshape
+
+    frame = spark.createDataFrame([(k, float(x % 7)) for k in ("a", "b", None) for x in range(500)], "k string, x double")
+    out = reshape.smoothed_density(frame, ["k"], "x", points=20, bins=None)
+    assert len(out.collect()) == 40
+    joins = rows_out_of_joins(out._jdf.queryExecution().executedPlan())
+    assert joins and max(joins) <= 14
+
+
 def test_split_sums_match_single_splits(spark):
     rng = random.Random(3)
     rows = [(u, dt.date(2024, 1, 1 + d), float(rng.randrange(100)) if rng.random() > 0.1 else None) for u in [None, *range(30)] for d in range(5)]
