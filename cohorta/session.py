@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,12 +21,26 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Bytes (compressed) that a task reads of a shuffle and of files; a session's own smaller values stay. One stage
+#: sorts and hashes its rows several times over: at Spark's 64 and 128 MB joins with aggregates take over 1 GB a task.
+TASK_INPUT = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20, "spark.sql.files.maxPartitionBytes": 32 << 20}
+UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings write it: 64m, 64MB, 67108864b."""
+    n, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(n) << UNITS[unit]
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on. Only runtime SQL settings are
     changed, so it is safe on a session somebody else has made."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key, most in TASK_INPUT.items():
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, f"{most}b")
     return spark
 
 

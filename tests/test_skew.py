@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohorta.operators import activity, exposure, funnel, joins, ranks, scans
 from cohorta.plans.base import open_end
+from cohorta.session import tune
 
 LIMIT = 90
 
@@ -174,3 +175,21 @@ def test_null_keys_meet_nothing(spark):
             assert [r.event_id for r in assign(e, w, ["user_id"], "ts", group_limit=limit).collect()] == [2]
     found = funnel.next_within(e, e.select("user_id", F.col("ts").alias("t2")), ["user_id"], "ts", "t2", group_limit=1)
     assert {r.event_id: r.followed_at for r in found.collect()} == {1: None, 2: t(2), 3: None}
+
+
+def test_tune_bounds_what_a_task_reads(spark):
+    """A stage of joins and aggregates takes several times its input in memory."""
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.minPartitionNum"]
+    kept = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "64MB")
+        spark.conf.set(names[1], "1m")
+        spark.conf.set(names[2], "1")
+        tune(spark)
+        assert spark.conf.get(names[1]) == "1m"  # smaller ones stay
+        wide = spark.range(2_000_000).groupBy(F.xxhash64("id").alias("a")).agg(F.max(F.xxhash64("id", F.lit(1))).alias("b"))
+        assert wide.rdd.getNumPartitions() > 1  # some 40 MB
+    finally:
+        for n, value in kept.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+        tune(spark)
