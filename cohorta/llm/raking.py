@@ -14,6 +14,7 @@ documents; only the start centroids are chosen among TOPIC_DOCS texts.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 TOPIC_DOCS = 2000
 BUCKETS = 1024
+#: Vectors that are unpacked at once.
+BLOCK = 64
 #: Length of vectors, which are kept in whole numbers of 16 bits.
 SCALE = 2**15
 #: Expected share of the tokens that is sampled.
@@ -46,36 +49,43 @@ NONE = "(none)"
 def word_counts(hashes: WordHashes, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Words per text, and vectors of damped counts of hashed words, of length SCALE and in
     whole numbers: sums and products of them are exact, whatever the order and the batches."""
-    out, n = np.zeros((len(values), BUCKETS)), np.zeros(len(values), np.int64)
-    for k, t in enumerate(values):
-        h = hashes(spaced_words(t, lower=True))
-        n[k] = h.size
-        damped = np.log1p(np.bincount((h >> np.uint64(20)) % np.uint64(BUCKETS), minlength=BUCKETS))
-        out[k] = np.rint(damped * (SCALE / max(np.linalg.norm(damped), 1e-9)))
-    return n, out
+    words = [spaced_words(t, lower=True) for t in values]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    h = hashes(list(chain.from_iterable(words)))
+    places = np.repeat(np.arange(0, n.size * BUCKETS, BUCKETS), n) + ((h >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(places, minlength=n.size * BUCKETS).reshape(-1, BUCKETS)
+    damped = np.log1p(np.arange(counts.max(initial=0) + 1))[counts]
+    scale = np.array([SCALE / max(np.linalg.norm(d), 1e-9) for d in damped])
+    damped *= scale[:, None]
+    return n, np.rint(damped, out=damped)
 
 
-def packed(vector: np.ndarray) -> bytes:
-    """Buckets and values of what is not zero; ``unpacked`` undoes it for many."""
-    at = np.flatnonzero(vector)
-    return np.stack((at, vector[at]), 1).astype("<u2").tobytes()
+def packed(vectors: np.ndarray) -> list[bytes]:
+    """Per row buckets and values of what is not zero; ``unpacked`` undoes it."""
+    row, at = np.nonzero(vectors)
+    pairs = np.stack((at, vectors[row, at]), 1).astype("<u2").tobytes()
+    ends = (4 * np.cumsum(np.bincount(row, minlength=len(vectors)))).tolist()
+    return [pairs[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
     pairs = np.frombuffer(b"".join(blobs), "<u2").reshape(-1, 2)
     out = np.zeros((len(blobs), BUCKETS))
-    out[np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), pairs[:, 0]] = pairs[:, 1]
+    first = np.repeat(np.arange(0, out.size, BUCKETS), [len(x) // 4 for x in blobs])
+    out.reshape(-1)[first + pairs[:, 0]] = pairs[:, 1]
     return out
 
 
 def nearest(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of rows as they are. Products of whole numbers are exact, so the middle may come off last."""
     middle, centres = model
-    return ((x - middle) @ centres.T).argmax(1)
+    return (x @ centres.T - centres @ middle).argmax(1)
 
 
 def of_length(x: np.ndarray) -> np.ndarray:
     """Rows brought to length SCALE, in whole numbers; rows of zeros stay."""
-    return np.rint(x * (SCALE / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)))
+    out = x * (SCALE / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9))
+    return np.rint(out, out=out)
 
 
 def vector_column(column: str | Column = "text") -> Column:
@@ -89,7 +99,7 @@ def vector_column(column: str | Column = "text") -> Column:
             for at in range(0, len(values), 64):
                 n, x = word_counts(hashes, values[at : at + 64])
                 out["n_tokens"] += n.tolist()
-                out["vector"] += map(packed, x)
+                out["vector"] += packed(x)
             return out
 
         return work
@@ -113,11 +123,16 @@ def summed(vectors: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = Non
         total = np.zeros((topics, BUCKETS + 1))  # the last one counts
         for batch in batches:
             blobs = batch.column(0).to_pylist()
-            for at in range(0, len(blobs), 256):
-                x = unpacked(blobs[at : at + 256])
-                own = np.zeros(len(x), int) if model is None else nearest(x, model)
-                x = x if model is None else of_length(x - model[0])
-                total += (own == np.arange(topics)[:, None]).astype(float) @ np.column_stack((x, np.ones(len(x))))
+            for at in range(0, len(blobs), BLOCK):
+                x = unpacked(blobs[at : at + BLOCK])
+                if model is None:
+                    total[0, :-1] += x.sum(0)
+                    total[0, -1] += len(x)
+                    continue
+                own = nearest(x, model)
+                x -= model[0]
+                total[:, :-1] += (own == np.arange(topics)[:, None]).astype(float) @ of_length(x)
+                total[:, -1] += np.bincount(own, minlength=topics)
         topic, bucket = np.nonzero(total)
         arrays = [pa.array(v.astype(kind)) for v, kind in ((topic, np.int32), (bucket, np.int32), (total[topic, bucket], np.int64))]
         yield pa.RecordBatch.from_arrays(arrays, ["topic", "bucket", "total"])
@@ -167,7 +182,7 @@ def vector_topic(model: tuple[np.ndarray, np.ndarray], column: str | Column = "v
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             blobs = batch.tolist()
-            parts = [nearest(unpacked(blobs[at : at + 256]), model) for at in range(0, len(blobs), 256)]
+            parts = [nearest(unpacked(blobs[at : at + BLOCK]), model) for at in range(0, len(blobs), BLOCK)]
             yield pd.Series(np.concatenate([np.zeros(0, int), *parts]))
 
     return pandas_udf(run, "int")(column)

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,6 +14,7 @@ from cohorta.llm import bit_planes, crf, fm_index, line_quality, raking, setsket
 from cohorta.llm.components import components
 from cohorta.llm.queries import TOKENIZER
 from cohorta.llm.registry import QUERIES, prepare, table
+from cohorta.llm.words import WordHashes
 from tests.llm import plain
 
 EDGE_TEXTS = [None, "", " \n\t ", "one", "One two", "a b c d e f g h i j k", "x " * 30_000, "Été à la plage — ça va ?\nÉté", "same line\nsame line\n\nsame line", "😀 emoji\x1cand\x85odd spaces here", "a b c d e f g h i j k"]
@@ -206,6 +209,23 @@ def test_mix_beyond_the_drivers_cells(s, small, monkeypatch):
     assert one.keys() == other.keys() and np.allclose([one[k] for k in one], [other[k] for k in one], rtol=0.2)
 
 
+def test_word_hashes_keep_no_words():
+    """They kept a table of 200,000, slower to look up than the hashes are to make."""
+    words = [b"w%d" % k for k in range(50_000)]
+    hashes = WordHashes()
+    tracemalloc.start()
+    got = hashes(words)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert got[:2].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words[:2]] and kept < 2 * got.nbytes
+
+
+def test_packed_vectors_come_back():
+    n, x = raking.word_counts(WordHashes(), ["", "a b A", " ", "c " * 300])
+    assert n.tolist() == [0, 3, 0, 300] and (raking.unpacked(raking.packed(x)) == x).all()
+    assert x[3].max() == raking.SCALE and np.count_nonzero(x, axis=1).tolist() == [0, 2, 0, 1]
+
+
 def test_topics_and_draws_from_scratch(s, small):
     """The query once more with numpy over all rows: vectors, factors and draws."""
     rows = QUERIES["op4_raking"](s, small).collect()
