@@ -20,6 +20,7 @@ import json
 import os
 import re
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
@@ -28,7 +29,7 @@ from operator import xor
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -55,7 +56,7 @@ ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
-BYTE_LEVEL = {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
+BYTE_LEVEL = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 #: The steps of a tokenizer file that words can be encoded one by one with (fixed values, as the file states them).
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 KNOWN_SPLITTING = {
@@ -65,8 +66,8 @@ KNOWN_SPLITTING = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: A sign by itself between a letter and white space is a word of its own.
-LONE_SIGN = re.compile(rb"[.,!?;:](?=\s)(?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))")
+#: ASCII signs (no apostrophe) between a letter or digit and white space, or the end, are a word of their own.
+LAST_SIGNS = re.compile(rb"""[!-&(-/:-@[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@[-`{-~]*(?=\s|\Z)""")
 #: Lower-case letters of Latin-1 in UTF-8, which normaliser and pre-tokenizer leave as they are.
 LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -109,7 +110,7 @@ def pieces(word: bytes) -> list[bytes]:
 
 def _spelled(letters: bytes) -> str:
     """Letters in the characters that the model's vocabulary is written in."""
-    return letters.decode() if letters.isascii() else letters.decode("latin-1").translate(BYTE_LEVEL)
+    return charmap_decode(letters, "strict", BYTE_LEVEL)[0]
 
 
 def reads_words(path: str) -> bool:
@@ -124,6 +125,19 @@ def reads_words(path: str) -> bool:
     )
 
 
+class Places(dict):
+    """Numbers of words in the order in which they were first looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def __init__(self, words: dict[bytes, int] | None = None):
+        super().__init__(words or {})
+        self.new: list[bytes] = []
+
+
 class WordEncoder:
     """Ids of whole texts, encoded word by word.
 
@@ -147,7 +161,7 @@ class WordEncoder:
         self.whole = not reads_words(path) if whole is None else whole
         self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.parts: dict[bytes, list[int]] = {}  # of words that are not letters only
-        self.known: dict[bytes, int] = {}
+        self.known = Places()
         self.met = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -169,12 +183,11 @@ class WordEncoder:
         return [list(chain.from_iterable(map(parts.__getitem__, own))) for own in split]
 
     def _learn(self, new: list[bytes]) -> None:
-        tokenize = self.tokenizer.model.tokenize
-        letters, others = [], []
-        for w in new:
-            (letters if w.isalpha() or LATIN.fullmatch(w) else others).append(w)
-        ids = [[t.id for t in tokenize(_spelled(w))] for w in letters] + self._ids_of_parts(others)
-        self.known.update(zip(chain(letters, others), range(self.lengths.size, self.lengths.size + len(new))))
+        tokenize, letters = self.tokenizer.model.tokenize, LATIN.fullmatch
+        ids = [[t.id for t in tokenize(_spelled(w))] if w.isalpha() or letters(w) else None for w in new]
+        others = [k for k, own in enumerate(ids) if own is None]
+        for k, own in zip(others, self._ids_of_parts([new[k] for k in others])):
+            ids[k] = own
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate((self.starts, self.pool.size + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
@@ -187,7 +200,7 @@ class WordEncoder:
         stay = stay if stay.size <= WORDS_KEPT // 2 else stay[:0]
         new_place = np.full(self.lengths.size, -1)
         new_place[stay] = np.arange(stay.size)
-        self.known = {w: n for w, k in self.known.items() if (n := int(new_place[k])) >= 0}
+        self.known = Places({w: n for w, k in self.known.items() if (n := int(new_place[k])) >= 0})
         n = self.lengths[stay]
         ends = np.cumsum(n)
         self.pool = self.pool[np.repeat(self.starts[stay] - (ends - n), n) + np.arange(int(n.sum()))]
@@ -202,14 +215,14 @@ class WordEncoder:
             rest = iter(self([t for k, t in enumerate(values) if k not in set(odd)]))
             got = {k: np.array(e.ids, np.uint32) for k, e in zip(odd, at_once)}
             return [got[k] if k in got else next(rest) for k in range(len(values))]
-        words = [LONE_SIGN.sub(rb" \g<0>", utf8(t).lower()).split() for t in values]
+        words = [LAST_SIGNS.sub(rb" \g<0>", utf8(t).lower()).split() for t in values]
         flat = list(chain.from_iterable(words))
         if len(self.known) > WORDS_KEPT:
             self._forget()
-        new = list(set(flat).difference(self.known))
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         self.met += np.minimum(np.bincount(at, minlength=self.met.size), 2).astype(np.int32)
         n = self.lengths[at]
         ends = np.cumsum(n)
@@ -218,9 +231,14 @@ class WordEncoder:
         return np.split(ids, bounds) if values else []
 
 
-def _write_chunks(path: str, end_id: int, size: int, by_byte: bool, whole: bool):
+def _write_chunks(kept: Broadcast, path: str, end_id: int, size: int, by_byte: bool, whole: bool):
+    """``kept`` is an empty dictionary, of which each Python process has its own: one encoder for all of its
+    tasks, so that the file is read and the usual words are learned once."""
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard = WordEncoder(path, whole), TaskContext.get().partitionId()
+        if "encoder" not in kept.value:
+            kept.value["encoder"] = WordEncoder(path, whole)
+        encode, shard = kept.value["encoder"], TaskContext.get().partitionId()
         held, docs, chunk, opened = [], [], 0, False
 
         def flush(ids, docs, opened):
@@ -271,7 +289,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     order = [F.col("doc_id").asc_nulls_first(), "tie", "spread"]
     rows = rows.withColumn("spread", F.rand(11)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     whole = whole or not reads_words(tokenizer)  # looked up once, not in every task
-    rows.select("doc_id", "text").mapInPandas(_write_chunks(tokenizer, end_id, chunk_ids, by_byte, whole), CHUNK_SCHEMA).write.parquet(path)
+    kept = docs.sparkSession.sparkContext.broadcast({})
+    write = _write_chunks(kept, tokenizer, end_id, chunk_ids, by_byte, whole)
+    rows.select("doc_id", "text").mapInPandas(write, CHUNK_SCHEMA).write.parquet(path)
+    kept.destroy()
 
 
 def _through(matrix: list[int], register: int) -> int:

@@ -3,8 +3,10 @@
 import itertools
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -359,6 +361,28 @@ def test_near_duplicates_match_all_pairs(s, small, edge):
     assert setsketch.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_signs_after_words_are_words_of_their_own():
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(TOKENIZER), bit_planes.WordEncoder(TOKENIZER)
+    assert encoder(["the### or### the*** or*** the or"])[0].tolist() == whole.encode("the### or### the*** or*** the or", add_special_tokens=False).ids
+    assert len(encoder.known) == 4  # each pair was learned
+    rng = random.Random(6)
+    parts = ["a", "bel", "É", "é", "ß", "ÿ", "÷", "7", "'", "'s", "’", ".", "***", "%", "<", "|", "\u0301", "\u0338", "İ", "²", "日", " ", "\n", "\u00a0", "\u2003", "\x85", "\x1c", "\\", "]", "^", "-", "~"]
+    texts = ["".join(rng.choices(parts, k=12)) for _ in range(3_000)]
+    for text, ids in zip(texts, encoder(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tasks_of_a_process_share_an_encoder(monkeypatch):
+    made, kept = [], SimpleNamespace(value={})  # stands for the broadcast
+    monkeypatch.setattr(bit_planes, "WordEncoder", lambda *a, make=bit_planes.WordEncoder: made.append(a) or make(*a))
+    monkeypatch.setattr(bit_planes, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    write = bit_planes._write_chunks(kept, TOKENIZER, 2, 64, False, False)
+    first, again = (pd.concat(write(iter([pd.DataFrame({"doc_id": [1, 2], "text": ["some words", None]})]))) for _ in range(2))
+    assert len(made) == 1 and first.equals(again) and first["n_ids"].tolist() == [len(kept.value["encoder"](["some words"])[0]) + 2]
+
+
 def test_encoder_forgets_and_goes_the_whole_way(monkeypatch, tmp_path):
     """Words stay right when most are forgotten, and tokenizer files of other steps are not split."""
     import json
