@@ -52,6 +52,8 @@ WORDS_KEPT = 200_000
 SHARD_BYTES = 16_000_000
 #: Characters of text that are encoded at once.
 ENCODED_CHARS = 500_000
+#: Rows, about, that reading hands on at once.
+PIECES = 20_000
 ASCII_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The pre-tokenizer's characters for bytes: printable ones stand for themselves, the others for those from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -322,19 +324,33 @@ def _read_pieces(by_byte: bool):
     """Per document and chunk: where its ids begin, their number and checksum. ``opens`` tells whether the piece
     goes on from the chunk before, ``lasts`` whether it reaches the chunk's end."""
 
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        names, shards, places, opens, at, n, crc = zip(*parts)
+        sizes = np.array([len(x) for x in names])
+        ends = np.cumsum(sizes)
+        first, last = np.zeros(ends[-1], bool), np.zeros(ends[-1], bool)
+        first[ends - sizes], last[ends - 1] = opens, True
+        return pd.DataFrame({
+            "doc_id": pd.array([None if d is None or d != d else int(d) for d in chain.from_iterable(names)], "Int64"),
+            "shard": np.repeat(shards, sizes), "chunk": np.repeat(places, sizes), "opens": first, "lasts": last,
+            "at": np.concatenate(at), "n": np.concatenate(n), "crc": list(chain.from_iterable(crc)),
+        })
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts, rows = [], 0
             for c in batch.itertuples(index=False):
-                raw = join_planes(c.width, list(c.planes), c.n_ids, by_byte).astype("<u4")
+                raw = join_planes(c.width, list(c.planes), c.n_ids, by_byte).astype("<u4", copy=False).data
                 bounds = [0, *c.doc_starts, c.n_ids] if c.doc_open else [*c.doc_starts, c.n_ids]
                 names = [None, *c.doc_ids] if c.doc_open else list(c.doc_ids)
-                opens = np.zeros(len(names), bool)
-                opens[:1] = c.doc_open
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if d is None or d != d else int(d) for d in names], "Int64"), "shard": c.shard, "chunk": c.chunk, "opens": opens,
-                    "lasts": np.arange(len(names)) == len(names) - 1, "at": c.first_id + np.array(bounds[:-1], np.int64), "n": np.diff(bounds),
-                    "crc": [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])],
-                })
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+                parts.append((names, c.shard, c.chunk, c.doc_open, c.first_id + np.array(bounds[:-1], np.int64), np.diff(bounds), crc))
+                rows += len(names)
+                if rows >= PIECES:
+                    yield frame(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield frame(parts)
 
     return read
 
